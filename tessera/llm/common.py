@@ -51,7 +51,7 @@ def unpack(payload: bytes) -> dict[str, np.ndarray]:
     n, *kinds = data[: at - 1].decode().split(" ")
     out = {}
     for kind in kinds:
-        cut = next(i for i, c in enumerate(kind) if c in "<>|")
+        cut = next(i for i, c in enumerate(kind) if c in "<>|")  # where the dtype starts
         out[kind[:cut]] = np.frombuffer(data, kind[cut:], int(n), at)
         at += out[kind[:cut]].nbytes
     return out
