@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.ann import nearest_neighbours
+from tessera.llm.bpe import bpe_encode, digests
+from tessera.llm.packing import pack_documents
+from tessera.llm.pq_dedup import pq_neardup
+from tessera.llm.simhash import simhash_neardup
 from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.suffix_dedup import suffix_dedup
 
@@ -16,6 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_neardup(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_neardup(table(spark, sf_dir, "documents"), ngram=3, bits=64, radius=3)
+
+
+def op7_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(bpe_encode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), tokens=False)
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -24,8 +49,15 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the public vocabulary file stands on this machine; workers have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_suffix_array_dedup, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_embedding_neardup, op2_suffix_array_dedup, op3_nearest_neighbours, op4_simhash_neardup, op7_bpe_encoding, op9_substring_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
