@@ -68,10 +68,19 @@ def as_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(kinds, pa.int8()), pa.array(buckets, pa.int32()), pa.array(payloads, pa.binary())], schema=BLOBS)
 
 
+def spread(group: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each row's group has two different values."""
+    if not len(group):
+        return np.zeros(0, bool)
+    order = np.argsort(group, kind="stable")
+    starts, _ = common.runs_of(group[order])
+    return (np.minimum.reduceat(values[order], starts) != np.maximum.reduceat(values[order], starts))[group]
+
+
 def classify(c: dict[str, np.ndarray], within: bool, window: int):
     """Spans that whole contexts cover, and the seeds whose windows must be compared one by one."""
-    shape = (c["left"].astype(np.uint64) << np.uint64(56)) | (c["right"].astype(np.uint64) << np.uint64(48))
-    variant = c["context"] ^ shape
+    joint = (c["context"].astype(np.uint64) << np.uint64(32)) | (c["before"].astype(np.uint64) << np.uint64(16)) | c["after"]
+    variant = joint ^ textkit.mix((c["left"].astype(np.uint64) << np.uint64(8)) | c["right"])
     _, inverse, count = np.unique(c["key"], return_inverse=True, return_counts=True)
     keep = count[inverse] > 1
     c, variant = {k: v[keep] for k, v in c.items()}, variant[keep]
@@ -82,14 +91,14 @@ def classify(c: dict[str, np.ndarray], within: bool, window: int):
         return c, c
     new_key = np.r_[True, c["key"][1:] != c["key"][:-1]]
     new = new_key | np.r_[True, variant[1:] != variant[:-1]]
-    key_id, variant_id = np.cumsum(new_key) - 1, np.cumsum(new) - 1
+    variant_id = np.cumsum(new) - 1
     first = np.flatnonzero(new)[variant_id]
     covered = np.arange(n) != first if within else c["doc"] > c["doc"][first]
-    several = np.bincount(key_id, weights=new)[key_id] > 1
-    if not within:  # a key of one document repeats nothing
-        low = np.minimum.reduceat(c["doc"], np.flatnonzero(new_key))
-        high = np.maximum.reduceat(c["doc"], np.flatnonzero(new_key))
-        several &= (low != high)[key_id]
+    several = np.zeros(n, bool)
+    for side in ("before", "after"):  # another context, and another document if need be, that shares this side
+        held = np.flatnonzero(c[side])
+        _, group = np.unique(textkit.mix(c["key"][held] ^ (c[side][held].astype(np.uint64) << np.uint64(40))), return_inverse=True)
+        several[held] |= spread(group, variant_id[held]) if within else spread(group, variant_id[held]) & spread(group, c["doc"][held])
     ask = ~covered & several
     at = c["at"].astype(np.int64)
     spans = {"doc": c["doc"][covered], "start": (at - c["left"])[covered].astype(np.uint32), "end": (at - c["right"] + window)[covered].astype(np.uint32)}
@@ -143,24 +152,22 @@ def spans_of_repeats(docs: DataFrame, s: Settings, resolve: Callable[[dict[str,
         if c:
             order = np.argsort(c["doc"], kind="stable")
             c = {k: v[order] for k, v in c.items()}
+            pieces, places = [], []
             for payload in texts.column("payload").to_pylist():
                 ids, held = common.unpack_texts(payload)
                 lo, hi = np.searchsorted(c["doc"], ids, "left"), np.searchsorted(c["doc"], ids, "right")
-                for wanted in np.array_split(np.flatnonzero(hi > lo), max(1, sum(map(len, held)) // common.CHUNK_BYTES)):
-                    pieces, places = [], []
-                    for i in wanted.tolist():
-                        rows_of_text = slice(lo[i], hi[i])
-                        start = c["at"][rows_of_text].astype(np.int64) - c["left"][rows_of_text]
-                        end = c["at"][rows_of_text].astype(np.int64) - c["right"][rows_of_text] + s.window
-                        if s.unit == "word":
-                            _, w0, w1, *_ = textkit.words_of([held[i]])
-                            pieces += [held[i][a:b] for a, b in zip(w0[start].tolist(), w1[end - 1].tolist(), strict=True)]
-                        else:
-                            pieces += [held[i][a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                        places.append(np.arange(lo[i], hi[i]))
-                    if places:
-                        at = np.concatenate(places)
-                        rows += context_blobs({k: v[at] for k, v in c.items()}, pieces, n)
+                for i in np.flatnonzero(hi > lo).tolist():
+                    asked_of = slice(lo[i], hi[i])
+                    start = c["at"][asked_of].astype(np.int64) - c["left"][asked_of]
+                    end = c["at"][asked_of].astype(np.int64) - c["right"][asked_of] + s.window
+                    if s.unit == "word":
+                        _, w0, w1, *_ = textkit.words_of([held[i]])
+                        start, end = w0[start], w1[end - 1]
+                    pieces += [held[i][a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+                    places.append(np.arange(lo[i], hi[i]))
+            if places:
+                at = np.concatenate(places)
+                rows = context_blobs({k: v[at] for k, v in c.items()}, pieces, n)
         return pa.Table.from_batches([as_batch(rows)])
 
     def resolve_bucket(table: pa.Table) -> pa.Table:
