@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,19 @@ def chunks(ids: np.ndarray, texts: list[bytes], most: int = CHUNK_BYTES):
         yield ids[at:], texts[at:]
 
 
+def keep_rows(docs: DataFrame, keep: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """The rows of docs, with all their columns, for whose texts (null: empty) `keep` gives True; nothing is shuffled."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            masks = [keep(t) for _, t in chunks(np.arange(len(texts)), texts)]
+            yield batch.filter(pa.array(np.concatenate(masks) if masks else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def runs_of(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of equal values."""
     if not len(sorted_values):

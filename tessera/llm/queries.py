@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.ann import nearest_neighbours
 from tessera.llm.bpe import bpe_encode, digests
+from tessera.llm.licences import licence_scan
 from tessera.llm.packing import pack_documents
 from tessera.llm.pq_dedup import pq_neardup
+from tessera.llm.quality import quality
 from tessera.llm.simhash import simhash_neardup
 from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.suffix_dedup import suffix_dedup
+from tessera.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +36,18 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_neardup(table(spark, sf_dir, "documents"), ngram=3, bits=64, radius=3)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe_encode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
 
@@ -57,7 +72,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_embedding_neardup, op2_suffix_array_dedup, op3_nearest_neighbours, op4_simhash_neardup, op7_bpe_encoding, op9_substring_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_embedding_neardup, op2_suffix_array_dedup, op3_nearest_neighbours, op4_simhash_neardup, op5_quality_classifier, op6_toxicity, op7_bpe_encoding, op8_licence_scan, op9_substring_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

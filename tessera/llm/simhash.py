@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -194,14 +195,18 @@ def links_in(key: np.ndarray, probe: np.ndarray, ident: np.ndarray, words: np.nd
     return nodes[moved], nodes[root[moved]]
 
 
-def links(distinct: DataFrame, bits: int, radius: int) -> DataFrame:
-    """distinct (id long, fingerprint binary, one row each) to links (a, b) that connect just what the pairs within `radius` bits connect."""
+def links(distinct: DataFrame, bits: int, radius: int, sure: int) -> DataFrame:
+    """distinct (id long, fingerprint binary, one row each) to links (a, b) that connect what pairs within `radius` bits connect.
+
+    Every pair within `sure` bits is met for certain; of those between `sure` and `radius` the ones that agree on some
+    group all the same. With sure = radius no link is missed.
+    """
     spark, words = distinct.sparkSession, bits // 64
     n = distinct.count()
     sample = distinct.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("fingerprint").toArrow().column("fingerprint")
     if n < 2:
         return spark.createDataFrame([], "a long, b long")
-    groups, thresholds = plan(to_words(sample, words), n, bits, radius)
+    groups, thresholds = plan(to_words(sample, words), n, bits, sure)
     masks = [variants(len(g), t) if t >= 0 else np.zeros(0, np.uint64) for g, t in zip(groups, thresholds, strict=True)]
     buckets = max(96, n * sum(map(len, masks)) // BUCKET_ROWS)
 
@@ -237,9 +242,19 @@ def links(distinct: DataFrame, bits: int, radius: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(probe_bucket, "a long, b long")
 
 
-def simhash_neardup(docs: DataFrame, ngram: int = 3, bits: int = 64, radius: int = 3) -> DataFrame:
+def radius_of(similarity: float, bits: int) -> int:
+    """The bits in which fingerprints of two shingle sets of this Jaccard similarity are expected to differ.
+
+    Sets of equal size with Jaccard s have the cosine 2 s / (1 + s), and a bit differs with the angle's share of pi.
+    """
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def simhash_neardup(docs: DataFrame, ngram: int = 3, bits: int = 64, radius: int = 3, sure: int | None = None) -> DataFrame:
     """(doc_id, fingerprint hex, component_id): documents whose fingerprints link at `radius` or fewer differing bits.
 
+    sure: the distance up to which every link is found for certain (default: the radius); see links().
+
     docs: doc_id (unique), text; other columns are ignored. Links run over chains; component_id is the smallest doc_id
     reachable, the own one included. Null and empty texts have fingerprint zero and link like any other. Equal
     fingerprints are folded to one before the search and all keep their link. Rows without a doc_id are left out; an
@@ -247,6 +262,6 @@ def simhash_neardup(docs: DataFrame, ngram: int = 3, bits: int = 64, radius: int
     """
     prints = common.checkpoint(fingerprints(docs, ngram, bits))
     distinct = common.checkpoint(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")))
-    found = common.connected_components(links(distinct, bits, radius))
+    found = common.connected_components(links(distinct, bits, radius, radius if sure is None else sure))
     named = distinct.join(found, distinct.id == found.node, "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, "fingerprint").select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")

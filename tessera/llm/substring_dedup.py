@@ -45,7 +45,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     """Remove every word that a repeat of `window` or more words covers, but at its first place in (doc_id, start).
 
     docs: doc_id, text; other columns are ignored. Returns one row for each non-null doc_id: n_words, n_removed,
-    kept_sha256 and, if `texts`, kept (the words left, joined by a space). A null or empty text has no words and keeps
+    kept_sha256 (of the words left, joined by a space) and, if `texts`, kept: the text itself where nothing went, else the
+    words left, joined by a space. A null or empty text has no words and keeps
     the empty string; a document shorter than the window keeps all; an empty table gives an empty result. A doc_id is
     taken to be unique.
     """
@@ -58,6 +59,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
         for a, b in zip(starts.tolist()[::-1], ends.tolist()[::-1], strict=True):
             kept = kept[:a] + kept[b:]
         whole = b" ".join(kept)
-        return doc_id, len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), whole.decode("utf-8", "replace") if texts else None
+        return doc_id, len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), (whole if len(kept) < len(words) else text).decode("utf-8", "replace") if texts else None
 
     return repeats.apply_spans(blobs, spans, row, SCHEMA, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
