@@ -49,13 +49,13 @@ class Store:
         return fs, p
 
     def _state(self) -> dict:
-        fs, p = self._path(f"{self.root}/_state.json")
+        fs, p = self._path(f"{self.root}/state.json")
         if not fs.exists(p):
             return {}
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/_state.json").collect()))
+        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/state.json").collect()))
 
     def _save(self, state: dict) -> None:
-        fs, p = self._path(f"{self.root}/_state.json")
+        fs, p = self._path(f"{self.root}/state.json")
         out = fs.create(p, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
