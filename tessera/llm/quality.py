@@ -15,6 +15,8 @@ from tessera.llm.ftrl import Ftrl
 
 #: Labelled rows that the model is fitted on, at most, by the order of a hash of doc_id.
 SAMPLE = 6000
+#: Updates that a small sample is repeated for.
+UPDATES = 12_000
 THRESHOLD = 0.3
 
 
@@ -32,8 +34,11 @@ class Logistic:
             return 1 / (1 + np.exp(-(features.dots(self.weights, slot, value, ends) + self.bias)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, ngrams: int = 2, epochs: int = 2, alpha: float = 1.0, l1: float = 0.1, l2: float = 0.1) -> Logistic:
-    """Row by row in the order given; no row gives a model that always answers one half."""
+def fit(texts: list[bytes], labels: np.ndarray, ngrams: int = 2, epochs: int | None = None, alpha: float = 1.0, l1: float = 0.1, l2: float = 0.1) -> Logistic:
+    """Row by row in the order given; no row gives a model that always answers one half.
+
+    epochs: passes over the rows; by default so many that about UPDATES are made, 2 to 20.
+    """
     size = 1 << features.BITS
     model = Ftrl(size + 1, alpha, 1.0, l1, l2)
     rows = []
@@ -41,7 +46,7 @@ def fit(texts: list[bytes], labels: np.ndarray, ngrams: int = 2, epochs: int = 2
         slot, value, ends = features.sparse(texts[at : at + 500], ngrams)
         starts = np.r_[0, ends[:-1]]
         rows += [(np.r_[slot[a:b], size], np.r_[value[a:b], np.float32(1)]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    for _ in range(epochs):
+    for _ in range(epochs or passes(len(rows), UPDATES, 2)):
         for (at, x), y in zip(rows, labels.tolist(), strict=True):
             w = model.weights(at)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
@@ -50,6 +55,10 @@ def fit(texts: list[bytes], labels: np.ndarray, ngrams: int = 2, epochs: int = 2
     return Logistic(w[:size].astype(np.float32), float(w[size]), ngrams)
 
 
+def passes(rows: int, updates: int, least: int) -> int:
+    return min(20, max(least, -(-updates // max(rows, 1))))
+
+
 def held_out(doc_id) -> F.Column:
     """Rows whose labels are never learnt from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

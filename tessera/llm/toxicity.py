@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common, features
 from tessera.llm.ftrl import Ftrl
-from tessera.llm.quality import labelled
+from tessera.llm.quality import labelled, passes
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 12_000
+#: Updates that a small sample is repeated for.
+UPDATES = 36_000
 #: A text whose chance of any severity is at least this is toxic.
 THRESHOLD = 0.4
 #: A marker is a slot whose smoothed log-odds for toxic rows are at least this; so many of them make a severe row.
@@ -49,7 +51,7 @@ def grades(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return np.array([0 if t <= 0 else 1 + (marker[r].sum() >= SEVERE) for r, t in zip(rows, toxic, strict=True)], np.int64)
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, epochs: int = 3, alpha: float = 1.0, l1: float = 3.0, l2: float = 0.1) -> Ordinal:
+def fit(texts: list[bytes], toxic: np.ndarray, epochs: int | None = None, alpha: float = 1.0, l1: float = 3.0, l2: float = 0.1) -> Ordinal:
     """Row by row: the shared weights by FTRL, the thresholds by their own, kept in order. No rows: nothing is toxic."""
     size = 1 << features.BITS
     rows = []
@@ -60,7 +62,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, epochs: int = 3, alpha: float = 1
     levels = 2
     model, gap = Ftrl(size, alpha, 1.0, l1, l2), np.array([2.0, 4.0])
     moved = np.full(levels, 1e-6)
-    for _ in range(epochs):
+    for _ in range(epochs or passes(len(rows), UPDATES, 3)):
         for at, grade in zip(rows, y.tolist(), strict=True):
             w = model.weights(at)
             s = w.sum()
