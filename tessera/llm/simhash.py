@@ -16,8 +16,8 @@ from tessera.llm import common, textkit
 
 #: Fingerprints that the bit statistics are taken from, at most (a bounded, hash-ordered sample; all are indexed).
 SAMPLE = 20_000
-#: Signatures for each bucket of the probe, and members of a signature's group compared in one block.
-BUCKET_ROWS, BLOCK = 400_000, 4096
+#: Signatures for each bucket of the probe, members of a group compared in one block, and rows of a group in one task.
+BUCKET_ROWS, BLOCK, GROUP_ROWS = 400_000, 4096, 20_000
 #: Multipliers that derive further 64-bit words of a wide fingerprint from a shingle's hash.
 WORD_STEP = 0x9E3779B97F4A7C15
 
@@ -148,17 +148,34 @@ def plan(sample: np.ndarray, n: int, bits: int, radius: int, most: int = 2) -> t
     return groups, thresholds
 
 
+def signature_keys(w: np.ndarray, groups: list[np.ndarray], masks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of every fingerprint's values and changed values, and whose they are."""
+    keys, at = [], []
+    for i, (g, m) in enumerate(zip(groups, masks, strict=True)):
+        if len(m):
+            own = group_values(w, g)
+            keys.append(textkit.mix(((own[:, None] ^ m[None, :]) + np.uint64((i + 1) * WORD_STEP & (1 << 64) - 1)).ravel()))
+            at.append(np.repeat(np.arange(len(w)), len(m)))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(keys), np.concatenate(at)) if keys else (none.astype(np.uint64), none)
+
+
+def hot_keys(sample: np.ndarray, n: int, groups: list[np.ndarray], masks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that more than GROUP_ROWS rows are expected to share, ascending, and in how many parts each is cut."""
+    keys, count = np.unique(signature_keys(sample, groups, masks)[0], return_counts=True)
+    expected = count * (n / max(len(sample), 1))
+    hot = expected > GROUP_ROWS
+    return keys[hot], np.ceil(expected[hot] / (GROUP_ROWS / 2)).astype(np.int64)
+
+
 def to_words(column: pa.ChunkedArray | pa.Array, words: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
 
 
-def links_in(key: np.ndarray, probe: np.ndarray, ident: np.ndarray, words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within the groups of equal key: pairs (id, smallest id reachable in the bucket).
-
-    probe 0 marks a fingerprint's own value, 1 a changed one; a pair of two changed values is met elsewhere as well.
-    """
+def links_in(key: np.ndarray, ident: np.ndarray, words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within the groups of equal key: pairs (id, smallest id reachable in the bucket)."""
     order = np.lexsort((ident, key))
-    key, probe, ident, words = key[order], probe[order], ident[order], words[order]
+    key, ident, words = key[order], ident[order], words[order]
     starts, ends = common.runs_of(key)
     keep = ends - starts > 1
     starts, ends = starts[keep], ends[keep]
@@ -209,32 +226,34 @@ def links(distinct: DataFrame, bits: int, radius: int, sure: int) -> DataFrame:
     groups, thresholds = plan(to_words(sample, words), n, bits, sure)
     masks = [variants(len(g), t) if t >= 0 else np.zeros(0, np.uint64) for g, t in zip(groups, thresholds, strict=True)]
     buckets = max(96, n * sum(map(len, masks)) // BUCKET_ROWS)
+    hot, parts = hot_keys(to_words(sample, words), n, groups, masks)
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ident, w = batch.column("id").to_numpy(), to_words(batch.column("fingerprint"), words)
-            rows: dict[int, list[np.ndarray]] = {}
-            keys, probes, at = [], [], []
-            for i, (g, m) in enumerate(zip(groups, masks, strict=True)):
-                if len(m):
-                    own = group_values(w, g)
-                    keys.append(textkit.mix(((own[:, None] ^ m[None, :]) + np.uint64((i + 1) * WORD_STEP & (1 << 64) - 1)).ravel()))
-                    probes.append(np.tile((m != 0).astype(np.uint8), len(w)))
-                    at.append(np.repeat(np.arange(len(w)), len(m)))
-            if not keys:
-                continue
-            key, probe, at = np.concatenate(keys), np.concatenate(probes), np.concatenate(at)
+            key, at = signature_keys(w, groups, masks)
+            slot = np.minimum(np.searchsorted(hot, key), max(len(hot) - 1, 0))
+            warm = np.flatnonzero(hot[slot] == key) if len(hot) else np.zeros(0, np.int64)
+            if len(warm):  # every two parts of a hot group meet under a key of their own
+                n_parts = parts[slot[warm]]
+                own = np.repeat((textkit.mix(ident[at[warm]].astype(np.uint64)) % n_parts.astype(np.uint64)).astype(np.int64), n_parts)
+                other = common.ragged(np.zeros(len(warm), np.int64), n_parts)
+                pair = (np.minimum(own, other) << 31 | np.maximum(own, other)).astype(np.uint64)
+                keys_of_pairs = textkit.mix(np.repeat(key[warm], n_parts) ^ textkit.mix(pair + np.uint64(1)))
+                cold = np.ones(len(key), bool)
+                cold[warm] = False
+                key, at = np.r_[key[cold], keys_of_pairs], np.r_[at[cold], np.repeat(at[warm], n_parts)]
             bucket = (key % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             out: list[tuple[int, bytes]] = []
             for a, b in zip(*common.runs_of(bucket[order]), strict=True):
                 r = order[a:b]
-                out.append((int(bucket[r[0]]), common.pack(key=key[r], probe=probe[r], ident=ident[at[r]], **{f"w{k}": w[at[r], k] for k in range(words)})))
+                out.append((int(bucket[r[0]]), common.pack(key=key[r], ident=ident[at[r]], **{f"w{k}": w[at[r], k] for k in range(words)})))
             yield pa.record_batch([pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["bucket", "payload"])
 
     def probe_bucket(table: pa.Table) -> pa.Table:
         c = common.unpack_all(table.column("payload").to_pylist())
-        a, b = links_in(c["key"], c["probe"], c["ident"], np.stack([c[f"w{k}"] for k in range(words)], axis=1), radius)
+        a, b = links_in(c["key"], c["ident"], np.stack([c[f"w{k}"] for k in range(words)], axis=1), radius)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")

@@ -1,6 +1,7 @@
 """Vector and fingerprint operators against brute force."""
 
 import numpy as np
+import pytest
 import xxhash
 
 from tessera.llm import ann, common, pq_dedup, simhash
@@ -78,7 +79,9 @@ def texts(seed=1, n=150):
     return [*out, None, "", " \t", "A", "a", "a b", "É x y z"]
 
 
-def test_simhash_equals_brute_force(spark):
+@pytest.mark.parametrize("rows", [20_000, 8])
+def test_simhash_equals_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", rows)  # few: the groups of many signatures are cut into parts
     held = texts()
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(held)], "doc_id long, text string, fingerprint string")
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.simhash_neardup(docs).collect()}
@@ -108,7 +111,7 @@ def test_pigeonhole_plan_covers_the_radius():
 def test_hot_signature_groups_are_whole():
     rng = np.random.default_rng(2)
     words = (np.uint64(5) ^ (np.uint64(1) << rng.integers(0, 20, 900).astype(np.uint64))).reshape(-1, 1)
-    a, b = simhash.links_in(np.zeros(900, np.uint64), np.zeros(900, np.uint8), np.arange(900), words, 2)
+    a, b = simhash.links_in(np.zeros(900, np.uint64), np.arange(900), words, 2)
     roots = common.local_roots(900, a, b)
     assert set(roots.tolist()) == {0}
 
