@@ -11,8 +11,8 @@ minimiser seeds (about 2 / (window - gram + 2) of all places), never whole texts
 4. resolve     the operator (an enhanced suffix array, or seed extension) finds every repeat among those contexts;
 5. apply       the spans found meet their document, and the caller's function makes its row.
 
-Buckets hold about BUCKET_BYTES of text at any scale; a key's group grows only with its distinct contexts in one
-flush, as identical ones are folded before they are sent on.
+Buckets hold about BUCKET_BYTES of text at any scale. Equal contexts of one flush are folded before they are sent on,
+so a passage that a third of all documents share sends one seed for each flush, not for each document.
 """
 
 from __future__ import annotations
@@ -68,6 +68,29 @@ def as_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(kinds, pa.int8()), pa.array(buckets, pa.int32()), pa.array(payloads, pa.binary())], schema=BLOBS)
 
 
+def variants_of(c: dict[str, np.ndarray]) -> np.ndarray:
+    """A number for each seed's whole context and the windows that it stands for."""
+    joint = (c["context"].astype(np.uint64) << np.uint64(32)) | (c["before"].astype(np.uint64) << np.uint64(16)) | c["after"]
+    return joint ^ textkit.mix((c["left"].astype(np.uint64) << np.uint64(8)) | c["right"])
+
+
+def span_of(c: dict[str, np.ndarray], rows: np.ndarray, window: int) -> dict[str, np.ndarray]:
+    at = c["at"][rows].astype(np.int64)
+    return {"doc": c["doc"][rows], "start": (at - c["left"][rows]).astype(np.uint32), "end": (at - c["right"][rows] + window).astype(np.uint32)}
+
+
+def fold(c: dict[str, np.ndarray], within: bool, window: int):
+    """Spans of seeds whose whole context stands earlier in the same flush, and the other seeds: copies meet here first."""
+    variant = variants_of(c)
+    order = np.lexsort((c["at"], c["doc"], variant, c["key"]))
+    c, variant = {k: v[order] for k, v in c.items()}, variant[order]
+    n = len(variant)
+    first = np.r_[True, (c["key"][1:] != c["key"][:-1]) | (variant[1:] != variant[:-1])]
+    first = np.flatnonzero(first)[np.cumsum(first) - 1]
+    covered = np.arange(n) != first if within else c["doc"] > c["doc"][first]
+    return span_of(c, covered, window), {k: v[~covered] for k, v in c.items()}
+
+
 def spread(group: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether each row's group has two different values."""
     if not len(group):
@@ -79,8 +102,7 @@ def spread(group: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def classify(c: dict[str, np.ndarray], within: bool, window: int):
     """Spans that whole contexts cover, and the seeds whose windows must be compared one by one."""
-    joint = (c["context"].astype(np.uint64) << np.uint64(32)) | (c["before"].astype(np.uint64) << np.uint64(16)) | c["after"]
-    variant = joint ^ textkit.mix((c["left"].astype(np.uint64) << np.uint64(8)) | c["right"])
+    variant = variants_of(c)
     _, inverse, count = np.unique(c["key"], return_inverse=True, return_counts=True)
     keep = count[inverse] > 1
     c, variant = {k: v[keep] for k, v in c.items()}, variant[keep]
@@ -100,8 +122,7 @@ def classify(c: dict[str, np.ndarray], within: bool, window: int):
         _, group = np.unique(textkit.mix(c["key"][held] ^ (c[side][held].astype(np.uint64) << np.uint64(40))), return_inverse=True)
         several[held] |= spread(group, variant_id[held]) if within else spread(group, variant_id[held]) & spread(group, c["doc"][held])
     ask = ~covered & several
-    at = c["at"].astype(np.int64)
-    spans = {"doc": c["doc"][covered], "start": (at - c["left"])[covered].astype(np.uint32), "end": (at - c["right"] + window)[covered].astype(np.uint32)}
+    spans = span_of(c, covered, window)
     return spans, {k: c[k][ask] for k in ("doc", "at", "left", "right", "key")}
 
 
@@ -115,8 +136,8 @@ def spans_of_repeats(docs: DataFrame, s: Settings, resolve: Callable[[dict[str,
         held, size = [], 0
 
         def flush():
-            c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-            return as_batch(blobs(0, bucket_of(c["key"], n), c))
+            spans, c = fold({k: np.concatenate([h[k] for h in held]) for k in held[0]}, s.within, s.window)
+            return as_batch(blobs(0, bucket_of(c["key"], n), c) + (blobs(1, bucket_of(spans["doc"], n), spans) if len(spans["doc"]) else []))
 
         for batch in batches:
             for ids, texts in common.chunks(*common.text_list(batch)):
@@ -132,8 +153,13 @@ def spans_of_repeats(docs: DataFrame, s: Settings, resolve: Callable[[dict[str,
             yield flush()
 
     def classify_bucket(table: pa.Table) -> pa.Table:
-        spans, asked = classify(common.unpack_all(table.column("payload").to_pylist()), s.within, s.window)
-        rows = (blobs(1, bucket_of(spans["doc"], n), spans) if len(spans["doc"]) else []) + (blobs(2, bucket_of(asked["doc"], n), asked) if len(asked["doc"]) else [])
+        kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
+        rows = [(1, table.column("bucket")[0].as_py(), p) for k, p in zip(kinds, payloads, strict=True) if k == 1]  # folded before
+        c = common.unpack_all([p for k, p in zip(kinds, payloads, strict=True) if k == 0])
+        if not c:
+            return pa.Table.from_batches([as_batch(rows)])
+        spans, asked = classify(c, s.within, s.window)
+        rows += (blobs(1, bucket_of(spans["doc"], n), spans) if len(spans["doc"]) else []) + (blobs(2, bucket_of(asked["doc"], n), asked) if len(asked["doc"]) else [])
         return pa.Table.from_batches([as_batch(rows)])
 
     def text_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
