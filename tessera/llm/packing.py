@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +24,8 @@ REMEMBERED = 600_000
 BUCKET_ROWS = 20_000
 #: Python's white space holds four separators more than the tokenizer's; texts with them are encoded whole.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Letters, then ASCII symbols: no rule of the tokenizer joins the two unless lower case ends the letters with a mark.
-WORD_AND_MARKS = regex.compile(r"(\p{L}+)([!-/:-@\[-`{-~]+)")
+#: ASCII marks: neither letters nor digits nor white space.
+MARKS = string.punctuation
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
 
@@ -43,25 +43,49 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memory: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def ask(self, words: list[str]) -> None:
         held = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         self.memory.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, held, strict=True))
 
+    def ask_letters(self, words: list[str], together: int = 256) -> None:
+        """Words of letters only: each is one word of the vocabulary's rules, so its ids end with a word end's id."""
+        groups = [words[i : i + together] for i in range(0, len(words), together)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            if len(ends) != len(group):
+                self.ask(group)
+                continue
+            data = ids.tobytes()
+            self.memory.update(zip(group, map(data.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())), strict=True))
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         memory = self.memory
         split = [None if ODD_SPACE.search(t) else t.split() for t in texts]
-        wanted = {w for s in split if s for w in s}
         if len(memory) > REMEMBERED:
             memory.clear()
-        missing = wanted.difference(memory)
-        if missing:
-            parts = {w: m.groups() for w in missing if (m := WORD_AND_MARKS.fullmatch(w)) and m[1].lower().isalpha()}
-            new = (missing - parts.keys()) | {p for both in parts.values() for p in both}
-            if new := list(new.difference(memory)):
-                self.ask(new)
-            for w, (a, b) in parts.items():
-                memory[w] = memory[a] + memory[b]
+        missing = set().union(*(s for s in split if s)).difference(memory)
+        letters, others, parts = set(), set(), []
+        for w in missing:
+            if all_letters(w):
+                letters.add(w)
+            elif (head := w.rstrip(MARKS)) != w and head and all_letters(head):
+                tail = w[len(head) :]  # no rule of the tokenizer joins letters and the marks behind them
+                parts.append((w, head, tail))
+                letters.add(head)
+                others.add(tail)
+            else:
+                others.add(w)
+        if letters := list(letters.difference(memory)):
+            self.ask_letters(letters)
+        if others := list(others.difference(memory)):
+            self.ask(others)
+        for w, head, tail in parts:
+            memory[w] = memory[head] + memory[tail]
         get = memory.__getitem__
         return [
             np.frombuffer(b"".join(map(get, s)), "<u4") if s is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
@@ -69,6 +93,11 @@ class WordEncoder:
         ]
 
 
+def all_letters(word: str) -> bool:
+    """Letters only, also in lower case, where a letter may become one with a mark."""
+    return word.isalpha() and (word.isascii() or word.lower().isalpha())
+
+
 _loaded: dict[str, WordEncoder] = {}
 
 
