@@ -167,7 +167,8 @@ def pq_neardup(table: DataFrame, cosine: float = 0.95) -> DataFrame:
     The search visits each coarse list whose border a linked vector may have crossed (see DEVIATIONS), filters by
     asymmetric table look-ups with a proven error bound and reranks by the exact cosine in double precision, so no link
     below the threshold is ever given. Vectors that are null, zero, hold null or non-finite components, or have another
-    length than the commonest, link with nothing and keep themselves. An empty table gives an empty result.
+    length than the commonest, link with nothing and keep themselves. A repeated row counts as another vector of the same
+    id. An empty table gives an empty result.
     """
     common.small_batches(table.sparkSession, 5000)
     rows = table.select(F.col("vec_id").cast("long"), "embedding").where("vec_id IS NOT NULL")
@@ -179,5 +180,6 @@ def pq_neardup(table: DataFrame, cosine: float = 0.95) -> DataFrame:
     named = distinct.join(components, distinct.id == components.node, "left").join(weights, "id", "left")
     named = named.select("v", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
     linked = good.join(named, "v").select("vec_id", "component", "links")
-    out = rows.select("vec_id").join(linked, "vec_id", "left")
+    alone = rows.select("vec_id").join(good.select("vec_id"), "vec_id", "left_anti")
+    out = linked.unionByName(alone.select("vec_id", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("links")))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))

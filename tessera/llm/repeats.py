@@ -79,15 +79,19 @@ def span_of(c: dict[str, np.ndarray], rows: np.ndarray, window: int) -> dict[str
     return {"doc": c["doc"][rows], "start": (at - c["left"][rows]).astype(np.uint32), "end": (at - c["right"][rows] + window).astype(np.uint32)}
 
 
+def elsewhere(c: dict[str, np.ndarray], first: np.ndarray) -> np.ndarray:
+    """Whether a seed stands at another place than the first of its kind; a repeated row's seeds stand at the same."""
+    return (c["doc"] != c["doc"][first]) | (c["at"] != c["at"][first])
+
+
 def fold(c: dict[str, np.ndarray], within: bool, window: int):
     """Spans of seeds whose whole context stands earlier in the same flush, and the other seeds: copies meet here first."""
     variant = variants_of(c)
     order = np.lexsort((c["at"], c["doc"], variant, c["key"]))
     c, variant = {k: v[order] for k, v in c.items()}, variant[order]
-    n = len(variant)
     first = np.r_[True, (c["key"][1:] != c["key"][:-1]) | (variant[1:] != variant[:-1])]
     first = np.flatnonzero(first)[np.cumsum(first) - 1]
-    covered = np.arange(n) != first if within else c["doc"] > c["doc"][first]
+    covered = elsewhere(c, first) if within else c["doc"] > c["doc"][first]
     return span_of(c, covered, window), {k: v[~covered] for k, v in c.items()}
 
 
@@ -115,7 +119,7 @@ def classify(c: dict[str, np.ndarray], within: bool, window: int):
     new = new_key | np.r_[True, variant[1:] != variant[:-1]]
     variant_id = np.cumsum(new) - 1
     first = np.flatnonzero(new)[variant_id]
-    covered = np.arange(n) != first if within else c["doc"] > c["doc"][first]
+    covered = elsewhere(c, first) if within else c["doc"] > c["doc"][first]
     several = np.zeros(n, bool)
     for side in ("before", "after"):  # another context, and another document if need be, that shares this side
         held = np.flatnonzero(c[side])
@@ -188,9 +192,12 @@ def spans_of_repeats(docs: DataFrame, s: Settings, resolve: Callable[[dict[str,
                     end = c["at"][asked_of].astype(np.int64) - c["right"][asked_of] + s.window
                     if s.unit == "word":
                         _, w0, w1, *_ = textkit.words_of([held[i]])
+                    inside = end <= (len(w0) if s.unit == "word" else len(held[i]))  # all, unless two texts share a doc_id
+                    start, end = start[inside], end[inside]
+                    if s.unit == "word":
                         start, end = w0[start], w1[end - 1]
                     pieces += [held[i][a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                    places.append(np.arange(lo[i], hi[i]))
+                    places.append(np.arange(lo[i], hi[i])[inside])
             if places:
                 at = np.concatenate(places)
                 rows = context_blobs({k: v[at] for k, v in c.items()}, pieces, n)

@@ -34,7 +34,7 @@ def extend(c: dict[str, np.ndarray], texts: list[bytes], s: repeats.Settings) ->
     offset, content, doc, place = offset[order], content[order], doc[order], place[order]
     new = np.r_[True, (key[1:] != key[:-1]) | (offset[1:] != offset[:-1]) | (content[1:] != content[:-1])]
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = np.arange(len(order)) != first if s.within else doc > doc[first]
+    later = (doc != doc[first]) | (place != place[first]) if s.within else doc > doc[first]
     return {"doc": doc[later], "start": place[later].astype(np.uint32), "end": (place[later] + s.window).astype(np.uint32)}
 
 
@@ -47,8 +47,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     docs: doc_id, text; other columns are ignored. Returns one row for each non-null doc_id: n_words, n_removed,
     kept_sha256 (of the words left, joined by a space) and, if `texts`, kept: the text itself where nothing went, else the
     words left, joined by a space. A null or empty text has no words and keeps
-    the empty string; a document shorter than the window keeps all; an empty table gives an empty result. A doc_id is
-    taken to be unique.
+    the empty string; a document shorter than the window keeps all; an empty table gives an empty result. A repeated row is
+    the same document again and gives the same row again; different texts of one doc_id share their spans.
     """
     s = repeats.Settings("word", window, gram, True)
     blobs, spans, _ = repeats.spans_of_repeats(docs, s, extend)

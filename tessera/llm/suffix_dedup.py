@@ -113,6 +113,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     n_spans, kept_sha256 of the bytes left, and the removed runs as starts and ends (bytes). Null and empty texts have
     no bytes; a text shorter than the window loses nothing; repeats inside one document alone stay; an empty table
     gives an empty result. Of equal documents the one with the smallest doc_id stays whole.
+    A repeated row gives the same row again; different texts of one doc_id share their spans.
     """
     s = repeats.Settings("byte", window, gram, False)
     blobs, spans, _ = repeats.spans_of_repeats(docs, s, intervals)

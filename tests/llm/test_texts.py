@@ -67,10 +67,21 @@ def test_substring_dedup_equals_brute_force(spark):
 
 
 def test_repeats_of_nothing(spark):
-    none = docs_of(spark, []) if False else spark.createDataFrame([], SCHEMA)
+    none = spark.createDataFrame([], SCHEMA)
     assert suffix_dedup.suffix_dedup(none).collect() == [] and substring_dedup.substring_dedup(none).collect() == []
 
 
+def test_repeated_rows_are_one_document(spark):
+    held = corpus(2)[:30]
+    docs = docs_of(spark, held)
+    for operator in (suffix_dedup.suffix_dedup, substring_dedup.substring_dedup):
+        once = sorted(map(tuple, operator(docs).collect()), key=str)
+        twice = sorted(map(tuple, operator(docs.unionByName(docs)).collect()), key=str)
+        assert twice == sorted(once * 2, key=str)
+    other = docs.unionByName(spark.createDataFrame([(i, "short", *"abcde") for i in range(30)], SCHEMA))
+    assert suffix_dedup.suffix_dedup(other).count() == 60 == substring_dedup.substring_dedup(other).count()
+
+
 def test_interval_tree_equals_brute_force():
     rng = random.Random(1)
     for _ in range(60):
