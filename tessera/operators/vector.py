@@ -81,8 +81,8 @@ def min_per_group(hits: DataFrame, group: str, by: str = "query_id") -> DataFram
 
 
 def within_candidates(queries: DataFrame, base: DataFrame, allowed: DataFrame, k: int, over: int = 5) -> DataFrame:
-    """k * over nearest first, then only ids of `allowed` (query_id, id), then the first k."""
-    hits = knn(queries, base, k * over).join(allowed, ["query_id", "id"], "left_semi")
+    """k * over nearest first, then only rows that match `allowed` (id, or query_id and id), then the first k."""
+    hits = knn(queries, base, k * over).join(allowed, allowed.columns, "left_semi")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -87,7 +88,7 @@ def _braces(language: str) -> Callable[[str], Iterator[Row]]:
 
     def run(source: str) -> Iterator[Row]:
         starts = [0, *(m.end() for m in re.finditer("\n", source))]
-        line_of = lambda at: __import__("bisect").bisect_right(starts, at)
+        line_of = lambda at: bisect_right(starts, at)
         for m in imports.finditer(source):
             name, names = _import(language, m[1])
             yield "import", name, names, line_of(m.start(1)), None, None, "direct"
