@@ -75,5 +75,30 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_embedding_neardup, op2_suffix_array_dedup, op3_nearest_neighbours, op4_simhash_neardup, op5_quality_classifier, op6_toxicity, op7_bpe_encoding, op8_licence_scan, op9_substring_dedup, op10_packing)}
 
 
+#: Links by comparing all pairs, components by following them.
+LINKS_SQL = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))) AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+    p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+    r AS (SELECT vec_id, vec_id AS seen FROM embeddings UNION SELECT r.vec_id, p.b FROM r JOIN p ON p.a = r.seen),
+    c AS (SELECT vec_id, min(seen) AS component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM p GROUP BY 1)
+    SELECT c.vec_id, coalesce(n.n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON n.a = c.vec_id"""
+
+#: Every window as text, the first of each, and the units that later ones cover.
+REPEATS_SQL = """WITH u AS (SELECT doc_id, unnest({units}) AS x, unnest(range(len({units}))) AS i FROM documents),
+    w AS (SELECT doc_id, i, x, string_agg(x, '{glue}') OVER f AS w, count(*) OVER f AS k FROM u WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {last} FOLLOWING)),
+    c AS (SELECT doc_id, i, x, k = {last} + 1 AND {later} AS later FROM w),
+    g AS (SELECT doc_id, i, x, max(later::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {last} PRECEDING AND CURRENT ROW) AS gone FROM c),
+    s AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS opens FROM g),
+    o AS (SELECT doc_id, count(*) AS n, sum(gone) AS removed, count(*) FILTER (opens) AS spans, string_agg(x, '{glue}' ORDER BY i) FILTER (gone = 0) AS kept FROM s GROUP BY 1)"""
+WORDS_SQL = (
+    REPEATS_SQL.format(units="regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')", glue=" ", last=19, later="row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1")
+    + " SELECT d.doc_id, coalesce(n, 0) AS n_words, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN o USING (doc_id)"
+)
+BYTES_SQL = (
+    REPEATS_SQL.format(units="regexp_extract_all(hex(encode(coalesce(text, ''))), '..')", glue="", last=49, later="doc_id > min(doc_id) OVER (PARTITION BY w)")
+    + " SELECT d.doc_id, coalesce(n, 0) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents d LEFT JOIN o USING (doc_id)"
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say all of a result and runs on whole tables; the other queries have brute-force tests."""
+    return {"op1_embedding_neardup": LINKS_SQL, "op2_suffix_array_dedup": BYTES_SQL, "op9_substring_dedup": WORDS_SQL}
