@@ -125,16 +125,23 @@ def parse_responses(responses: Column) -> Column:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse_response(t or "") for t in texts], columns=["summary", "findings", "quality"])
 
-    return F.pandas_udf(run, PARSED, functionType=F.PandasUDFType.SCALAR)(responses)
+    return F.pandas_udf(run, PARSED)(responses)
 
 
 def json_objects(texts: Column) -> Column:
     """The first balanced object of each text, or null."""
-    return F.pandas_udf(lambda s: s.map(lambda t: first_object(t) if t else None), "string", functionType=F.PandasUDFType.SCALAR)(texts)
+
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: first_object(t) if t else None)
+
+    return F.pandas_udf(run, "string")(texts)
 
 
 def sanitized(texts: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else sanitize(t)), "string", functionType=F.PandasUDFType.SCALAR)(texts)
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: None if t is None else sanitize(t))
+
+    return F.pandas_udf(run, "string")(texts)
 
 
 def batch_summaries(response: Column) -> Column:
