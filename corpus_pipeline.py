@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common, packing, quality, queries, simhash, substring_dedup, toxicity
 
-#: Words of a shingle, the Jaccard similarity of near-duplicates, bits of a fingerprint, and the distance met for certain.
+#: Words of a shingle, the Jaccard similarity of near-duplicates, bits of a fingerprint, and the distance that fingerprints meet at for certain.
 SHINGLE, SIMILARITY, BITS, SURE = 5, 0.8, 256, 20
 
 #: No stage's rows can be given by SQL.
@@ -28,7 +28,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates the document with the smallest doc_id."""
-    found = simhash.simhash_neardup(docs, SHINGLE, BITS, simhash.radius_of(SIMILARITY, BITS), SURE)
+    found = simhash.jaccard_neardup(docs, SHINGLE, SIMILARITY, BITS, SURE)
     return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -18,6 +18,8 @@ from tessera.llm import common, textkit
 SAMPLE = 20_000
 #: Signatures for each bucket of the probe, members of a group compared in one block, and rows of a group in one task.
 BUCKET_ROWS, BLOCK, GROUP_ROWS = 400_000, 4096, 20_000
+#: Texts and characters of each that the order of shingles is taken from, text for each bucket, partners of a document in one task.
+SETS_SAMPLE, SAMPLE_CHARS, SET_BYTES, PARTNERS = 5000, 4000, 24_000_000, 1000
 #: Multipliers that derive further 64-bit words of a wide fingerprint from a shingle's hash.
 WORD_STEP = 0x9E3779B97F4A7C15
 
@@ -168,6 +170,22 @@ def hot_keys(sample: np.ndarray, n: int, groups: list[np.ndarray], masks: list[n
     return keys[hot], np.ceil(expected[hot] / (GROUP_ROWS / 2)).astype(np.int64)
 
 
+def cut_hot(key: np.ndarray, at: np.ndarray, ident: np.ndarray, hot: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and their rows; every two parts of a hot group meet under a key of their own. ident: the id behind each key."""
+    slot = np.minimum(np.searchsorted(hot, key), max(len(hot) - 1, 0))
+    warm = np.flatnonzero(hot[slot] == key) if len(hot) else np.zeros(0, np.int64)
+    if not len(warm):
+        return key, at
+    n_parts = parts[slot[warm]]
+    own = np.repeat((textkit.mix(ident[warm].astype(np.uint64)) % n_parts.astype(np.uint64)).astype(np.int64), n_parts)
+    other = common.ragged(np.zeros(len(warm), np.int64), n_parts)
+    pair = (np.minimum(own, other) << 31 | np.maximum(own, other)).astype(np.uint64)
+    keys_of_pairs = textkit.mix(np.repeat(key[warm], n_parts) ^ textkit.mix(pair + np.uint64(1)))
+    cold = np.ones(len(key), bool)
+    cold[warm] = False
+    return np.r_[key[cold], keys_of_pairs], np.r_[at[cold], np.repeat(at[warm], n_parts)]
+
+
 def to_words(column: pa.ChunkedArray | pa.Array, words: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
 
@@ -232,17 +250,7 @@ def links(distinct: DataFrame, bits: int, radius: int, sure: int) -> DataFrame:
         for batch in batches:
             ident, w = batch.column("id").to_numpy(), to_words(batch.column("fingerprint"), words)
             key, at = signature_keys(w, groups, masks)
-            slot = np.minimum(np.searchsorted(hot, key), max(len(hot) - 1, 0))
-            warm = np.flatnonzero(hot[slot] == key) if len(hot) else np.zeros(0, np.int64)
-            if len(warm):  # every two parts of a hot group meet under a key of their own
-                n_parts = parts[slot[warm]]
-                own = np.repeat((textkit.mix(ident[at[warm]].astype(np.uint64)) % n_parts.astype(np.uint64)).astype(np.int64), n_parts)
-                other = common.ragged(np.zeros(len(warm), np.int64), n_parts)
-                pair = (np.minimum(own, other) << 31 | np.maximum(own, other)).astype(np.uint64)
-                keys_of_pairs = textkit.mix(np.repeat(key[warm], n_parts) ^ textkit.mix(pair + np.uint64(1)))
-                cold = np.ones(len(key), bool)
-                cold[warm] = False
-                key, at = np.r_[key[cold], keys_of_pairs], np.r_[at[cold], np.repeat(at[warm], n_parts)]
+            key, at = cut_hot(key, at, ident[at], hot, parts)
             bucket = (key % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             out: list[tuple[int, bytes]] = []
@@ -284,3 +292,171 @@ def simhash_neardup(docs: DataFrame, ngram: int = 3, bits: int = 64, radius: int
     found = common.connected_components(links(distinct, bits, radius, radius if sure is None else sure))
     named = distinct.join(found, distinct.id == found.node, "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, "fingerprint").select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
+def shingle_sets(texts: list[bytes], ngram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's different shingles, ascending, one text after another, and how many each has.
+
+    Words and short texts as in fingerprint_words(); a text without words has none.
+    """
+    rows, hashes, at = [], [], 0
+    for _, part in common.chunks(np.arange(len(texts)), texts):
+        buf, starts, ends, lo, hi = textkit.words_of([t.lower() for t in part])
+        count = np.where(hi > lo, np.maximum(hi - lo - ngram + 1, 1), 0)
+        first, row = textkit.ragged_windows(lo, count), np.repeat(np.arange(len(part)), count)
+        prefix = textkit.Prefix(textkit.word_hashes(buf, starts, ends), textkit.WORD_BASE)
+        h = prefix.slices(first, np.minimum(first + ngram, hi[row]))
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        rows.append(row[new] + at)
+        hashes.append(h[new])
+        at += len(part)
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.bincount(np.concatenate(rows), minlength=len(texts))
+
+
+def prefixes(hashes: np.ndarray, count: np.ndarray, similarity: float, known: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first shingles of each set in one order of all shingles (rare in the sample first): hash, whose, place in the order.
+
+    Sets of Jaccard s or more share at least s of either, so they share one of the first n - ceil(s n) + 1 of each.
+    known, seen: shingles that the sample holds more than once, ascending, and how often; any order is right.
+    """
+    row = np.repeat(np.arange(len(count)), count)
+    often = np.zeros(len(hashes), np.int64)
+    if len(known):
+        slot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        often = np.where(known[slot] == hashes, seen[slot], 0)
+    order = np.lexsort((hashes, often, row))
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count)
+    held = place < (count - np.ceil(similarity * count - 1e-9).astype(np.int64) + 1)[row]
+    return hashes[order][held], row[held], place[held]
+
+
+def meet(c: dict[str, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids, the smaller first, of different components that share a key and whose sizes and places allow the similarity."""
+    order = np.lexsort((c["ident"], c["comp"], c["key"]))
+    c = {k: v[order] for k, v in c.items()}
+    key, comp, n = c["key"], c["comp"], c["n"].astype(np.int64)
+    left = n - c["place"]  # what a pair can share from its first shared shingle on
+    starts, ends = common.runs_of(key)
+    end = np.repeat(ends, ends - starts)
+    run = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])])
+    run_end = np.repeat(np.r_[run[1:], len(key)], np.diff(np.r_[run, len(key)]))
+    later = end - run_end
+    rows = np.flatnonzero(later)
+    found = np.zeros((0, 2), np.int64)
+    batch = np.cumsum(later[rows]) // 2_000_000
+    for lo, hi in zip(*common.runs_of(batch), strict=True):
+        r = rows[lo:hi]
+        a, b = np.repeat(r, later[r]), common.ragged(run_end[r], later[r])
+        ok = np.minimum(left[a], left[b]) >= similarity / (1 + similarity) * (n[a] + n[b]) - 1e-9
+        a, b = c["ident"][a[ok]], c["ident"][b[ok]]
+        found = np.unique(np.r_[found, np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)], axis=0)
+    return found[:, 0], found[:, 1]
+
+
+def shared_prefixes(held: DataFrame, ngram: int, similarity: float, size: int) -> DataFrame:
+    """held (id, text, comp) to every pair (a, b) of ids of different components whose shingle sets can reach the similarity."""
+    n = held.count()
+    sample = held.orderBy(F.xxhash64("id"), "id").limit(SETS_SAMPLE).select("id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).toArrow()
+    hashes, count = shingle_sets([(t or "").encode() for t in sample.column("text").to_pylist()], ngram)
+    known, seen = np.unique(hashes, return_counts=True)
+    known, seen = known[seen > 1], seen[seen > 1]
+    hot, times = np.unique(prefixes(hashes, count, similarity, known, seen)[0], return_counts=True)
+    expected = times * (n / max(len(count), 1))
+    hot, parts = hot[expected > GROUP_ROWS], np.ceil(expected[expected > GROUP_ROWS] / (GROUP_ROWS / 2)).astype(np.int64)
+    buckets = max(96, size // SET_BYTES)
+
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ident, comp = batch.column("id").to_numpy(), batch.column("comp").to_numpy()
+            h, count = shingle_sets([t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()], ngram)
+            key, row, place = prefixes(h, count, similarity, known, seen)
+            key, at = cut_hot(key, np.arange(len(key)), ident[row], hot, parts)
+            row, place, key = row[at], place[at].astype(np.uint32), textkit.mix(key)
+            bucket = (key % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            out: list[tuple[int, bytes]] = []
+            for a, b in zip(*common.runs_of(bucket[order]), strict=True):
+                r = order[a:b]
+                out.append((int(bucket[r[0]]), common.pack(key=key[r], ident=ident[row[r]], comp=comp[row[r]], n=count[row[r]].astype(np.uint32), place=place[r])))
+            yield pa.record_batch([pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["bucket", "payload"])
+
+    def probe_bucket(table: pa.Table) -> pa.Table:
+        a, b = meet(common.unpack_all(table.column("payload").to_pylist()), similarity)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sent = held.select("id", "comp", "text").mapInArrow(signatures, "bucket int, payload binary")
+    return sent.groupBy("bucket").applyInArrow(probe_bucket, "a long, b long")
+
+
+def similar(pairs: DataFrame, held: DataFrame, ngram: int, similarity: float, size: int) -> DataFrame:
+    """The pairs (a, b) of ids whose texts' shingle sets have the Jaccard similarity; a's many partners are cut into parts."""
+    pairs = common.checkpoint(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    many = pairs.groupBy("a").count().where(F.col("count") > PARTNERS)
+    pairs = pairs.join(F.broadcast(many), "a", "left").select("a", "b", F.coalesce(F.expr(f"pmod(xxhash64(b), 1 + `count` div {PARTNERS})"), F.lit(0)).alias("part"))
+    asked = pairs.select("a", "part", F.col("b").alias("id")).unionByName(pairs.select("a", "part", F.col("a").alias("id")).distinct())
+    buckets = max(96, size // SET_BYTES, pairs.count() // 5000)
+    sent = held.select("id", "text").join(asked, "id").select(F.expr(f"pmod(xxhash64(a, part), {buckets})").alias("bucket"), "a", "id", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        a, ident = table.column("a").to_numpy(), table.column("id").to_numpy()
+        h, count = shingle_sets([t or b"" for t in table.column("text").cast(pa.large_binary()).to_pylist()], ngram)
+        codes, code = np.unique(h, return_inverse=True)
+        row = np.repeat(np.arange(len(a)), count)
+        _, group = np.unique(a, return_inverse=True)
+        heads = np.full(group.max() + 1, -1)
+        heads[group[a == ident]] = np.flatnonzero(a == ident)
+        head = heads[group]
+        place = head[row] * len(codes) + code
+        own = np.sort(place[head[row] == row])
+        hit = own[np.minimum(np.searchsorted(own, place), len(own) - 1)] == place if len(own) else np.zeros(len(place), bool)
+        both = np.bincount(row[hit], minlength=len(a))
+        ok = (ident != a) & (both >= similarity * (count + count[head] - both) - 1e-9)
+        return pa.table({"a": pa.array(a[ok], pa.int64()), "b": pa.array(ident[ok], pa.int64())})
+
+    return common.checkpoint(sent.groupBy("bucket").applyInArrow(compare, "a long, b long"))
+
+
+def set_digests(docs: DataFrame, ngram: int, bits: int) -> DataFrame:
+    """(doc_id, digest of the shingle set, fingerprint) of every row with a doc_id; a null text counts as empty."""
+    common.small_batches(docs.sparkSession)
+    words = bits // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = common.text_list(batch)
+            h, count = shingle_sets(texts, ngram)
+            ends = np.cumsum(count)
+            digests = [xxhash.xxh128_digest(h[a:b].tobytes()) for a, b in zip((ends - count).tolist(), ends.tolist(), strict=True)]
+            out = [fingerprint_words(t, ngram, words).astype(">u8").tobytes() for t in texts]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(out, pa.binary())], names=["doc_id", "digest", "fingerprint"])
+
+    return docs.mapInArrow(run, "doc_id long, digest binary, fingerprint binary")
+
+
+def jaccard_neardup(docs: DataFrame, ngram: int, similarity: float, bits: int, sure: int) -> DataFrame:
+    """(doc_id, component_id): documents whose sets of `ngram`-word shingles have a Jaccard similarity of at least `similarity`.
+
+    Fingerprints propose links first, as in simhash_neardup(); then every pair of documents not yet connected that
+    shares one of the first shingles of its sets is proposed, so no pair of the similarity is missed. Every proposed
+    link is decided by the Jaccard similarity of the two sets. Equal sets (also two without words) are folded to one;
+    links run over chains and component_id is the smallest doc_id reachable. Rows without a doc_id are left out.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
+    size = common.text_bytes(docs)
+    prints = common.checkpoint(set_digests(docs, ngram, bits))
+    distinct = common.checkpoint(prints.groupBy("digest").agg(F.min_by("fingerprint", "doc_id").alias("fingerprint"), F.min("doc_id").alias("id")))
+    held = docs.withColumnRenamed("doc_id", "id").join(distinct.select("id").distinct(), "id").groupBy("id").agg(F.min("text").alias("text"))
+    near = links(distinct.select("id", "fingerprint"), bits, radius_of(similarity, bits), sure)
+    first = similar(near, held, ngram, similarity, size)
+    common.small_batches(docs.sparkSession)
+    found = common.connected_components(first)
+    labelled = held.join(found, held.id == found.node, "left").select("id", "text", F.coalesce("component", "id").alias("comp"))
+    more = similar(shared_prefixes(labelled, ngram, similarity, size), held, ngram, similarity, size)
+    found = common.connected_components(first.unionByName(more))
+    named = distinct.join(found, distinct.id == found.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    return prints.join(named, "digest").select("doc_id", "component_id")

@@ -1,5 +1,7 @@
 """Vector and fingerprint operators against brute force."""
 
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -99,6 +101,41 @@ def test_wide_fingerprints_find_near_copies(spark):
     assert simhash.simhash_neardup(docs.limit(0)).collect() == []
 
 
+def shingle_jaccard(a, b, n=5):
+    def sets(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + n]) for i in range(max(len(w) - n + 1, 1))} if w else {()}
+
+    x, y = sets(a), sets(b)
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("rows", [20_000, 4])
+def test_jaccard_equals_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", rows)
+    monkeypatch.setattr(simhash, "PARTNERS", rows)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randint(0, 5000)}"
+    common_line = [word() for _ in range(15)]
+    held = []
+    for n in [12, 25, 40, 60, 60, 90, 150, 300] * 4:
+        base = [word() for _ in range(n)] + (common_line if rng.random() < 0.5 else [])
+        for _ in range(6):  # pairs from 0.6 to 1
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = word()
+            held.append(" ".join(w))
+    held += [None, "", "one", "One", "a b c d e", "a b c d", held[0] + " ", "x y z x y z " * 40, "x y z x y z " * 4]
+    n = len(held)
+    j = np.array([[shingle_jaccard(a, b) for b in held] for a in held])
+    assert ((j >= 0.8) & (j < 0.9)).sum() > 40 and ((j >= 0.7) & (j < 0.8)).sum() > 40
+    roots = common.local_roots(n, *np.nonzero(j >= 0.8))
+    docs = spark.createDataFrame(list(enumerate(held)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.jaccard_neardup(docs, 5, 0.8, 256, 20).collect()}
+    assert got == {i: int(r) for i, r in enumerate(roots)}
+    assert simhash.jaccard_neardup(docs.limit(0), 5, 0.8, 256, 20).collect() == []
+
+
 def test_pigeonhole_plan_covers_the_radius():
     rng = np.random.default_rng(0)
     sample = rng.integers(0, 1 << 63, (500, 1), dtype=np.uint64)

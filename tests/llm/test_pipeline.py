@@ -44,3 +44,24 @@ def test_stages(spark, tmp_path):
     assert passage in kept["substring_dedup"][1010].text and passage not in kept["substring_dedup"][1011].text
     assert set(kept["packing"]) == set(kept["substring_dedup"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_near_duplicates_are_what_the_shingles_say(spark, tmp_path):
+    rng = random.Random(7)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randint(0, 3000)}" for _ in range(rng.choice([30, 60, 100]))]
+        for _ in range(3):  # one or two words changed: pairs on either side of 0.8
+            w = list(base)
+            for _ in range(rng.randint(1, 2)):
+                w[rng.randrange(len(w))] = "new" + str(rng.random())
+            texts.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(None, texts[0], "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert sorted(i for i in got if i is not None) == [i for i, r in enumerate(root) if i == r] and got.count(None) == 1
