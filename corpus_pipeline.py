@@ -33,9 +33,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words that repeat an earlier passage; n_chars follows."""
-    kept = substring_dedup.substring_dedup(docs).select("doc_id", "kept")
-    out = docs.drop("text").join(kept, "doc_id", "left").withColumnRenamed("kept", "text")
+    """Texts without the words that repeat an earlier passage; n_chars follows.
+
+    Every row stays: repeated rows of a doc_id each once, and rows without a doc_id with their whole text.
+    """
+    kept = substring_dedup.substring_dedup(docs, digests=True).select("doc_id", "text_sha256", "kept").dropDuplicates(["doc_id", "text_sha256"])
+    named = docs.where("doc_id IS NOT NULL").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    named = named.join(kept, ["doc_id", "text_sha256"], "left").withColumn("text", F.col("kept")).select(docs.columns)
+    out = named.unionByName(docs.where("doc_id IS NULL"))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 

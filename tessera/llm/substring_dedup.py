@@ -38,15 +38,15 @@ def extend(c: dict[str, np.ndarray], texts: list[bytes], s: repeats.Settings) ->
     return {"doc": doc[later], "start": place[later].astype(np.uint32), "end": (place[later] + s.window).astype(np.uint32)}
 
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("text_sha256", pa.string())])
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = True, digests: bool = False) -> DataFrame:
     """Remove every word that a repeat of `window` or more words covers, but at its first place in (doc_id, start).
 
     docs: doc_id, text; other columns are ignored. Returns one row for each non-null doc_id: n_words, n_removed,
     kept_sha256 (of the words left, joined by a space) and, if `texts`, kept: the text itself where nothing went, else the
-    words left, joined by a space. A null or empty text has no words and keeps
+    words left, joined by a space. With `digests`, text_sha256 tells the texts of one doc_id apart (null: as empty). A null or empty text has no words and keeps
     the empty string; a document shorter than the window keeps all; an empty table gives an empty result. A repeated row is
     the same document again and gives the same row again; different texts of one doc_id share their spans.
     """
@@ -59,6 +59,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
         for a, b in zip(starts.tolist()[::-1], ends.tolist()[::-1], strict=True):
             kept = kept[:a] + kept[b:]
         whole = b" ".join(kept)
-        return doc_id, len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), (whole if len(kept) < len(words) else text).decode("utf-8", "replace") if texts else None
+        return doc_id, len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), (whole if len(kept) < len(words) else text).decode("utf-8", "replace") if texts else None, hashlib.sha256(text).hexdigest() if digests else None
 
-    return repeats.apply_spans(blobs, spans, row, SCHEMA, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = repeats.apply_spans(blobs, spans, row, SCHEMA, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, text_sha256 string")
+    return out if digests else out.drop("text_sha256")

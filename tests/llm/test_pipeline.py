@@ -65,3 +65,13 @@ def test_near_duplicates_are_what_the_shingles_say(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(None, texts[0], "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     got = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
     assert sorted(i for i in got if i is not None) == [i for i, r in enumerate(root) if i == r] and got.count(None) == 1
+
+
+def test_repeated_passages_keep_every_row(spark, tmp_path):
+    passage, own = " ".join(f"p{i}" for i in range(30)), lambda k: " ".join(f"o{k}_{i}" for i in range(10))
+    rows = [(1, passage + " " + own(1)), (2, own(2) + " " + passage), (2, own(2) + " " + passage), (3, own(3)), (3, own(4)), (None, own(5)), (None, passage), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_repeated_passages(spark, docs, str(tmp_path)).collect()
+    want = [(1, passage + " " + own(1)), (2, own(2)), (2, own(2)), (3, own(3)), (3, own(4)), (None, own(5)), (None, passage), (4, "")]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.n_chars == len(r.text) for r in got)
