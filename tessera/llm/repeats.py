@@ -70,8 +70,8 @@ def as_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def variants_of(c: dict[str, np.ndarray]) -> np.ndarray:
     """A number for each seed's whole context and the windows that it stands for."""
-    joint = (c["context"].astype(np.uint64) << np.uint64(32)) | (c["before"].astype(np.uint64) << np.uint64(16)) | c["after"]
-    return joint ^ textkit.mix((c["left"].astype(np.uint64) << np.uint64(8)) | c["right"])
+    sides = (c["before"].astype(np.uint64) << np.uint64(32)) | (c["after"].astype(np.uint64) << np.uint64(16))
+    return c["context"] ^ textkit.mix(sides | (c["left"].astype(np.uint64) << np.uint64(8)) | c["right"])
 
 
 def span_of(c: dict[str, np.ndarray], rows: np.ndarray, window: int) -> dict[str, np.ndarray]:

@@ -85,7 +85,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (w - have)], m[w - have :]) if w > have else m
 
 
-SEED = (("piece", np.int32), ("at", np.uint32), ("left", np.uint8), ("right", np.uint8), ("key", np.uint64), ("context", np.uint32), ("before", np.uint16), ("after", np.uint16))
+SEED = (("piece", np.int32), ("at", np.uint32), ("left", np.uint8), ("right", np.uint8), ("key", np.uint64), ("context", np.uint64), ("before", np.uint16), ("after", np.uint16))
 
 
 def seeds(values: np.ndarray, base: int, lo: np.ndarray, hi: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
@@ -93,8 +93,8 @@ def seeds(values: np.ndarray, base: int, lo: np.ndarray, hi: np.ndarray, window:
 
     Each window picks the gram (of `gram` units) with the least hash, leftmost first, so equal windows pick alike
     wherever they stand. A row covers the run of windows that pick the same place: piece, at (of the gram, from the
-    piece's start), left and right (windows start at - left ... at - right), key (hash of the gram), context (32 bits
-    of a hash of all that the run's windows span), before and after (16 bits each of a hash of the gram with the
+    piece's start), left and right (windows start at - left ... at - right), key (hash of the gram), context (64-bit
+    hash of all that the run's windows span), before and after (16 bits each of a hash of the gram with the
     `half` units before or after it; zero if no window of the run holds those). Every window holds one of the two, so
     seeds of one key that share neither share no window.
     """
@@ -113,7 +113,7 @@ def seeds(values: np.ndarray, base: int, lo: np.ndarray, hi: np.ndarray, window:
     last = np.r_[first[1:], len(starts)] - 1
     anchor, piece, begin, end = anchor[first], piece[first], starts[first], starts[last]
     left, right, half = anchor - begin, anchor - end, -(-(window - gram) // 2)
-    context = (prefix.slices(begin, end + window) >> np.uint64(32)).astype(np.uint32)
+    context = prefix.slices(begin, end + window)
     held = left >= half
     before = np.where(held, prefix.slices(np.where(held, anchor - half, anchor), anchor + gram) >> np.uint64(48) | np.uint64(1), 0)
     held = window - gram - right >= half

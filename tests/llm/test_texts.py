@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tessera.llm import bpe, licences, packing, quality, substring_dedup, suffix_dedup, toxicity
+from tessera.llm import bpe, licences, packing, quality, repeats, substring_dedup, suffix_dedup, textkit, toxicity
 
 public = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, n_bytes string, kept string, word string, severity string, score string"
@@ -82,6 +82,23 @@ def test_repeated_rows_are_one_document(spark):
     assert suffix_dedup.suffix_dedup(other).count() == 60 == substring_dedup.substring_dedup(other).count()
 
 
+def test_different_contexts_are_not_folded():
+    """300,000 texts of one window that differ in the last bytes only: 32 bits of a hash would take some for equal."""
+    rng, n, window, gram = np.random.default_rng(3), 300_000, suffix_dedup.WINDOW, suffix_dedup.GRAM
+    for _ in range(100):
+        head = np.tile(rng.integers(97, 123, window - 4), (n, 1))
+        tail = np.stack([97 + np.arange(n) // 24**k % 24 for k in range(4)], axis=1)
+        values = np.c_[head, tail].astype(np.uint64).ravel() + np.uint64(1)
+        lo = np.arange(n) * window
+        c = textkit.seeds(values[:window], textkit.BYTE_BASE, lo[:1], lo[:1] + window, window, gram)
+        if (window - gram) // 2 + 1 < c["left"][0] <= window - 4 - gram:  # the seed stands late, so no `after` tells them apart
+            break
+    c = textkit.seeds(values, textkit.BYTE_BASE, lo, lo + window, window, gram)
+    c["doc"] = c.pop("piece").astype(np.int64)
+    spans, left = repeats.fold(c, False, window)
+    assert len(left["doc"]) == n and not len(spans["doc"])
+
+
 def test_interval_tree_equals_brute_force():
     rng = random.Random(1)
     for _ in range(60):
