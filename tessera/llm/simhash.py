@@ -358,10 +358,10 @@ def meet(c: dict[str, np.ndarray], similarity: float) -> tuple[np.ndarray, np.nd
     return found[:, 0], found[:, 1]
 
 
-def shared_prefixes(held: DataFrame, ngram: int, similarity: float, size: int) -> DataFrame:
-    """held (id, text, comp) to every pair (a, b) of ids of different components whose shingle sets can reach the similarity."""
-    n = held.count()
-    sample = held.orderBy(F.xxhash64("id"), "id").limit(SETS_SAMPLE).select("id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).toArrow()
+def shared_prefixes(docs: DataFrame, held: DataFrame, ngram: int, similarity: float, size: int) -> DataFrame:
+    """docs (doc_id, text) for a sample, held (id, text, comp) to every pair (a, b) of ids of different components whose shingle sets can reach the similarity."""
+    n = docs.count()
+    sample = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SETS_SAMPLE).toArrow()
     hashes, count = shingle_sets([(t or "").encode() for t in sample.column("text").to_pylist()], ngram)
     known, seen = np.unique(hashes, return_counts=True)
     known, seen = known[seen > 1], seen[seen > 1]
@@ -382,11 +382,12 @@ def shared_prefixes(held: DataFrame, ngram: int, similarity: float, size: int) -
             out: list[tuple[int, bytes]] = []
             for a, b in zip(*common.runs_of(bucket[order]), strict=True):
                 r = order[a:b]
-                out.append((int(bucket[r[0]]), common.pack(key=key[r], ident=ident[row[r]], comp=comp[row[r]], n=count[row[r]].astype(np.uint32), place=place[r])))
+                out.append((int(bucket[r[0]]), common.pack(key=(key[r] >> np.uint64(32)).astype(np.uint32), ident=ident[row[r]], above=ident[row[r]] - comp[row[r]], n=count[row[r]].astype(np.uint32), place=place[r])))
             yield pa.record_batch([pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["bucket", "payload"])
 
     def probe_bucket(table: pa.Table) -> pa.Table:
-        a, b = meet(common.unpack_all(table.column("payload").to_pylist()), similarity)
+        c = common.unpack_all(table.column("payload").to_pylist())  # 32 bits of a key: a chance meeting is undone by similar()
+        a, b = meet({**c, "comp": c["ident"] - c["above"]}, similarity) if c else (np.zeros(0, np.int64),) * 2
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     sent = held.select("id", "comp", "text").mapInArrow(signatures, "bucket int, payload binary")
@@ -451,12 +452,17 @@ def jaccard_neardup(docs: DataFrame, ngram: int, similarity: float, bits: int, s
     prints = common.checkpoint(set_digests(docs, ngram, bits))
     distinct = common.checkpoint(prints.groupBy("digest").agg(F.min_by("fingerprint", "doc_id").alias("fingerprint"), F.min("doc_id").alias("id")))
     held = docs.withColumnRenamed("doc_id", "id").join(distinct.select("id").distinct(), "id").groupBy("id").agg(F.min("text").alias("text"))
-    near = links(distinct.select("id", "fingerprint"), bits, radius_of(similarity, bits), sure)
-    first = similar(near, held, ngram, similarity, size)
+    near = common.checkpoint(links(distinct.select("id", "fingerprint"), bits, radius_of(similarity, bits), sure))
+    common.free_shuffles(docs.sparkSession)
     common.small_batches(docs.sparkSession)
+    first = similar(near, held, ngram, similarity, size)
+    common.free_shuffles(docs.sparkSession)
     found = common.connected_components(first)
     labelled = held.join(found, held.id == found.node, "left").select("id", "text", F.coalesce("component", "id").alias("comp"))
-    more = similar(shared_prefixes(labelled, ngram, similarity, size), held, ngram, similarity, size)
+    other = common.checkpoint(shared_prefixes(docs, labelled, ngram, similarity, size))
+    common.free_shuffles(docs.sparkSession)
+    more = similar(other, held, ngram, similarity, size)
+    common.free_shuffles(docs.sparkSession)
     found = common.connected_components(first.unionByName(more))
     named = distinct.join(found, distinct.id == found.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, "digest").select("doc_id", "component_id")
