@@ -126,7 +126,6 @@ def nearest_neighbours(table: DataFrame, k: int = 5, every: int = 50) -> DataFra
     no part. Fewer than k candidates give fewer rows; an empty table gives none.
     """
     spark = table.sparkSession
-    common.small_batches(spark, 5000)
     good = common.checkpoint(vectors.usable(table))
     n = good.count()
     schema = "query_id long, rank int, vec_id long, score double"

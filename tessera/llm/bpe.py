@@ -236,11 +236,9 @@ def bpe_encode(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
     text gives no ids and an empty string; rows without a doc_id are left out; other columns are ignored; very long
     words cost time in proportion to their length.
     """
-    common.small_batches(docs.sparkSession, 500)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(path)
-        for batch in batches:
+        for batch in common.slices(batches, 500):
             texts = batch.column("text").to_pylist()
             ids = [machine.encode(t) if t else [] for t in texts]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -16,10 +17,14 @@ CHUNK_BYTES = 1_500_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the cluster's spark.checkpoint.dir; only where none is set (tests) make one."""
+    """Take the cluster's spark.checkpoint.dir. Where none is set, a local master (tests) gets a folder; a cluster must name a shared one."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -33,21 +38,43 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, so that a Python worker never holds many long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of few rows. Spark ends a batch at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch) or after one
+    longer row, which bounds what a worker holds; no session setting is touched."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def text_bytes(docs: DataFrame) -> int:
-    """UTF-8 bytes of all texts; sizes the buckets, so that each holds about as much at every scale."""
-    return int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"])
+def rows_and_bytes(docs: DataFrame) -> tuple[int, int]:
+    """Rows, and UTF-8 bytes of all texts; these size the buckets, so that each holds about as much at every scale."""
+    r = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()
+    return int(r["rows"]), int(r["n"])
+
+
+def concat(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
+
+
+def two(head: bytes, body: bytes) -> bytes:
+    """Two payloads as one."""
+    return len(head).to_bytes(4, "little") + head + body
+
+
+def split_two(payload: bytes) -> tuple[bytes, bytes]:
+    k = 4 + int.from_bytes(payload[:4], "little")
+    return payload[4:k], payload[k:]
 
 
 def pack(**columns: np.ndarray) -> bytes:
-    """Numeric columns of one length as one compressed payload that names its columns."""
+    """Numeric columns of one length as one compressed payload that names its columns.
+
+    The bytes of a column lie by their place in the number, so that the high bytes, mostly alike, compress to nothing.
+    """
     n = len(next(iter(columns.values())))
     head = f"{n} " + " ".join(f"{k}{v.dtype.str}" for k, v in columns.items()) + "\n"
-    return zstandard.ZstdCompressor(level=1).compress(head.encode() + b"".join(v.tobytes() for v in columns.values()))
+    planes = (np.ascontiguousarray(v).view(np.uint8).reshape(n, v.itemsize).T.tobytes() if n else b"" for v in columns.values())
+    return zstandard.ZstdCompressor(level=1).compress(head.encode() + b"".join(planes))
 
 
 def unpack(payload: bytes) -> dict[str, np.ndarray]:
@@ -58,14 +85,15 @@ def unpack(payload: bytes) -> dict[str, np.ndarray]:
     out = {}
     for kind in kinds:
         cut = next(i for i, c in enumerate(kind) if c in "<>|")  # where the dtype starts
-        out[kind[:cut]] = np.frombuffer(data, kind[cut:], int(n), at)
-        at += out[kind[:cut]].nbytes
+        kept = np.dtype(kind[cut:])
+        size = int(n) * kept.itemsize
+        out[kind[:cut]] = np.ascontiguousarray(np.frombuffer(data, np.uint8, size, at).reshape(kept.itemsize, int(n)).T).view(kept).ravel()
+        at += size
     return out
 
 
 def unpack_all(payloads) -> dict[str, np.ndarray]:
-    parts = [unpack(p) for p in payloads]
-    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
+    return concat([unpack(p) for p in payloads])
 
 
 def pack_texts(ids: np.ndarray, texts: list[bytes]) -> bytes:
@@ -103,10 +131,9 @@ def chunks(ids: np.ndarray, texts: list[bytes], most: int = CHUNK_BYTES):
 
 def keep_rows(docs: DataFrame, keep: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """The rows of docs, with all their columns, for whose texts (null: empty) `keep` gives True; nothing is shuffled."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
             masks = [keep(t) for _, t in chunks(np.arange(len(texts)), texts)]
             yield batch.filter(pa.array(np.concatenate(masks) if masks else np.zeros(0, bool)))
@@ -146,6 +173,21 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+#: Links of a node beyond which it is joined by broadcast, and the most such nodes that there can be.
+HOT_LINKS, HOT_NODES = 1000, 200_000
+
+
+def to_each(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """edges (u, v) with the m of u from least (u, m, n: links of u). Nodes with very many links meet theirs by broadcast:
+    of `n` links in all, each counted at both ends, at most HOT_NODES nodes can have that many."""
+    hot = max(HOT_LINKS, 2 * n // HOT_NODES)
+    if n <= hot:
+        return edges.join(least.select("u", "m"), "u")
+    of_hot = F.broadcast(least.where(F.col("n") > hot).select("u", "m"))
+    cold = edges.join(of_hot, "u", "left_anti").join(least.where(F.col("n") <= hot).select("u", "m"), "u")
+    return cold.unionByName(edges.join(of_hot, "u"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a long, b long) links to (node, component): the smallest node reachable, by alternating large and small stars.
 
@@ -156,15 +198,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e, last = checkpoint(e), None
     while True:
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if not now["n"] or now == last:
+        n = now["n"]
+        if not n or now == last:
             break
         last = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = e.select(F.col("v").alias("u"), F.col("u").alias("v")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        big = to_each(e.select(F.col("v").alias("u"), F.col("u").alias("v")), low, n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # each node's own smaller neighbours, all hung on the smallest of them
-        big = big.distinct()
-        least = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(least, "u")
+        least = big.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = to_each(big, least, n)
         e = checkpoint(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

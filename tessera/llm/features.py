@@ -7,10 +7,40 @@ import numpy as np
 from tessera.llm import textkit
 
 BITS = 18
+#: Odd multipliers of the polynomial hashes modulo 2**64; a clash of two features costs a little accuracy, never a wrong row.
+BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: The hash of every bigram of a token with itself.
 REPEAT = 0xA24BAED4963EE407
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 ... base ** n modulo 2**64."""
+    have = _powers.get(base)
+    if have is None or len(have) <= n:
+        have = np.full(max(n + 1, 1 << 16), base, np.uint64)
+        have[0] = 1
+        np.cumprod(have, out=have)
+        _powers[base] = have
+    return have[: n + 1]
+
+
+class Prefix:
+    """Hash of any slice of a sequence of uint64 values in constant time."""
+
+    def __init__(self, values: np.ndarray, base: int):
+        n = len(values)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * powers(base, n)[:n], out=self.sums[1:])
+        self.back = powers(pow(base, -1, 1 << 64), n)
+
+    def slices(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        raw = (self.sums[ends] - self.sums[starts]) * self.back[starts]
+        return textkit.mix(raw ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+
+
 def token_hashes(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Hashes of all tokens, for each text its first token and the one after its last, and for each length in
     `prefixes` the longer tokens and the hashes of their first so many bytes.
@@ -26,7 +56,7 @@ def token_hashes(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[np
     ends = np.r_[edge[1:], len(run)]
     held = run[edge] > 0
     starts, ends = edge[held], ends[held]
-    prefix = textkit.Prefix(buf.astype(np.uint64) + np.uint64(1), textkit.BYTE_BASE)
+    prefix = Prefix(buf.astype(np.uint64) + np.uint64(1), BYTE_BASE)
     heads = []
     for n in prefixes:
         longer = np.flatnonzero(ends - starts > n)
@@ -51,7 +81,7 @@ def sparse(texts: list[bytes], ngrams: int = 2, bits: int = BITS, presence: bool
     for n in range(1, ngrams + 1):
         if n > 1:
             same = h[:-1] == hashes[1:] if n == 2 else np.zeros(max(len(h) - 1, 0), bool)
-            h = textkit.mix(h[:-1] * np.uint64(textkit.WORD_BASE) + hashes[n - 1 :])
+            h = textkit.mix(h[:-1] * np.uint64(WORD_BASE) + hashes[n - 1 :])
             h[same] = np.uint64(REPEAT)
         count = np.maximum(hi - lo - n + 1, 0)
         rows.append(np.repeat(np.arange(len(texts)), count))

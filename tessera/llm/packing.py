@@ -109,11 +109,9 @@ def encoder(path: str) -> WordEncoder:
 
 def cut(docs: DataFrame, path: str, length: int, tokens: bool) -> DataFrame:
     """PIECE rows: every document's ids and END in full sequences, and what is left as one piece."""
-    common.small_batches(docs.sparkSession, 1000)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
-        for batch in batches:
+        for batch in common.slices(batches):
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode_batch([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 ids = np.append(ids, np.uint32(END)).astype("<u4")
@@ -216,7 +214,6 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, tokens: boo
     without a doc_id are left out; an empty table gives no sequences. The plan's size depends on the number of classes
     only, not on the number of documents.
     """
-    spark = docs.sparkSession
     pieces = cut(docs, path, length, tokens)
     if not tokens:
         pieces = pieces.drop("ids")
@@ -257,7 +254,6 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, tokens: boo
             yield pa.record_batch([*columns, pa.array(out, pa.int64())], names=[*names, "sequence_id"])
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if tokens else [])]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000" if tokens else "20000")
     placed = ranked.select(*names, "kind", "rank").mapInArrow(place, ", ".join(f"{c} {'array<int>' if c == 'ids' else 'long'}" for c in names) + ", sequence_id long")
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))

@@ -170,7 +170,6 @@ def pq_neardup(table: DataFrame, cosine: float = 0.95) -> DataFrame:
     length than the commonest, link with nothing and keep themselves. A repeated row counts as another vector of the same
     id. An empty table gives an empty result.
     """
-    common.small_batches(table.sparkSession, 5000)
     rows = table.select(F.col("vec_id").cast("long"), "embedding").where("vec_id IS NOT NULL")
     good = common.checkpoint(vectors.usable(rows))
     distinct = common.checkpoint(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))

@@ -81,10 +81,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int
 
 def score_quality(docs: DataFrame, model: Logistic) -> DataFrame:
     """(doc_id, score): the model's probability that a whole text is good, by sparse dot products. Null counts as empty."""
-    common.small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             ids, texts = common.text_list(batch)
             scores = [model.score(t) for _, t in common.chunks(ids, texts)]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["doc_id", "score"])

@@ -19,7 +19,11 @@ SAMPLE = 20_000
 #: Signatures for each bucket of the probe, members of a group compared in one block, and rows of a group in one task.
 BUCKET_ROWS, BLOCK, GROUP_ROWS = 400_000, 4096, 20_000
 #: Texts and characters of each that the order of shingles is taken from, text for each bucket, partners of a document in one task.
-SETS_SAMPLE, SAMPLE_CHARS, SET_BYTES, PARTNERS = 5000, 4000, 24_000_000, 1000
+SETS_SAMPLE, SAMPLE_CHARS, SET_BYTES, PARTNERS = 5000, 4000, 8_000_000, 250
+#: Fingerprints of the sample that meetings are counted on, and masks of a threshold at most.
+COUNTED, MASKS = 8000, 600
+#: Rows of a small side that are broadcast, at most; more are joined by a shuffle.
+BROADCAST = 1_000_000
 #: Multipliers that derive further 64-bit words of a wide fingerprint from a shingle's hash.
 WORD_STEP = 0x9E3779B97F4A7C15
 
@@ -53,11 +57,10 @@ def fingerprint_words(text: bytes, ngram: int, words: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, ngram: int = 3, bits: int = 64) -> DataFrame:
     """(doc_id, fingerprint binary, big-endian) of every row with a doc_id; a null text counts as empty."""
-    common.small_batches(docs.sparkSession)
     words = bits // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             ids, texts = common.text_list(batch)
             out = [fingerprint_words(t, ngram, words).astype(">u8").tobytes() for t in texts]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "fingerprint"])
@@ -123,29 +126,59 @@ def allocate(counts: np.ndarray, budget: int) -> tuple[int, list[int]]:
     return best[budget]
 
 
+def meetings(values: np.ndarray, width: int, radius: int) -> np.ndarray:
+    """For t = 0 ... radius the share of pairs of the sample whose values of one group differ in at most t bits."""
+    n = len(values)
+    out = np.zeros(radius + 1)
+    if n < 2:
+        return out
+    keys, count = np.unique(values, return_counts=True)
+    if width <= 16:
+        table = np.zeros(1 << width, np.int64)
+        table[keys.astype(np.int64)] = count
+    for t in range(radius + 1):
+        for c in combinations(range(width), t):
+            other = keys ^ np.uint64(sum(1 << b for b in c))
+            if width <= 16:
+                both = table[other.astype(np.int64)]
+            else:
+                at = np.minimum(np.searchsorted(keys, other), len(keys) - 1)
+                both = np.where(keys[at] == other, count[at], 0)
+            out[t:] += float((count * (both - (t == 0))).sum())
+    return out / (n * (n - 1.0))
+
+
 def plan(sample: np.ndarray, n: int, bits: int, radius: int, most: int = 2) -> tuple[list[np.ndarray], list[int]]:
     """Groups of bits and their thresholds for all pairs within `radius` bits among n fingerprints.
 
     By the generalised pigeonhole principle a pair within the radius agrees to within its threshold on some group if
-    the thresholds add up to radius - groups + 1. For every number of groups, the expected candidates (from the
-    sample's distribution of each group's values) and the signatures written are weighed, and the cheapest plan wins.
+    the thresholds add up to radius - groups + 1. For every number of groups, the expected candidates and the signatures
+    written are weighed, and the cheapest plan wins. Candidates are counted on the sample, as the bits of a group are
+    correlated: pairs whose values meet within the threshold. What a sample of this size cannot show is taken from the bits'
+    rates as if they were independent. Thresholds of more than MASKS masks are never cheap and are not counted.
     """
     unpacked = np.unpackbits(sample.astype(">u8").view(np.uint8).reshape(len(sample), -1), axis=1)[:, :bits].astype(np.float64)
     plans = []
     for parts in range(2, radius + 2) if radius else (1,):
         groups = partition_bits(unpacked, parts)
-        costs = np.zeros((parts, min(most, radius) + 2))
+        costs = np.full((parts, min(most, radius) + 2), np.inf)
+        costs[:, 0] = 0
         for i, g in enumerate(groups):
+            if len(g) > 64:  # more bits than a signature holds
+                continue
             p = unpacked[:, g].mean(axis=0)
-            meet = np.prod(p * p + (1 - p) * (1 - p))  # two fingerprints agree on the whole group
-            for t in range(min(most, radius) + 1):
-                masks = sum(len(list(combinations(range(len(g)), r))) for r in range(t + 1))
-                costs[i, t + 1] = n * masks * 8.0 + n * (n * meet * masks) * 0.02
+            agree = np.prod(p * p + (1 - p) * (1 - p))  # two fingerprints agree on the whole group
+            masks = np.cumsum([math.comb(len(g), r) for r in range(min(most, radius) + 1)])
+            counted = meetings(group_values(sample[:COUNTED], g), len(g), int((masks <= MASKS).sum()) - 1)
+            for t in range(len(counted)):
+                meet = max(counted[t], agree * masks[t])
+                costs[i, t + 1] = n * masks[t] * 8.0 + n * (n * meet) * 0.02
         try:
             cost, thresholds = allocate(costs, radius - parts + 1)
         except KeyError:
             continue
-        plans.append((cost, parts, groups, thresholds))
+        if math.isfinite(cost):
+            plans.append((cost, parts, groups, thresholds))
     _, _, groups, thresholds = min(plans, key=lambda p: p[:2])
     return groups, thresholds
 
@@ -264,7 +297,6 @@ def links(distinct: DataFrame, bits: int, radius: int, sure: int) -> DataFrame:
         a, b = links_in(c["key"], c["ident"], np.stack([c[f"w{k}"] for k in range(words)], axis=1), radius)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     sent = distinct.select("id", "fingerprint").mapInArrow(signatures, "bucket int, payload binary")
     return sent.groupBy("bucket").applyInArrow(probe_bucket, "a long, b long")
 
@@ -301,11 +333,12 @@ def shingle_sets(texts: list[bytes], ngram: int) -> tuple[np.ndarray, np.ndarray
     """
     rows, hashes, at = [], [], 0
     for _, part in common.chunks(np.arange(len(texts)), texts):
-        buf, starts, ends, lo, hi = textkit.words_of([t.lower() for t in part])
-        count = np.where(hi > lo, np.maximum(hi - lo - ngram + 1, 1), 0)
+        part = [t.lower() for t in part]
+        n = np.fromiter((len(t.split()) for t in part), np.int64, len(part))
+        lo, hi = np.cumsum(n) - n, np.cumsum(n)
+        count = np.where(n > 0, np.maximum(n - ngram + 1, 1), 0)
         first, row = textkit.ragged_windows(lo, count), np.repeat(np.arange(len(part)), count)
-        prefix = textkit.Prefix(textkit.word_hashes(buf, starts, ends), textkit.WORD_BASE)
-        h = prefix.slices(first, np.minimum(first + ngram, hi[row]))
+        h = textkit.Slices(textkit.word_hashes(part), 1, False).hash(first, np.minimum(ngram, hi[row] - first))
         order = np.lexsort((h, row))
         h, row = h[order], row[order]
         new = np.ones(len(h), bool)
@@ -348,7 +381,7 @@ def meet(c: dict[str, np.ndarray], similarity: float) -> tuple[np.ndarray, np.nd
     later = end - run_end
     rows = np.flatnonzero(later)
     found = np.zeros((0, 2), np.int64)
-    batch = np.cumsum(later[rows]) // 2_000_000
+    batch = np.cumsum(later[rows]) // 500_000
     for lo, hi in zip(*common.runs_of(batch), strict=True):
         r = rows[lo:hi]
         a, b = np.repeat(r, later[r]), common.ragged(run_end[r], later[r])
@@ -358,10 +391,16 @@ def meet(c: dict[str, np.ndarray], similarity: float) -> tuple[np.ndarray, np.nd
     return found[:, 0], found[:, 1]
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """A checkpointed side of a join, broadcast if it has at most BROADCAST rows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+
+
 def shared_prefixes(docs: DataFrame, held: DataFrame, ngram: int, similarity: float, size: int) -> DataFrame:
     """docs (doc_id, text) for a sample, held (id, text, comp) to every pair (a, b) of ids of different components whose shingle sets can reach the similarity."""
     n = docs.count()
-    sample = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SETS_SAMPLE).toArrow()
+    sampled = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SETS_SAMPLE))) == 0).limit(2 * SETS_SAMPLE)
+    sample = sampled.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).toArrow()
     hashes, count = shingle_sets([(t or "").encode() for t in sample.column("text").to_pylist()], ngram)
     known, seen = np.unique(hashes, return_counts=True)
     known, seen = known[seen > 1], seen[seen > 1]
@@ -371,7 +410,7 @@ def shared_prefixes(docs: DataFrame, held: DataFrame, ngram: int, similarity: fl
     buckets = max(96, size // SET_BYTES)
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             ident, comp = batch.column("id").to_numpy(), batch.column("comp").to_numpy()
             h, count = shingle_sets([t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()], ngram)
             key, row, place = prefixes(h, count, similarity, known, seen)
@@ -394,18 +433,27 @@ def shared_prefixes(docs: DataFrame, held: DataFrame, ngram: int, similarity: fl
     return sent.groupBy("bucket").applyInArrow(probe_bucket, "a long, b long")
 
 
-def similar(pairs: DataFrame, held: DataFrame, ngram: int, similarity: float, size: int) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' shingle sets have the Jaccard similarity; a's many partners are cut into parts."""
+def similar(pairs: DataFrame, docs: DataFrame, ngram: int, similarity: float, size: int) -> DataFrame:
+    """The pairs (a, b) of ids whose texts' shingle sets have the Jaccard similarity; a's many partners are cut into parts.
+
+    Only texts that occur in a pair are shuffled, unless there are more than BROADCAST of those. Of different texts of
+    one id the least is compared.
+    """
     pairs = common.checkpoint(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     many = pairs.groupBy("a").count().where(F.col("count") > PARTNERS)
-    pairs = pairs.join(F.broadcast(many), "a", "left").select("a", "b", F.coalesce(F.expr(f"pmod(xxhash64(b), 1 + `count` div {PARTNERS})"), F.lit(0)).alias("part"))
-    asked = pairs.select("a", "part", F.col("b").alias("id")).unionByName(pairs.select("a", "part", F.col("a").alias("id")).distinct())
-    buckets = max(96, size // SET_BYTES, pairs.count() // 5000)
-    sent = held.select("id", "text").join(asked, "id").select(F.expr(f"pmod(xxhash64(a, part), {buckets})").alias("bucket"), "a", "id", "text")
+    pairs = pairs.join(many, "a", "left").select("a", "b", F.coalesce(F.expr(f"pmod(xxhash64(b), 1 + `count` div {PARTNERS})"), F.lit(0)).alias("part"))
+    asked = common.checkpoint(pairs.select("a", "part", F.col("b").alias("id")).unionByName(pairs.select("a", "part", F.col("a").alias("id")).distinct()))
+    buckets = max(96, size // SET_BYTES, asked.count() // 5000)
+    sent = docs.select(F.col("doc_id").alias("id"), "text").join(small(asked), "id").select(F.expr(f"pmod(xxhash64(a, part), {buckets})").alias("bucket"), "a", "id", "text")
 
     def compare(table: pa.Table) -> pa.Table:
-        a, ident = table.column("a").to_numpy(), table.column("id").to_numpy()
-        h, count = shingle_sets([t or b"" for t in table.column("text").cast(pa.large_binary()).to_pylist()], ngram)
+        a, ident, texts = table.column("a").to_numpy(), table.column("id").to_numpy(), [t or b"" for t in table.column("text").cast(pa.large_binary()).to_pylist()]
+        order = np.lexsort((ident, a))
+        if not ((np.diff(a[order]) != 0) | (np.diff(ident[order]) != 0)).all():  # rows that share an id
+            least = {(a[i], ident[i]): i for i in sorted(range(len(texts)), key=texts.__getitem__, reverse=True)}
+            order = np.array(sorted(least.values()))
+            a, ident, texts = a[order], ident[order], [texts[i] for i in order.tolist()]
+        h, count = shingle_sets(texts, ngram)
         codes, code = np.unique(h, return_inverse=True)
         row = np.repeat(np.arange(len(a)), count)
         _, group = np.unique(a, return_inverse=True)
@@ -424,11 +472,10 @@ def similar(pairs: DataFrame, held: DataFrame, ngram: int, similarity: float, si
 
 def set_digests(docs: DataFrame, ngram: int, bits: int) -> DataFrame:
     """(doc_id, digest of the shingle set, fingerprint) of every row with a doc_id; a null text counts as empty."""
-    common.small_batches(docs.sparkSession)
     words = bits // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             ids, texts = common.text_list(batch)
             h, count = shingle_sets(texts, ngram)
             ends = np.cumsum(count)
@@ -442,27 +489,23 @@ def set_digests(docs: DataFrame, ngram: int, bits: int) -> DataFrame:
 def jaccard_neardup(docs: DataFrame, ngram: int, similarity: float, bits: int, sure: int) -> DataFrame:
     """(doc_id, component_id): documents whose sets of `ngram`-word shingles have a Jaccard similarity of at least `similarity`.
 
-    Fingerprints propose links first, as in simhash_neardup(); then every pair of documents not yet connected that
-    shares one of the first shingles of its sets is proposed, so no pair of the similarity is missed. Every proposed
-    link is decided by the Jaccard similarity of the two sets. Equal sets (also two without words) are folded to one;
+    Fingerprints propose links first, as in simhash_neardup(), one for each document; then every pair of documents not
+    yet connected that shares one of the first shingles of its sets is proposed, so no pair of the similarity is missed.
+    Every proposed link is decided by the Jaccard similarity of the two sets. Equal sets (also two without words) are folded to one;
     links run over chains and component_id is the smallest doc_id reachable. Rows without a doc_id are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
-    size = common.text_bytes(docs)
+    _, size = common.rows_and_bytes(docs)
     prints = common.checkpoint(set_digests(docs, ngram, bits))
     distinct = common.checkpoint(prints.groupBy("digest").agg(F.min_by("fingerprint", "doc_id").alias("fingerprint"), F.min("doc_id").alias("id")))
-    held = docs.withColumnRenamed("doc_id", "id").join(distinct.select("id").distinct(), "id").groupBy("id").agg(F.min("text").alias("text"))
-    near = common.checkpoint(links(distinct.select("id", "fingerprint"), bits, radius_of(similarity, bits), sure))
-    common.free_shuffles(docs.sparkSession)
-    common.small_batches(docs.sparkSession)
-    first = similar(near, held, ngram, similarity, size)
-    common.free_shuffles(docs.sparkSession)
-    found = common.connected_components(first)
-    labelled = held.join(found, held.id == found.node, "left").select("id", "text", F.coalesce("component", "id").alias("comp"))
-    other = common.checkpoint(shared_prefixes(docs, labelled, ngram, similarity, size))
-    common.free_shuffles(docs.sparkSession)
-    more = similar(other, held, ngram, similarity, size)
-    common.free_shuffles(docs.sparkSession)
+    # one proposed link for each document: what these do not join, or join wrongly, is left to the shared shingles
+    near = links(distinct.select("id", "fingerprint"), bits, radius_of(similarity, bits), sure).groupBy("a").agg(F.min("b").alias("b"))
+    first = similar(near, docs, ngram, similarity, size)
+    found = common.checkpoint(common.connected_components(first).where("node <> component"))
+    copies = prints.select("doc_id").distinct().join(distinct.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+    marks = common.checkpoint(found.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")).unionByName(copies.select("doc_id", F.lit(None).cast("long").alias("comp"))).withColumn("marked", F.lit(True)))
+    labelled = docs.join(small(marks), "doc_id", "left").where("marked IS NULL OR comp IS NOT NULL").select(F.col("doc_id").alias("id"), "text", F.coalesce("comp", "doc_id").alias("comp"))
+    more = similar(shared_prefixes(docs, labelled, ngram, similarity, size), docs, ngram, similarity, size)
     found = common.connected_components(first.unionByName(more))
     named = distinct.join(found, distinct.id == found.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, "digest").select("doc_id", "component_id")

@@ -3,39 +3,66 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm import common, repeats, textkit
+from tessera.llm import repeats
 
 WINDOW, GRAM = 20, 8
 
 
-def extend(c: dict[str, np.ndarray], texts: list[bytes], s: repeats.Settings) -> dict[str, np.ndarray]:
-    """Extend the seeds that share a key both ways and keep what reaches the window length.
+def extend(c: dict[str, np.ndarray], texts: list[bytes], s: repeats.Settings) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Extend the anchors both ways, word by word, and keep the maximal matches that reach the window length.
 
-    A window that holds its seed `left` words after its start equals another one exactly if both have the same key,
-    the same place of it, and the same words on either side. So every seed is extended word by word to each start
-    that it can have, and of equal extensions the earliest (doc, start) is kept; the others are spans.
+    Words are compared by their text: each different word of the bucket has a number. All anchors with the same words start
+    as one group; a step to the left or right parts a group by the next word, so after o steps left and r steps right
+    the anchors of a group match over all of o + gram + r words, without any pair being formed. Where that is a window,
+    all but the group's earliest place are repeats; the steps that are repeats for one anchor make its maximal matches.
     """
-    values, base, lo, hi, *_ = repeats.units(texts, s)
-    prefix = textkit.Prefix(values, base)
-    count = (c["left"].astype(np.int64) - c["right"]) + 1
-    seed = np.repeat(np.arange(len(texts)), count)
-    step = common.ragged(np.zeros(len(texts), np.int64), count)
-    start = lo[seed] + step
-    content = prefix.slices(start, start + s.window)
-    offset = c["left"][seed].astype(np.int64) - step
-    doc, place = c["doc"][seed], c["at"][seed].astype(np.int64) - offset
-    order = np.lexsort((place, doc, content, offset, c["key"][seed]))
-    key = c["key"][seed][order]
-    offset, content, doc, place = offset[order], content[order], doc[order], place[order]
-    new = np.r_[True, (key[1:] != key[:-1]) | (offset[1:] != offset[:-1]) | (content[1:] != content[:-1])]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = (doc != doc[first]) | (place != place[first]) if s.within else doc > doc[first]
-    return {"doc": doc[later], "start": place[later].astype(np.uint32), "end": (place[later] + s.window).astype(np.uint32)}
+    numbers: dict[bytes, int] = {}
+    words = [[numbers.setdefault(w, len(numbers)) for w in t.split(b" ")] for t in texts]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    word = np.fromiter((w for t in words for w in t), np.int64, int(lengths.sum()))
+    left, right, room = c["left"].astype(np.int64), c["right"].astype(np.int64), s.window - s.gram
+    anchor = np.cumsum(lengths) - lengths + left
+
+    def part(groups: np.ndarray, by: np.ndarray) -> np.ndarray:
+        return np.unique(groups * (int(by.max()) + 1) + by, return_inverse=True)[1] if len(by) else by
+
+    start = word[anchor]
+    for k in range(1, s.gram):
+        start = part(start, word[anchor + k])
+
+    def steps(reach: np.ndarray, next_word: Callable[[np.ndarray, int], np.ndarray]) -> list[np.ndarray]:
+        out = [start]
+        for k in range(1, int(reach.max(initial=0)) + 1):
+            rows = np.flatnonzero(reach >= k)
+            groups = np.full(len(start), -1)
+            groups[rows] = part(out[-1][rows], next_word(rows, k))
+            out.append(groups)
+        return out
+
+    lefts = steps(left, lambda rows, k: word[anchor[rows] - k])
+    rights = steps(room - right, lambda rows, k: word[anchor[rows] + s.gram + k - 1])
+    doc, at = c["doc"], c["at"].astype(np.int64)
+    repeat = np.zeros((len(start), room + 3), bool)  # a column of False at both ends
+    for o in range(room + 1):
+        rows = np.flatnonzero((right <= o) & (o <= left))
+        if not len(rows):
+            continue
+        group = part(lefts[o][rows], rights[room - o][rows])
+        order = np.lexsort((at[rows], doc[rows], group))
+        rows, group = rows[order], group[order]
+        first = rows[np.searchsorted(group, group)]
+        repeat[rows, o + 1] = (doc[rows] != doc[first]) | (at[rows] != at[first]) if s.within else doc[rows] > doc[first]
+    edge = np.diff(repeat.view(np.int8), axis=1)
+    row, opens = np.nonzero(edge == 1)  # runs of steps left, from `opens` to `closes` - 1
+    closes = np.nonzero(edge == -1)[1]
+    spans = {"doc": doc[row], "start": (at[row] - (closes - 1)).astype(np.uint32), "end": (at[row] - opens + s.window).astype(np.uint32)}
+    return spans, np.zeros(0, np.int32)
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("text_sha256", pa.string())])
@@ -50,14 +77,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     the empty string; a document shorter than the window keeps all; an empty table gives an empty result. A repeated row is
     the same document again and gives the same row again; different texts of one doc_id share their spans.
     """
-    s = repeats.Settings("word", window, gram, True)
+    s = repeats.Settings("word", window, gram, True, False)
     blobs, spans, _ = repeats.spans_of_repeats(docs, s, extend)
 
     def row(doc_id: int, text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:
         words = text.split()
-        kept = words
-        for a, b in zip(starts.tolist()[::-1], ends.tolist()[::-1], strict=True):
-            kept = kept[:a] + kept[b:]
+        kept, at = [], 0
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            kept += words[at:a]
+            at = b
+        kept += words[at:]
         whole = b" ".join(kept)
         return doc_id, len(words), len(words) - len(kept), hashlib.sha256(whole).hexdigest(), (whole if len(kept) < len(words) else text).decode("utf-8", "replace") if texts else None, hashlib.sha256(text).hexdigest() if digests else None
 

@@ -75,32 +75,39 @@ def maximal_repeats(lcp: np.ndarray, before: np.ndarray, least: int) -> Iterator
             stack.append([h, first, side])
 
 
-def intervals(c: dict[str, np.ndarray], texts: list[bytes], s: repeats.Settings) -> dict[str, np.ndarray]:
-    """Spans of the repeats among the contexts of one bucket: all occurrences but those in the smallest document."""
-    count = (c["left"].astype(np.int64) - c["right"]) + 1
+def intervals(c: dict[str, np.ndarray], texts: list[bytes], s: repeats.Settings) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Spans of the repeats among the contexts of one bucket: all occurrences but those in the smallest document.
+
+    A context that has copies enters the array twice, so that a leaf of the tree stands for it and its whole list of
+    places; the second value is the classes of which such a leaf was found. A context that shares nothing but with its
+    copies (lone) enters by its longest suffix only.
+    """
+    count = np.where(c["lone"], 1, c["left"].astype(np.int64) - c["right"] + 1)
     text = np.frombuffer(b"".join(texts), np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     lo = np.r_[0, np.cumsum(lengths)[:-1]]
-    seed = np.repeat(np.arange(len(texts)), count)
-    step = common.ragged(np.zeros(len(texts), np.int64), count)
-    start = lo[seed] + step
-    order, lcp = enhanced_suffix_array(text, start, (lo + lengths)[seed])
+    copied = np.flatnonzero(c["copied"])
+    seed = np.r_[np.repeat(np.arange(len(texts)), count), copied]
+    step = np.r_[common.ragged(np.zeros(len(texts), np.int64), count), np.zeros(len(copied), np.int64)]
+    copy = np.arange(len(seed)) >= len(seed) - len(copied)
+    order, lcp = enhanced_suffix_array(text, lo[seed] + step, (lo + lengths)[seed])
     near = lcp >= s.window
     alive = near | np.r_[near[1:], False]  # suffixes that share a window with a neighbour
     order, lcp = order[alive], np.where(near, lcp, 0)[alive]
-    seed, step = seed[order], step[order]
+    seed, step, copy = seed[order], step[order], copy[order]
     before = np.where(step > 0, text[np.maximum(lo[seed] + step - 1, 0)].astype(np.int64), np.int64(-1))
     doc = c["doc"][seed]
     place = c["at"][seed].astype(np.int64) - c["left"][seed] + step
     found = [(k, a, b + 1) for k, a, b in maximal_repeats(lcp, before, s.window)]
     if not found:
-        return {"doc": np.zeros(0, np.int64), "start": np.zeros(0, np.uint32), "end": np.zeros(0, np.uint32)}
+        return {"doc": np.zeros(0, np.int64), "start": np.zeros(0, np.uint32), "end": np.zeros(0, np.uint32)}, np.zeros(0, np.int32)
     length, a, b = np.array(found, np.int64).T
     rows, group = common.ragged(a, b - a), np.repeat(np.arange(len(a)), b - a)
     least = np.minimum.reduceat(doc[rows], np.r_[0, np.cumsum(b - a)[:-1]])
-    later = doc[rows] > least[group]
+    whole = np.unique(c["class"][seed[rows[copy[rows] & (length[group] == lengths[seed[rows]])]]])
+    later = (doc[rows] > least[group]) & ~copy[rows]
     rows, group = rows[later], group[later]
-    return {"doc": doc[rows], "start": place[rows].astype(np.uint32), "end": (place[rows] + length[group]).astype(np.uint32)}
+    return {"doc": doc[rows], "start": place[rows].astype(np.uint32), "end": (place[rows] + length[group]).astype(np.uint32)}, whole
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
@@ -115,7 +122,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     gives an empty result. Of equal documents the one with the smallest doc_id stays whole.
     A repeated row gives the same row again; different texts of one doc_id share their spans.
     """
-    s = repeats.Settings("byte", window, gram, False)
+    s = repeats.Settings("byte", window, gram, False, True)
     blobs, spans, _ = repeats.spans_of_repeats(docs, s, intervals)
 
     def row(doc_id: int, text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:

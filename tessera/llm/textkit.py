@@ -1,48 +1,53 @@
-"""Vectorised text work on UTF-8 buffers: words, rolling hashes and minimiser seeds."""
+"""Vectorised text work on UTF-8 buffers: words, hashes of slices and minimiser seeds."""
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-#: Odd multipliers of the polynomial hashes modulo 2**64.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_tables: dict[tuple[int, int], np.ndarray] = {}
-
-
-def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base ** 0 ... base ** n (or of its inverse) modulo 2**64."""
-    base = pow(base, -1, 1 << 64) if inverse else base
-    have = _tables.get((base, 0))
-    if have is None or len(have) <= n:
-        size = max(n + 1, 1 << 16)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        _tables[base, 0] = have
-    return have[: n + 1]
+#: Odd multipliers of the chained hashes.
+STEP, SECOND = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Units of the blocks that slices are hashed by, at most.
+BLOCK = 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser: every input bit moves every output bit."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-class Prefix:
-    """Hash of any slice of a sequence of uint64 values in constant time."""
+class Slices:
+    """Hashes of slices of a sequence of units, each of at least `least` units.
 
-    def __init__(self, values: np.ndarray, base: int):
-        n = len(values)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * powers(base, n)[:n], out=self.sums[1:])
-        self.back = powers(base, n, inverse=True)
+    A slice is a chain of blocks of up to eight units, the last one laid at its end. A block of bytes is the bytes
+    themselves; a block of word hashes is mixed pair by pair. Each link is mixed, so the hash is no polynomial whose zeros
+    could be planned for.
+    """
 
-    def slices(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * self.back[starts]
-        return mix(raw ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+    def __init__(self, values: np.ndarray, least: int, byte: bool):
+        self.size = min(BLOCK, 1 << (max(least, 1).bit_length() - 1))
+        block, have = values.astype(np.uint64), 1
+        while have < self.size:
+            low, high = block[:-have], block[have:]
+            block = (low << np.uint64(8 * have)) | high if byte else mix((low * np.uint64(STEP)) ^ (high + np.uint64(have)))
+            have *= 2
+        self.blocks = block
+
+    def hash(self, starts: np.ndarray, lengths, seed: int = STEP) -> np.ndarray:
+        """lengths: one number for all slices, or one for each."""
+        every = np.isscalar(lengths)
+        most = int(lengths if every else lengths.max()) if len(starts) else 0
+        last = starts + (lengths - self.size)
+        h = np.full(len(starts), seed, np.uint64) ^ (np.uint64(lengths) if every else lengths.astype(np.uint64))
+        for at in range(0, most, self.size):
+            linked = mix((h * np.uint64(STEP)) ^ self.blocks[np.minimum(starts + at, last)])
+            h = linked if every else np.where(at < lengths, linked, h)
+        return h
 
 
 def separators(buf: np.ndarray) -> np.ndarray:
@@ -72,8 +77,10 @@ def words_of(texts: list[bytes]):
     return buf, starts, ends, np.searchsorted(starts, lo), np.searchsorted(starts, hi)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Prefix(buf.astype(np.uint64) + np.uint64(1), BYTE_BASE).slices(starts, ends)
+def word_hashes(texts: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of every word of all texts, one after another."""
+    words = [w for t in texts for w in t.split()]
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -85,26 +92,26 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (w - have)], m[w - have :]) if w > have else m
 
 
-SEED = (("piece", np.int32), ("at", np.uint32), ("left", np.uint8), ("right", np.uint8), ("key", np.uint64), ("context", np.uint64), ("before", np.uint16), ("after", np.uint16))
+def offset_type(window: int, gram: int) -> np.dtype:
+    """Holds every place that a gram can have in a window."""
+    return np.min_scalar_type(max(window - gram, 1))
 
 
-def seeds(values: np.ndarray, base: int, lo: np.ndarray, hi: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
-    """Minimiser seeds of every window of `window` units in the pieces values[lo[i]:hi[i]].
+def seeds(values: np.ndarray, byte: bool, lo: np.ndarray, hi: np.ndarray, window: int, gram: int, wide: bool = False) -> tuple[dict[str, np.ndarray], Slices]:
+    """Minimiser seeds of every window of `window` units in the pieces values[lo[i]:hi[i]], and the hasher.
 
     Each window picks the gram (of `gram` units) with the least hash, leftmost first, so equal windows pick alike
     wherever they stand. A row covers the run of windows that pick the same place: piece, at (of the gram, from the
-    piece's start), left and right (windows start at - left ... at - right), key (hash of the gram), context (64-bit
-    hash of all that the run's windows span), before and after (16 bits each of a hash of the gram with the
-    `half` units before or after it; zero if no window of the run holds those). Every window holds one of the two, so
-    seeds of one key that share neither share no window.
+    piece's start), left and right (windows start at - left ... at - right), key (hash of the gram), and what context()
+    adds.
     """
-    none = {k: np.zeros(0, t) for k, t in SEED}
     count = np.maximum(hi - lo - window + 1, 0)
+    slices = Slices(values, gram, byte)
     if not count.sum():
-        return none
-    prefix, n = Prefix(values, base), len(values)
-    at = np.arange(n - gram + 1)
-    key = prefix.slices(at, at + gram)
+        none = np.zeros(0, np.int64)
+        return context({"piece": none, "at": none, "left": none, "right": none, "key": none.astype(np.uint64)}, slices, none, window, gram, wide), slices
+    at = np.arange(len(values) - gram + 1)
+    key = slices.hash(at, gram)
     order = (key & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
     picked = (sliding_min(order, window - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     starts = ragged_windows(lo, count)
@@ -112,14 +119,62 @@ def seeds(values: np.ndarray, base: int, lo: np.ndarray, hi: np.ndarray, window:
     first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])])
     last = np.r_[first[1:], len(starts)] - 1
     anchor, piece, begin, end = anchor[first], piece[first], starts[first], starts[last]
-    left, right, half = anchor - begin, anchor - end, -(-(window - gram) // 2)
-    context = prefix.slices(begin, end + window)
-    held = left >= half
-    before = np.where(held, prefix.slices(np.where(held, anchor - half, anchor), anchor + gram) >> np.uint64(48) | np.uint64(1), 0)
-    held = window - gram - right >= half
-    after = np.where(held, prefix.slices(anchor, np.where(held, anchor + gram + half, anchor + gram)) >> np.uint64(48) | np.uint64(1), 0)
-    columns = (piece, anchor - lo[piece], left, right, key[anchor], context, before, after)
-    return {k: v.astype(t) for (k, t), v in zip(SEED, columns, strict=True)}
+    return context({"piece": piece, "at": anchor - lo[piece], "left": anchor - begin, "right": anchor - end, "key": key[anchor]}, slices, lo, window, gram, wide), slices
+
+
+def sides(slices: Slices, anchor: np.ndarray, left: np.ndarray, right: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the gram with the `half` units before it and with those behind it; zero if no window of the run holds those.
+
+    Every window holds one of the two, so seeds of one key that share neither share no window.
+    """
+    half = -(-(window - gram) // 2)
+    out = np.zeros((2, len(anchor)), np.uint64)
+    for row, held, start in ((0, left >= half, anchor - half), (1, window - gram - right >= half, anchor)):
+        at = np.flatnonzero(held)
+        out[row, at] = slices.hash(start[at], gram + half) | np.uint64(1)
+    return out[0], out[1]
+
+
+def context(c: dict[str, np.ndarray], slices: Slices, lo: np.ndarray, window: int, gram: int, wide: bool) -> dict[str, np.ndarray]:
+    """Adds context (64-bit hash of all that the windows of a row span, context2 for another 64 bits if `wide`), and before
+    and after (16 bits each of sides(), not zero where the side is held)."""
+    anchor, left, right = c["at"] + lo[c["piece"]], c["left"], c["right"]
+    length = left - right + window
+    before, after = sides(slices, anchor, left, right, window, gram)
+    narrow = lambda x: np.where(x > 0, (x >> np.uint64(48)) | np.uint64(1), 0).astype(np.uint16)
+    offset = offset_type(window, gram)
+    out = {"piece": c["piece"].astype(np.int32), "at": c["at"].astype(np.uint32), "left": left.astype(offset), "right": right.astype(offset), "key": c["key"], "context": slices.hash(anchor - left, length)}
+    if wide:
+        out["context2"] = slices.hash(anchor - left, length, SECOND)
+    return out | {"before": narrow(before), "after": narrow(after)}
+
+
+def split_seeds(c: dict[str, np.ndarray], slices: Slices, lo: np.ndarray, window: int, gram: int, level: int, wide: bool) -> dict[str, np.ndarray]:
+    """Seeds in narrower groups with the same windows: by the half before or behind the gram (level 1), or one for each window (2).
+
+    Level 1 gives the windows with half the rest before their gram to the key of gram and that half, the others to the
+    key of gram and the half behind. Equal windows meet as before, but fewer others with them.
+    """
+    left, right, half = c["left"].astype(np.int64), c["right"].astype(np.int64), -(-(window - gram) // 2)
+    at, piece = c["at"].astype(np.int64), c["piece"]
+    anchor = at + lo[piece]
+    if level == 1:
+        before, after = sides(slices, anchor, left, right, window, gram)
+        b, a = np.flatnonzero(left >= half), np.flatnonzero(right < half)
+        rows = np.r_[b, a]
+        left, right = np.r_[left[b], np.minimum(left[a], half - 1)], np.r_[np.maximum(right[b], half), right[a]]
+        key = np.r_[mix(before[b] ^ np.uint64(SECOND)), mix(after[a])]
+    else:
+        count = left - right + 1
+        rows = np.repeat(np.arange(len(left)), count)
+        left = right = np.repeat(right, count) + ragged_windows(np.zeros(len(count), np.int64), count)
+        key = mix(slices.hash(anchor[rows] - left, window) + np.uint64(SECOND))
+    out = context({"piece": piece[rows], "at": at[rows], "left": left, "right": right, "key": key}, slices, lo, window, gram, wide)
+    one = np.uint16(1)  # all of a group of halves share that half
+    if level == 1:
+        out["before"][: len(b)] = one
+        out["after"][len(b) :] = one
+    return out
 
 
 def ragged_windows(lo: np.ndarray, count: np.ndarray) -> np.ndarray:

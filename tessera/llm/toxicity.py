@@ -87,10 +87,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
 
 def score_toxicity(docs: DataFrame, model: Ordinal, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, severity (0 to 2, expected grade), grade (likeliest), toxic of every row with a doc_id, by its whole text."""
-    common.small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             ids, texts = common.text_list(batch)
             above = [model.above(t) for _, t in common.chunks(ids, texts)]
             p = np.concatenate(above) if above else np.zeros((0, 2))

@@ -145,6 +145,30 @@ def test_pigeonhole_plan_covers_the_radius():
         assert sum(t + 1 for t in thresholds) >= radius + 1
 
 
+def test_plan_counts_what_meets():
+    """Bits that are copies of others or nearly constant: thresholds follow the candidates that the sample shows."""
+    rng = np.random.default_rng(4)
+    bits = rng.random((3000, 64)) < 0.5
+    bits[:, 32:48] &= rng.random((3000, 1)) < 0.05  # hardly ever set, and together: their group selects nothing
+    sample = np.packbits(bits, axis=1).view(">u8").astype(np.uint64).reshape(-1, 1)
+    value = simhash.group_values(sample, np.arange(32, 40))
+    plain = [np.mean(np.bitwise_count(value[:, None] ^ value[None])[np.triu_indices(3000, 1)] <= t) for t in range(3)]
+    assert np.allclose(simhash.meetings(value, 8, 2), plain)
+    wide = simhash.group_values(sample, np.arange(20))
+    assert np.allclose(simhash.meetings(wide, 20, 1)[1], np.mean(np.bitwise_count(wide[:, None] ^ wide[None])[np.triu_indices(3000, 1)] <= 1))
+    groups, thresholds = simhash.plan(sample, 10**6, 64, 3)
+    assert sum(t + 1 for t in thresholds) == 4 and len(set(thresholds)) > 1
+    constant = [t for g, t in zip(groups, thresholds) if np.isin(g, np.arange(32, 48)).mean() > 0.7]
+    assert constant and max(constant) < max(thresholds)
+
+
+def test_components_with_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LINKS", 3)
+    edges = [(7, i) for i in range(20, 60)] + [(90, i) for i in range(30, 70)] + [(200, 201)]
+    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 7 for i in [7, 90, *range(20, 70)]} | {200: 200, 201: 200}
+
+
 def test_hot_signature_groups_are_whole():
     rng = np.random.default_rng(2)
     words = (np.uint64(5) ^ (np.uint64(1) << rng.integers(0, 20, 900).astype(np.uint64))).reshape(-1, 1)

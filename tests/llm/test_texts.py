@@ -88,15 +88,99 @@ def test_different_contexts_are_not_folded():
     for _ in range(100):
         head = np.tile(rng.integers(97, 123, window - 4), (n, 1))
         tail = np.stack([97 + np.arange(n) // 24**k % 24 for k in range(4)], axis=1)
-        values = np.c_[head, tail].astype(np.uint64).ravel() + np.uint64(1)
+        values = np.c_[head, tail].astype(np.uint64).ravel()
         lo = np.arange(n) * window
-        c = textkit.seeds(values[:window], textkit.BYTE_BASE, lo[:1], lo[:1] + window, window, gram)
+        c, _ = textkit.seeds(values[:window], True, lo[:1], lo[:1] + window, window, gram)
         if (window - gram) // 2 + 1 < c["left"][0] <= window - 4 - gram:  # the seed stands late, so no `after` tells them apart
             break
-    c = textkit.seeds(values, textkit.BYTE_BASE, lo, lo + window, window, gram)
+    c, _ = textkit.seeds(values, True, lo, lo + window, window, gram)
     c["doc"] = c.pop("piece").astype(np.int64)
-    spans, left = repeats.fold(c, False, window)
-    assert len(left["doc"]) == n and not len(spans["doc"])
+    left, copies = repeats.fold(c, False)
+    assert len(left["doc"]) == n and not len(copies["doc"])
+
+
+def plain_substrings(held, window=20):
+    """(n_words, n_removed, kept) of each text in order of doc_id, by comparing words."""
+    seen, out = set(), []
+    for t in held:
+        w = (t or "").split()
+        gone = [0] * len(w)
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            if key in seen:
+                gone[i : i + window] = [1] * window
+            seen.add(key)
+        out.append((len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    return out
+
+
+def plain_suffixes(held, window=50):
+    """(n_removed, spans) of each text in order of doc_id, by comparing bytes."""
+    first, out = {}, []
+    for d, t in enumerate(held):
+        b = (t or "").encode()
+        for i in range(len(b) - window + 1):
+            first.setdefault(b[i : i + window], d)
+    for d, t in enumerate(held):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - window + 1):
+            if first[b[i : i + window]] < d:
+                gone[i : i + window] = b"\1" * window
+        out.append((sum(gone), [m.span() for m in re.finditer(b"\1+", bytes(gone))]))
+    return out
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+def test_words_that_plain_hashes_confuse(spark):
+    """Words and sequences that every polynomial hash modulo 2**64 takes for equal, and very long words."""
+    rest = " ".join(f"r{i}" for i in range(19))
+    held = []
+    for n in (1024, 4096):
+        held += [f"{thue_morse(n)} {rest} x{n}", f"{thue_morse(n, 'b', 'a')} {rest} y{n}"]
+    held += [thue_morse(64, "one ", "two "), thue_morse(64, "two ", "one ")]
+    long = "z" * 1_000_000
+    held += [f"{long} {rest} p", f"{long}! {rest} q", f"u {long} {rest}", None, ""]
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(docs_of(spark, held)).collect()}
+    for d, (n, removed, kept) in enumerate(plain_substrings(held)):
+        assert (got[d].n_words, got[d].n_removed, got[d].kept_sha256) == (n, removed, hashlib.sha256(kept.encode()).hexdigest()), d
+    assert got[1].n_removed == 0 and got[8].n_removed >= 20
+
+
+@pytest.mark.parametrize("window", [50, 300, 400])
+def test_windows_of_any_length(spark, window):
+    rng = random.Random(window)
+    line = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    shared = line(700)
+    held = [line(100) + shared, shared, line(50) + shared[:450] + line(50), shared[100:], line(902), shared + line(20)]
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(docs_of(spark, held), window).collect()}
+    for d, (removed, spans) in enumerate(plain_suffixes(held, window)):
+        assert (got[d].n_removed, list(zip(got[d].starts, got[d].ends))) == (removed, spans), d
+    words = [" ".join(t) for t in held]
+    few = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(docs_of(spark, words), window).collect()}
+    assert few == {d: removed for d, (_, removed, _) in enumerate(plain_substrings(words, window))}
+    with pytest.raises(ValueError):
+        suffix_dedup.suffix_dedup(docs_of(spark, held), 10)
+
+
+def test_hot_keys_are_split_without_loss(spark, monkeypatch):
+    """Every key that two different contexts share is hot: by halves, and by whole windows."""
+    monkeypatch.setattr(repeats, "SHOWN", 2)
+    monkeypatch.setattr(repeats, "HOT", 2)
+    rng = random.Random(6)
+    common_words, common_bytes = " ".join(f"c{i}" for i in range(9)), "the licence of this text is here"
+    own = lambda n: " ".join(f"o{rng.randint(0, 9)}" for _ in range(n))
+    held = [f"{own(30)} {common_words} {own(30)} {common_bytes} {own(12)}" for _ in range(60)] + corpus(3)
+    docs = docs_of(spark, held)
+    for s in (repeats.Settings("byte", 50, 12, False, True), repeats.Settings("word", 20, 8, True, False)):
+        assert any(map(len, repeats.hot_keys(docs.select("doc_id", "text"), s, len(held), sum(len(t or "") for t in held))))
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(docs).collect()}
+    assert [(got[d].n_words, got[d].n_removed) for d in range(len(held))] == [x[:2] for x in plain_substrings(held)]
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(docs).collect()}
+    assert [(got[d].n_removed, list(zip(got[d].starts, got[d].ends))) for d in range(len(held))] == plain_suffixes(held)
 
 
 def test_interval_tree_equals_brute_force():
