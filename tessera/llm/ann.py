@@ -117,20 +117,28 @@ def calibrate(sample: np.ndarray, centres: np.ndarray, k: int) -> int:
     return int(needed[min(len(needed) - 1, int(CALIBRATED * len(needed)))]) + 1
 
 
+SCHEMA = "query_id long, vec_id long, score double"
+
+
 def nearest_neighbours(table: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """The k nearest by cosine of each row whose vec_id is divisible by `every`: query_id, rank, vec_id, score.
 
-    table: vec_id (unique), embedding; other columns are ignored. All rows but the query's own are candidates. Coarse
-    lists come from a bounded sample, and so does the number of lists probed (calibrate()); all rows are indexed.
-    Vectors that are null, zero, hold null or non-finite components, or have another length than the commonest take
-    no part. Fewer than k candidates give fewer rows; an empty table gives none.
+    table: vec_id (unique), embedding; other columns are ignored. All rows of the query's length but its own are
+    candidates. Coarse lists come from a bounded sample, and so does the number of lists probed (calibrate()); all rows
+    are indexed, and a query whose lists hold fewer than k others probes on until they do. Vectors that are null, empty,
+    zero or hold null or non-finite components take no part. Fewer than k candidates give fewer rows; an empty table gives
+    none. Rows that repeat a vec_id are one candidate each; a query's own id is never among its neighbours.
     """
-    spark = table.sparkSession
     good = common.checkpoint(vectors.usable(table))
-    n = good.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if n < 2:
-        return spark.createDataFrame([], schema)
+    found = table.sparkSession.createDataFrame([], SCHEMA)
+    for rows, n in vectors.by_length(good):
+        found = found.unionByName(search(rows, n, k, every))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search(good: DataFrame, n: int, k: int, every: int) -> DataFrame:
+    """SCHEMA rows: the best of each block that a query meets, of n vectors (vec_id, v) of one length."""
     sample = vectors.sample(good, "vec_id")
     centres = vectors.kmeans(sample, int(np.clip(n // PER_LIST, 1, min(MOST_LISTS, max(1, len(sample) // 64)))))
     probes = min(len(centres), calibrate(sample, centres, k)) if len(sample) > 50 * k else len(centres)
@@ -143,7 +151,8 @@ def nearest_neighbours(table: DataFrame, k: int = 5, every: int = 50) -> DataFra
             yield pa.record_batch([pa.array(lists, pa.int32()), pa.array(count, pa.int64())], names=["list", "n"])
 
     sizes = dict(good.mapInArrow(home, "list int, n long").groupBy("list").agg(F.sum("n")).collect())
-    blocks = np.array([-(-sizes.get(c, 0) // BLOCK) for c in range(len(centres))])
+    held = np.array([sizes.get(c, 0) for c in range(len(centres))])
+    blocks = -(-held // BLOCK)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,15 +171,18 @@ def nearest_neighbours(table: DataFrame, k: int = 5, every: int = 50) -> DataFra
                 out.append((int(own[at[0]]), int(block[at[0]]), common.pack(id=ids[at], codes=packed[at].ravel().view(f"V{packed.shape[1]}"), x=x[at].ravel().view(f"V{8 * x.shape[1]}")), None))
             asked = np.flatnonzero(ids % every == 0)
             if len(asked):
-                order = np.argsort(-(x[asked] @ centres.T), axis=1, kind="stable")[:, :probes]
-                for c in np.unique(order).tolist():
-                    at = asked[(order == c).any(axis=1)]
+                order = np.argsort(-(x[asked] @ centres.T), axis=1, kind="stable")
+                ahead = np.cumsum(held[order], axis=1) - held[order]  # vectors in the lists before each, the query perhaps among them
+                probed = (np.arange(len(centres)) < probes) | (ahead <= k)
+                row, slot = np.nonzero(probed)
+                for c in np.unique(order[probed]).tolist():
+                    at = asked[row[order[row, slot] == c]]
                     body = common.pack(id=ids[at], x=x[at].ravel().view(f"V{8 * x.shape[1]}"))
                     out += [(c, b, None, body) for b in range(int(blocks[c]))]
             columns = list(zip(*out, strict=True))
             yield pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], names=["list", "block", "rows", "queries"])
 
-    def search(part: pa.Table) -> pa.Table:
+    def search_block(part: pa.Table) -> pa.Table:
         def read(name: str) -> dict[str, np.ndarray]:
             return common.unpack_all([p for p in part.column(name).to_pylist() if p is not None])
 
@@ -186,6 +198,4 @@ def nearest_neighbours(table: DataFrame, k: int = 5, every: int = 50) -> DataFra
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
     dealt = good.mapInArrow(deal, "list int, block int, rows binary, queries binary")
-    found = dealt.groupBy("list", "block").applyInArrow(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return dealt.groupBy("list", "block").applyInArrow(search_block, SCHEMA)

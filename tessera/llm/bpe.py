@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: Words that a worker remembers; the memory is emptied when full, which changes no result.
-REMEMBERED = 600_000
+#: Bytes of words and ids that a worker remembers, and the longest word that it does; the memory is emptied when full, which changes no result.
+REMEMBERED, REMEMBERED_WORD = 150_000_000, 200
+#: Bytes beyond which a word is walked position by position, with a number for each, not with a stack.
+LONG_WORD = 10_000
 #: The public pre-tokenisation pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that the pattern never crosses. Python's white space holds four separators more than the pattern's.
@@ -58,6 +60,7 @@ class Automaton:
         self.split = regex.compile(PATTERN)
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.memory: dict[str, tuple[int, ...]] = {}
+        self.remembered = 0
 
     def _compile(self, merges: list[tuple[int, int, int]]) -> None:
         left = {w: (u, v) for u, v, w in merges}
@@ -165,6 +168,8 @@ class Automaton:
         n, number, target, bounds = len(word), self.number, self.target, self.bounds
         if not n:
             return []
+        if n > LONG_WORD:
+            return self.walk_long(word)
         path: list[int] = []
         ends, states, open_arcs, dead = [0], [0], [self.arcs(word, 0)], set()
         known: dict[int, list[tuple[int, int]]] = {}
@@ -191,12 +196,35 @@ class Automaton:
                 states.pop()
                 open_arcs.pop()
 
+    def walk_long(self, word: bytes) -> list[int]:
+        """As walk(): every position that can be reached is reached by one token only, so that token is all to remember."""
+        by = np.full(len(word) + 1, -1, np.int32)
+        for at in range(len(word)):
+            if at and by[at] < 0:
+                continue
+            state = self.target[int(by[at])] if at else 0
+            lacks = self.bounds.get(state)
+            if lacks is None:
+                lacks = self.flat(state)
+            for end, t in self.arcs(word, at):
+                if not bisect_right(lacks, self.number[t]) & 1:
+                    by[end] = t
+        path, at = [], len(word)
+        while at:
+            path.append(int(by[at]))
+            at -= len(self.label[path[-1]])
+        return path[::-1]
+
     def _piece(self, piece: str) -> tuple[int, ...]:
         words, memory = self.split.findall(piece), self.memory
-        if len(memory) >= REMEMBERED:
-            memory.clear()
         if len(words) == 1:
-            memory[piece] = ids = tuple(self.walk(piece.encode()))
+            ids = tuple(self.walk(piece.encode()))
+            if len(piece) <= REMEMBERED_WORD:
+                if self.remembered >= REMEMBERED:
+                    memory.clear()
+                    self.remembered = 0
+                memory[piece] = ids
+                self.remembered += 200 + 4 * len(piece) + 8 * len(ids)
             return ids
         return tuple(chain.from_iterable(memory.get(w) or self._piece(w) for w in words))
 
@@ -233,8 +261,9 @@ def bpe_encode(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
     """(doc_id, ids array<int>, decoded string): every whole text encoded, and decoded again if `decode`.
 
     path: a byte-level BPE file of the tokenizers library, found at the same place on every worker. A null or empty
-    text gives no ids and an empty string; rows without a doc_id are left out; other columns are ignored; very long
-    words cost time in proportion to their length.
+    text gives no ids and an empty string; rows without a doc_id are left out; a repeated row gives its row again; other
+    columns are ignored; an empty table gives an empty result; very long words cost time and memory in proportion to
+    their length.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(path)

@@ -174,7 +174,7 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 #: Links of a node beyond which it is joined by broadcast, and the most such nodes that there can be.
-HOT_LINKS, HOT_NODES = 1000, 200_000
+HOT_LINKS, HOT_NODES = 100_000, 200_000
 
 
 def to_each(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:

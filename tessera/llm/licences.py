@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
@@ -56,46 +57,72 @@ def inverse_frequencies(docs: DataFrame) -> dict[str, float]:
     return {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
 
 
+#: Words of each template that are posted, at most: those of the highest inverse document frequency.
+POSTED = 3
+#: A hit as one number: template, and start of the template in the text plus SHIFT.
+STRIDE, SHIFT = 1 << 40, 1 << 20
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def licence_scan(docs: DataFrame) -> DataFrame:
     """Licence phrases of every whole text: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    docs: doc_id, text; other columns are ignored; repeated rows each give a row. Every template has one posting, its
-    rarest word by the corpus's inverse document frequency, at its place in the template. A document's postings are
-    its words of that kind; each puts the template at a relative position, where the mandatory phrase must stand whole
-    for the label, and the score is the share of the template's inverse frequencies whose words agree there, at best
-    (0 to 1). Base places are all positions of the base phrases; without one first_word and last_word are null and
-    base_labels is empty. Null and empty texts have no words; an empty table gives an empty result.
+    docs: doc_id, text; other columns are ignored; repeated rows each give a row; rows without a doc_id are left out. Of
+    every template the POSTED words of the highest inverse document frequency in this corpus are posted with their
+    places. Each such word of a text puts its templates at a start relative to it; the postings of one template are
+    intersected by that start: at least two of them (or all, if there are fewer) must agree there. The score is the
+    share of the template's inverse frequencies whose words agree, at best (0 to 1), also where a word of it is altered;
+    the label needs the mandatory key phrase whole. Base places are all positions of the base phrases; without one
+    first_word and last_word are null and base_labels is empty. Null and empty texts have no words; an empty table gives an
+    empty result. Everything is one expression on the row: nothing is exploded, joined or shuffled.
     """
-    spark = docs.sparkSession
     idf = inverse_frequencies(docs)
-    rows = []
+    postings: dict[str, list[tuple[int, int]]] = {}
+    described = []
     for number, (label, base, words, at, length) in enumerate(templates()):
-        anchor = max(range(at, at + length), key=lambda i: (idf[words[i]], -i))
+        rarest = sorted(sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))[:POSTED])  # noqa: B023
+        for i in rarest:
+            postings.setdefault(words[i], []).append((number, i))
         weights = [idf[w] + 1e-9 for w in words]
-        rows.append((words[anchor], number, label, base, anchor, words, [x / sum(weights) for x in weights], at, words[at : at + length]))
-    index = spark.createDataFrame(rows, "word string, template int, label string, base boolean, anchor int, template_words array<string>, weights array<double>, key_at int, key array<string>")
-    rare = sorted({r[0] for r in rows})
-    reach = max(len(r[5]) for r in rows)
-
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words_of(F.col("text")).alias("words")).where("doc_id IS NOT NULL")
-    postings = F.filter(F.transform("words", lambda w, i: F.when(w.isin(rare), i).otherwise(-1)), lambda i: i >= 0)
-    near = F.transform(postings, lambda i: F.struct(i.alias("at"), F.greatest(i - reach, F.lit(0)).alias("from"), F.slice("words", F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + 1).alias("around")))
-    posted = held.select("doc_id", "row", F.size("words").cast("long").alias("n_words"), F.explode_outer(near).alias("p")).select("doc_id", "row", "n_words", "p.*", F.expr("element_at(p.around, p.at - p.from + 1)").alias("word"))
-
-    met = posted.join(F.broadcast(index), "word", "left").withColumn("start", F.col("at") - F.col("anchor"))  # the index is as small as TEMPLATES
-    local = F.col("start") - F.col("from")
-    agree = F.transform("template_words", lambda w, i: F.when((local + i >= 0) & (F.get("around", local + i) == w), F.get("weights", i)).otherwise(0.0))
-    met = met.withColumn("score", F.when(F.col("template").isNotNull(), F.aggregate(agree, F.lit(0.0), lambda a, x: a + x)))
-    key_at = local + F.col("key_at")
-    whole = F.when((F.col("template").isNotNull()) & (key_at >= 0), F.slice("around", F.greatest(key_at, F.lit(0)) + 1, F.size("key")) == F.col("key")).otherwise(False)
-    met = met.withColumn("whole", whole).withColumn("place", F.when(F.col("whole") & F.col("base"), F.col("start").cast("long")))
-    out = met.groupBy("doc_id", "row").agg(
-        F.first("n_words").alias("n_words"),
-        F.count("place").alias("n_base"),
-        F.min("place").alias("first_word"),
-        F.max("place").alias("last_word"),
-        F.concat_ws(",", F.sort_array(F.collect_set(F.when(F.col("place").isNotNull(), F.col("label"))))).alias("base_labels"),
-        F.concat_ws(",", F.sort_array(F.collect_set(F.when(F.col("whole"), F.col("label"))))).alias("labels"),
-        F.least(F.coalesce(F.max("score"), F.lit(0.0)), F.lit(1.0)).alias("score"),
-    )
-    return out.drop("row")
+        described.append(F.struct(F.lit(label).alias("label"), F.lit(base).alias("base"), F.array(*map(F.lit, words)).alias("words"), F.array(*(F.lit(x / sum(weights)) for x in weights)).alias("weights"), F.array(*map(F.lit, rarest)).alias("rare"), F.array(*map(F.lit, range(at, at + length))).alias("key")))
+    shape = F.array(*described)
+    index = F.create_map(*(x for word, held in sorted(postings.items()) for x in (F.lit(word), F.array(*(F.lit(t * STRIDE + SHIFT - i) for t, i in held)))))
+
+    def candidate(words: Column, hit: Column) -> Column:
+        start = (hit % STRIDE - SHIFT).cast("int")
+
+        def judged(t: Column) -> Column:
+            stands = lambda i: F.coalesce(F.get(words, start + i) == F.get(t["words"], i), F.lit(False))
+            agreeing = F.size(F.filter(t["rare"], stands))
+            share = F.aggregate(F.transform(t["weights"], lambda w, i: F.when(stands(i), w).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+            return F.when(agreeing >= F.least(F.size(t["rare"]), F.lit(2)), F.struct(start.cast("long").alias("start"), t["label"].alias("label"), t["base"].alias("base"), F.forall(t["key"], stands).alias("whole"), share.alias("score")))
+
+        return bound(F.get(shape, F.floor(hit / STRIDE).cast("int")), judged)
+
+    def result(words: Column) -> Column:
+        posted = F.filter(F.transform(words, lambda w, i: F.when(w.isin(sorted(postings)), F.struct(w.alias("w"), i.cast("long").alias("i")))), lambda p: p.isNotNull())
+        hits = F.array_distinct(F.flatten(F.transform(posted, lambda p: F.transform(F.element_at(index, p["w"]), lambda e: e + p["i"]))))
+        met = F.filter(F.transform(hits, lambda h: candidate(words, h)), lambda c: c.isNotNull())
+
+        def columns(found: Column) -> Column:
+            base = F.filter(found, lambda c: c["base"] & c["whole"])
+            starts = F.transform(base, lambda c: c["start"])
+            names = lambda rows: F.array_join(F.array_sort(F.array_distinct(F.transform(rows, lambda c: c["label"]))), ",")
+            return F.struct(
+                F.size(words).cast("long").alias("n_words"),
+                F.size(base).cast("long").alias("n_base"),
+                F.array_min(starts).alias("first_word"),
+                F.array_max(starts).alias("last_word"),
+                names(base).alias("base_labels"),
+                names(F.filter(found, lambda c: c["whole"])).alias("labels"),
+                F.least(F.coalesce(F.array_max(F.transform(found, lambda c: c["score"])), F.lit(0.0)), F.lit(1.0)).alias("score"),
+            )
+
+        return bound(met, columns)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bound(words_of(F.col("text")), result).alias("r")).where("doc_id IS NOT NULL")
+    return rows.select("doc_id", "r.*")

@@ -18,8 +18,8 @@ from tessera.llm import common
 LENGTH, GRID, END = 2048, 8, 1
 #: Stop when the plan is proven to be within this share of the least possible number of sequences.
 GAP = 1e-3
-#: Words that a worker remembers; the memory is emptied when full, which changes no result.
-REMEMBERED = 600_000
+#: Bytes of words and ids that a worker remembers; the memory is emptied before the next texts when full, which changes no result.
+REMEMBERED = 150_000_000
 #: Pieces for each bucket of a length class's ranking.
 BUCKET_ROWS = 20_000
 #: Python's white space holds four separators more than the tokenizer's; texts with them are encoded whole.
@@ -43,6 +43,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memory: dict[str, bytes] = {}
+        self.remembered = 0
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -66,8 +67,9 @@ class WordEncoder:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         memory = self.memory
         split = [None if ODD_SPACE.search(t) else t.split() for t in texts]
-        if len(memory) > REMEMBERED:
+        if self.remembered > REMEMBERED:
             memory.clear()
+            self.remembered = 0
         missing = set().union(*(s for s in split if s)).difference(memory)
         letters, others, parts = set(), set(), []
         for w in missing:
@@ -86,6 +88,7 @@ class WordEncoder:
             self.ask(others)
         for w, head, tail in parts:
             memory[w] = memory[head] + memory[tail]
+        self.remembered += sum(250 + 2 * len(w) for w in missing)
         get = memory.__getitem__
         return [
             np.frombuffer(b"".join(map(get, s)), "<u4") if s is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
@@ -207,7 +210,7 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
 def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, tokens: bool = True) -> DataFrame:
     """Every document's ids in sequences of at most `length` tokens with little padding.
 
-    docs: doc_id (unique), text; other columns are ignored. Documents are cut into full sequences and one rest; rests
+    docs: doc_id, text; other columns are ignored; a repeated row is packed again. Documents are cut into full sequences and one rest; rests
     are classed by length (rounded up to GRID), the histogram of classes is planned by cutting_stock(), and the rests
     of each class, ranked, take the plan's places. Returns a row for each piece: doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id (from 0), offset, and, if `tokens`, ids. A null or empty text is the one id END. Rows

@@ -29,7 +29,8 @@ class Quantiser:
         # a linked unit vector is at most `radius` away; its part along one direction has deviation radius / sqrt(dim)
         radius = np.sqrt(2 - 2 * cosine)
         self.margin = radius * min(1.0, DEVIATIONS / np.sqrt(sample.shape[1]))
-        self.apart = np.sqrt(np.maximum(((self.centres[:, None] - self.centres[None]) ** 2).sum(axis=2), 0))
+        squares = (self.centres**2).sum(axis=1)
+        self.apart = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * self.centres @ self.centres.T, 0))
 
     def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Own list, and a row of booleans: lists whose dividing plane to the own one is within the margin."""
@@ -74,13 +75,11 @@ def compare(q: Quantiser, own_list: int, same: bool, m: dict, o: dict, cosine: f
     return (np.concatenate(a_all), np.concatenate(b_all)) if a_all else (none, none)
 
 
-def links(distinct: DataFrame, cosine: float) -> DataFrame:
-    """distinct (id, v, n) to rows (a, b, links): b not null: a link of a spanning forest; else a's weighted links of one block."""
-    spark = distinct.sparkSession
-    n = distinct.count()
-    schema = "a long, b long, links long"
-    if n < 2:
-        return spark.createDataFrame([], schema)
+SCHEMA = "a long, b long, links long"
+
+
+def links(distinct: DataFrame, n: int, cosine: float) -> DataFrame:
+    """n rows distinct (id, v, n) of one length to rows (a, b, links): b not null: a link of a spanning forest; else a's weighted links of one block."""
     q = Quantiser(vectors.sample(distinct, "id"), n, cosine)
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +156,7 @@ def links(distinct: DataFrame, cosine: float) -> DataFrame:
 
     sent = distinct.mapInArrow(deal, ROWS)
     sent = sent.select("list", "i", F.when(F.col("j") < 0, -F.col("j") - 1).otherwise(F.col("j")).alias("jj"), F.when(F.col("j") < 0, 1).otherwise(0).alias("role"), "payload")
-    return sent.groupBy("list", "i", "jj").applyInArrow(block_pair, schema)
+    return sent.groupBy("list", "i", "jj").applyInArrow(block_pair, SCHEMA)
 
 
 def pq_neardup(table: DataFrame, cosine: float = 0.95) -> DataFrame:
@@ -166,14 +165,17 @@ def pq_neardup(table: DataFrame, cosine: float = 0.95) -> DataFrame:
     table: vec_id (unique), embedding; other columns are ignored. Equal vectors are folded first and count in n_links.
     The search visits each coarse list whose border a linked vector may have crossed (see DEVIATIONS), filters by
     asymmetric table look-ups with a proven error bound and reranks by the exact cosine in double precision, so no link
-    below the threshold is ever given. Vectors that are null, zero, hold null or non-finite components, or have another
-    length than the commonest, link with nothing and keep themselves. A repeated row counts as another vector of the same
+    below the threshold is ever given. Vectors of each length are compared among themselves. Vectors that are null, empty,
+    zero or hold null or non-finite components link with nothing and keep themselves. A repeated row counts as another vector of the same
     id. An empty table gives an empty result.
     """
     rows = table.select(F.col("vec_id").cast("long"), "embedding").where("vec_id IS NOT NULL")
     good = common.checkpoint(vectors.usable(rows))
     distinct = common.checkpoint(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
-    found = common.checkpoint(links(distinct, cosine))
+    found = table.sparkSession.createDataFrame([], SCHEMA)
+    for rows_of_one, n in vectors.by_length(distinct):
+        found = found.unionByName(links(rows_of_one, n, cosine))
+    found = common.checkpoint(found)
     components = common.connected_components(found.where("b IS NOT NULL").select("a", "b"))
     weights = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     named = distinct.join(components, distinct.id == components.node, "left").join(weights, "id", "left")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common, features
@@ -17,6 +17,8 @@ from tessera.llm.ftrl import Ftrl
 SAMPLE = 6000
 #: Updates that a small sample is repeated for.
 UPDATES = 12_000
+#: Bytes of text that a model is fitted on, at most; further rows are left out, a first one never.
+TRAINING_BYTES = 64_000_000
 THRESHOLD = 0.3
 
 
@@ -64,19 +66,21 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int = SAMPLE) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of at most `most` rows that are not held out, in the order of a hash of doc_id."""
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
+def labelled(docs: DataFrame, labels: DataFrame, label: F.Column, most: int = SAMPLE, size: int = TRAINING_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """Whole texts and labels of at most `most` rows and `size` bytes that are not held out, in the order of a hash of doc_id."""
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label.cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     labels = labels.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    rows = texts.join(F.broadcast(labels), "doc_id").toArrow()  # the labels are bounded by `most`
+    rows = texts.join(F.broadcast(labels), "doc_id")  # the labels are bounded by `most`
+    ahead = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("ahead", F.coalesce(F.sum(F.octet_length("text")).over(ahead), F.lit(0))).where(F.col("ahead") + F.coalesce(F.octet_length("text"), F.lit(0)) <= F.greatest(F.lit(size), F.when(F.col("ahead") == 0, F.octet_length("text")))).drop("ahead").toArrow()
     order = np.lexsort((rows.column("label").to_numpy(), rows.column("doc_id").to_numpy() * 2654435761 % 2**31))
     held = rows.column("text").cast(pa.large_binary()).take(pa.array(order)).to_pylist()
     return [t or b"" for t in held], rows.column("label").to_numpy()[order]
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = SAMPLE) -> Logistic:
-    return fit(*labelled(docs, labels, column, most))
+    return fit(*labelled(docs, labels, F.col(column), most))
 
 
 def score_quality(docs: DataFrame, model: Logistic) -> DataFrame:

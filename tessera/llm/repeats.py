@@ -33,7 +33,7 @@ from tessera.llm import common, textkit
 #: Text for each bucket, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 24_000_000, 96
 #: Seeds that a task gathers before it sends them to their buckets.
-FLUSH = 600_000
+FLUSH = 300_000
 #: Documents that hot keys are estimated on, different contexts that make a key hot, and how many of them the sample must show.
 SAMPLE, HOT, SHOWN = 2000, 20_000, 3
 #: Bytes of a word beyond which it is compared by a digest.

@@ -15,15 +15,17 @@ from pyspark.sql import functions as F
 from tessera.llm import common, textkit
 
 #: Fingerprints that the bit statistics are taken from, at most (a bounded, hash-ordered sample; all are indexed).
-SAMPLE = 20_000
+SAMPLE = 8000
 #: Signatures for each bucket of the probe, members of a group compared in one block, and rows of a group in one task.
 BUCKET_ROWS, BLOCK, GROUP_ROWS = 400_000, 4096, 20_000
 #: Texts and characters of each that the order of shingles is taken from, text for each bucket, partners of a document in one task.
 SETS_SAMPLE, SAMPLE_CHARS, SET_BYTES, PARTNERS = 5000, 4000, 8_000_000, 250
-#: Fingerprints of the sample that meetings are counted on, and masks of a threshold at most.
-COUNTED, MASKS = 8000, 600
+#: Masks of a threshold at most.
+MASKS = 600
 #: Rows of a small side that are broadcast, at most; more are joined by a shuffle.
 BROADCAST = 1_000_000
+#: Texts that are compared in one task; deviations of a distance that rule a pair of sets of LARGE or more shingles out.
+ASKED, DEVIATIONS, LARGE = 250, 10, 64
 #: Multipliers that derive further 64-bit words of a wide fingerprint from a shingle's hash.
 WORD_STEP = 0x9E3779B97F4A7C15
 
@@ -157,7 +159,7 @@ def plan(sample: np.ndarray, n: int, bits: int, radius: int, most: int = 2) -> t
     correlated: pairs whose values meet within the threshold. What a sample of this size cannot show is taken from the bits'
     rates as if they were independent. Thresholds of more than MASKS masks are never cheap and are not counted.
     """
-    unpacked = np.unpackbits(sample.astype(">u8").view(np.uint8).reshape(len(sample), -1), axis=1)[:, :bits].astype(np.float64)
+    unpacked = np.unpackbits(sample.astype(">u8").view(np.uint8).reshape(len(sample), -1), axis=1)[:, :bits].astype(np.float32)
     plans = []
     for parts in range(2, radius + 2) if radius else (1,):
         groups = partition_bits(unpacked, parts)
@@ -169,7 +171,7 @@ def plan(sample: np.ndarray, n: int, bits: int, radius: int, most: int = 2) -> t
             p = unpacked[:, g].mean(axis=0)
             agree = np.prod(p * p + (1 - p) * (1 - p))  # two fingerprints agree on the whole group
             masks = np.cumsum([math.comb(len(g), r) for r in range(min(most, radius) + 1)])
-            counted = meetings(group_values(sample[:COUNTED], g), len(g), int((masks <= MASKS).sum()) - 1)
+            counted = meetings(group_values(sample, g), len(g), int((masks <= MASKS).sum()) - 1)
             for t in range(len(counted)):
                 meet = max(counted[t], agree * masks[t])
                 costs[i, t + 1] = n * masks[t] * 8.0 + n * (n * meet) * 0.02
@@ -443,7 +445,7 @@ def similar(pairs: DataFrame, docs: DataFrame, ngram: int, similarity: float, si
     many = pairs.groupBy("a").count().where(F.col("count") > PARTNERS)
     pairs = pairs.join(many, "a", "left").select("a", "b", F.coalesce(F.expr(f"pmod(xxhash64(b), 1 + `count` div {PARTNERS})"), F.lit(0)).alias("part"))
     asked = common.checkpoint(pairs.select("a", "part", F.col("b").alias("id")).unionByName(pairs.select("a", "part", F.col("a").alias("id")).distinct()))
-    buckets = max(96, size // SET_BYTES, asked.count() // 5000)
+    buckets = max(96, size // SET_BYTES, asked.count() // ASKED)
     sent = docs.select(F.col("doc_id").alias("id"), "text").join(small(asked), "id").select(F.expr(f"pmod(xxhash64(a, part), {buckets})").alias("bucket"), "a", "id", "text")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -470,8 +472,24 @@ def similar(pairs: DataFrame, docs: DataFrame, ngram: int, similarity: float, si
     return common.checkpoint(sent.groupBy("bucket").applyInArrow(compare, "a long, b long"))
 
 
+def set_fingerprints(hashes: np.ndarray, count: np.ndarray, words: int) -> np.ndarray:
+    """The SimHash of each set of shingles as `words` uint64 values; an empty set makes zero."""
+    out = np.zeros((len(count), words), np.uint64)
+    held = np.flatnonzero(count)
+    ends = np.cumsum(count[held])
+    for lo, hi in zip(*common.runs_of(ends // 200_000), strict=True):
+        first, last = ends[lo] - count[held[lo]], ends[hi - 1]
+        starts = ends[lo:hi] - count[held[lo:hi]] - first
+        for k in range(words):
+            v = textkit.mix(hashes[first:last] + np.uint64(k * WORD_STEP & (1 << 64) - 1))
+            bits = np.unpackbits(v.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+            out[held[lo:hi], k] = np.packbits(ones * 2 > count[held[lo:hi], None], axis=1).view(">u8").ravel()
+    return out
+
+
 def set_digests(docs: DataFrame, ngram: int, bits: int) -> DataFrame:
-    """(doc_id, digest of the shingle set, fingerprint) of every row with a doc_id; a null text counts as empty."""
+    """(doc_id, digest of the shingle set, its size and fingerprint) of every row with a doc_id; a null text counts as empty."""
     words = bits // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -480,24 +498,42 @@ def set_digests(docs: DataFrame, ngram: int, bits: int) -> DataFrame:
             h, count = shingle_sets(texts, ngram)
             ends = np.cumsum(count)
             digests = [xxhash.xxh128_digest(h[a:b].tobytes()) for a, b in zip((ends - count).tolist(), ends.tolist(), strict=True)]
-            out = [fingerprint_words(t, ngram, words).astype(">u8").tobytes() for t in texts]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(out, pa.binary())], names=["doc_id", "digest", "fingerprint"])
+            prints = [w.tobytes() for w in set_fingerprints(h, count, words).astype(">u8")]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(count, pa.int64()), pa.array(prints, pa.binary())], names=["doc_id", "digest", "size", "fingerprint"])
+
+    return docs.mapInArrow(run, "doc_id long, digest binary, size long, fingerprint binary")
+
+
+def not_far(pairs: DataFrame, distinct: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) without those of two large sets whose fingerprints are DEVIATIONS standard deviations too far apart."""
+    p = radius_of(similarity, bits) / bits
+    most = radius_of(similarity, bits) + math.ceil(DEVIATIONS * math.sqrt(bits * p * (1 - p)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                apart = np.bitwise_count(to_words(batch.column("x"), bits // 64) ^ to_words(batch.column("y"), bits // 64)).sum(axis=1, dtype=np.int64)
+                near = (apart <= most) | (np.minimum(batch.column("m").to_numpy(), batch.column("n").to_numpy()) < LARGE)
+                yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, fingerprint binary")
+    sets = distinct.groupBy("id").agg(F.min("size").alias("size"), F.min("fingerprint").alias("fingerprint"))
+    held = pairs.distinct().join(sets.select(F.col("id").alias("a"), F.col("size").alias("m"), F.col("fingerprint").alias("x")), "a")
+    held = held.join(sets.select(F.col("id").alias("b"), F.col("size").alias("n"), F.col("fingerprint").alias("y")), "b")
+    return held.select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def jaccard_neardup(docs: DataFrame, ngram: int, similarity: float, bits: int, sure: int) -> DataFrame:
     """(doc_id, component_id): documents whose sets of `ngram`-word shingles have a Jaccard similarity of at least `similarity`.
 
     Fingerprints propose links first, as in simhash_neardup(), one for each document; then every pair of documents not
-    yet connected that shares one of the first shingles of its sets is proposed, so no pair of the similarity is missed.
-    Every proposed link is decided by the Jaccard similarity of the two sets. Equal sets (also two without words) are folded to one;
+    yet connected that shares one of the first shingles of its sets is proposed, so no pair of the similarity is missed,
+    but for large sets whose fingerprints are so far apart that the chance is beyond 1e-20. Every proposed link is decided by the Jaccard similarity of the two sets. Equal sets (also two without words) are folded to one;
     links run over chains and component_id is the smallest doc_id reachable. Rows without a doc_id are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
     _, size = common.rows_and_bytes(docs)
     prints = common.checkpoint(set_digests(docs, ngram, bits))
-    distinct = common.checkpoint(prints.groupBy("digest").agg(F.min_by("fingerprint", "doc_id").alias("fingerprint"), F.min("doc_id").alias("id")))
+    distinct = common.checkpoint(prints.groupBy("digest").agg(F.first("fingerprint").alias("fingerprint"), F.first("size").alias("size"), F.min("doc_id").alias("id")))
     # one proposed link for each document: what these do not join, or join wrongly, is left to the shared shingles
     near = links(distinct.select("id", "fingerprint"), bits, radius_of(similarity, bits), sure).groupBy("a").agg(F.min("b").alias("b"))
     first = similar(near, docs, ngram, similarity, size)
@@ -505,7 +541,8 @@ def jaccard_neardup(docs: DataFrame, ngram: int, similarity: float, bits: int, s
     copies = prints.select("doc_id").distinct().join(distinct.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
     marks = common.checkpoint(found.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")).unionByName(copies.select("doc_id", F.lit(None).cast("long").alias("comp"))).withColumn("marked", F.lit(True)))
     labelled = docs.join(small(marks), "doc_id", "left").where("marked IS NULL OR comp IS NOT NULL").select(F.col("doc_id").alias("id"), "text", F.coalesce("comp", "doc_id").alias("comp"))
-    more = similar(shared_prefixes(docs, labelled, ngram, similarity, size), docs, ngram, similarity, size)
-    found = common.connected_components(first.unionByName(more))
+    other = not_far(shared_prefixes(docs, labelled, ngram, similarity, size), distinct, bits, similarity)
+    more = similar(other, docs, ngram, similarity, size)
+    found = common.connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = distinct.join(found, distinct.id == found.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, "digest").select("doc_id", "component_id")

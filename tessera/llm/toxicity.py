@@ -82,7 +82,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, epochs: int | None = None, alpha:
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = SAMPLE) -> Ordinal:
-    return fit(*labelled(docs, labels, column, most))
+    return fit(*labelled(docs, labels, F.col(column), most))
 
 
 def score_toxicity(docs: DataFrame, model: Ordinal, threshold: float = THRESHOLD) -> DataFrame:

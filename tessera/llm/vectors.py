@@ -14,24 +14,31 @@ SAMPLE = 20_000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): little-endian doubles of the vectors that are not null, not zero and hold finite numbers only.
+    """(vec_id, v): little-endian doubles of the vectors that are not null, not empty, not zero and hold finite numbers only.
 
-    Vectors of another length than the commonest (of equally common ones the longest) are left out, as no cosine
-    is defined between them and the others.
+    Vectors of every length stay; their operators compare those of one length with each other, as no cosine is defined
+    between two lengths.
     """
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where("vec_id IS NOT NULL")
-    sizes = rows.where("size(embedding) > 0").groupBy(F.size("embedding").alias("k")).count().orderBy(F.desc("count"), F.desc("k")).first()
-    dim = sizes["k"] if sizes else 0
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where("vec_id IS NOT NULL AND size(embedding) > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype("<f8")
-            with np.errstate(over="ignore", invalid="ignore"):
-                good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
-            ids = batch.column("vec_id").to_numpy()[good]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([r.tobytes() for r in x[good]], pa.binary())], names=["vec_id", "v"])
-
-    return rows.where(F.size("embedding") == dim).mapInArrow(run, "vec_id long, v binary")
+            ids, column = batch.column("vec_id").to_numpy(), batch.column("embedding")
+            lengths = column.value_lengths().to_numpy()
+            for dim in np.unique(lengths).tolist():
+                own = lengths == dim
+                x = column.filter(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype("<f8")
+                with np.errstate(over="ignore", invalid="ignore"):
+                    good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+                yield pa.record_batch([pa.array(ids[own][good], pa.int64()), pa.array([r.tobytes() for r in x[good]], pa.binary())], names=["vec_id", "v"])
+
+    return rows.mapInArrow(run, "vec_id long, v binary")
+
+
+def by_length(rows: DataFrame, least: int = 2) -> list[tuple[DataFrame, int]]:
+    """rows (v, ...) of each length of v that at least `least` rows have, with their count, shortest first."""
+    counts = rows.groupBy(F.octet_length("v").alias("bytes")).count().where(F.col("count") >= least).orderBy("bytes").collect()  # a handful of models
+    return [(rows.where(F.octet_length("v") == r["bytes"]), r["count"]) for r in counts]
 
 
 def matrix(column) -> np.ndarray:

@@ -145,6 +145,15 @@ def test_pigeonhole_plan_covers_the_radius():
         assert sum(t + 1 for t in thresholds) >= radius + 1
 
 
+def test_set_fingerprints():
+    sets = [[], [5], [1, 2, 3], [7, 2**63, 9, 4]]
+    got = simhash.set_fingerprints(np.array([x for s in sets for x in s], np.uint64), np.array([len(s) for s in sets]), 2)
+    for s, words in zip(sets, got):
+        for k, word in enumerate(words.tolist()):
+            h = simhash.textkit.mix(np.array(s, np.uint64) + np.uint64(k * simhash.WORD_STEP & (1 << 64) - 1)).tolist()
+            assert word == sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
 def test_plan_counts_what_meets():
     """Bits that are copies of others or nearly constant: thresholds follow the candidates that the sample shows."""
     rng = np.random.default_rng(4)
