@@ -23,6 +23,15 @@ BYTES_PER_TOKEN, SUMMARY_BYTES_PER_TOKEN = 3, 4
 MAX_TOKENS, RESERVE_TOKENS, MAX_FILES = 128_000, 32_000, 50
 SUMMARY_BATCH = 5
 
+# What stands for a text that is not shown; their lengths count against the budget
+EXCLUDED_TEXT = "[File content excluded — large or generated file. See diff for changes.]"
+DIFF_ONLY_TEXT = "[See diff for changes to this file.]"
+SUMMARY_PREFIX = "[Summary — full content omitted.]\n"
+DIFF_NOTICE = "\n[Diff truncated after provider pressure to fit a reduced review budget.]\n"
+
+# Smaller prompts after provider pressure
+PROMPT_TARGETS, MIN_OUTPUT_TOKENS, DIFF_MARGIN = (64_000, 48_000, 32_000, 16_000, 8_000, 4_000), 1_024, 256
+
 # Findings
 MIN_CONFIDENCE = 0.7
 MISSING_FILE_PENALTY, MISSING_EVIDENCE_PENALTY = 0.2, 0.3
@@ -101,3 +110,9 @@ COMMON_WORDS = (
 WORD_DIVIDERS = ",.;:()[]{}=<>!&|\"'"
 
 PRESSURE_STATUSES = (408, 502, 503, 504)
+PRESSURE_PHRASES = (
+    "upstream request timeout", "gateway timeout", "request timeout", "request timed out", "operation timed out",
+    "provider capacity", "server overloaded",
+)
+#: What the message of a failed model download holds if the source limits the rate.
+RATE_LIMIT_PHRASES = ("status code 429", "429 too many requests", "too many requests")

@@ -77,19 +77,20 @@ def _list(items: list) -> list[dict]:
 
 
 def _search(value) -> tuple[str, list[dict]] | None:
-    """A finding list under one of the known keys, here or in any value; keys in sorted order."""
+    """A finding list under one of the known keys, here or in any value (keys in sorted order), or a bare list of findings.
+
+    A list counts only with a finding or a summary beside it; an outer summary goes before one further inside.
+    """
     if isinstance(value, dict):
+        summary = value["summary"] if isinstance(value.get("summary"), str) else ""
         for key in fixed.FINDING_KEYS:
-            if isinstance(value.get(key), list):
-                summary = value.get("summary")
-                return summary if isinstance(summary, str) else "", _list(value[key])
+            if isinstance(value.get(key), list) and ((found := _list(value[key])) or summary):
+                return summary, found
         for key in sorted(value):
-            if found := _search(value[key]):
-                return found
-    elif isinstance(value, list):
-        for v in value:
-            if found := _search(v):
-                return found
+            if inner := _search(value[key]):
+                return summary or inner[0], inner[1]
+    elif isinstance(value, list) and (found := _list(value)):
+        return "", found
     return None
 
 
@@ -102,21 +103,23 @@ def _load(text: str | None):
 
 def parse_response(response: str) -> dict:
     """summary, findings and quality: strict, flexible, array, salvaged or malformed."""
-    value = _load(first_object(response))
-    if isinstance(value, dict) and isinstance(value.get("summary"), str) and isinstance(value.get("findings"), list):
+    response = response.strip()
+    part = first_object(response) or response
+    value = _load(part)
+    if isinstance(value, dict) and isinstance(value.get("summary"), str | None) and isinstance(value.get("findings"), list):
         found = _list(value["findings"])
         if len(found) == len(value["findings"]):
-            return {"summary": sanitize(value["summary"]), "findings": found, "quality": "strict"}
-    if value is not None and (found := _search(value)):
-        return {"summary": sanitize(found[0]), "findings": found[1], "quality": "flexible"}
-    whole = _load(response.strip())
-    if isinstance(whole, list) and not any(isinstance(x, dict) for x in whole):
-        return {"summary": "", "findings": [], "quality": "array"}
-    at = response.find("findings")
-    at = response.find("[", max(at, 0))
-    if at >= 0 and (found := _list([_load(o) for o in balanced_objects(response[at:])])):
-        return {"summary": "", "findings": found, "quality": "salvaged"}
-    return {"summary": "", "findings": [], "quality": "malformed"}
+            return {"summary": value.get("summary") or "", "findings": found, "quality": "strict"}
+    if value is not None and (search := _search(value)):
+        return {"summary": search[0], "findings": search[1], "quality": "flexible"}
+    opens, closes = part.find("["), part.rfind("]")
+    items = _load(part[opens : closes + 1] if 0 <= opens < closes else part)
+    if isinstance(items, list) and len(found := _list(items)) == len(items):
+        return {"summary": "", "findings": found, "quality": "array"}
+    key = response.find(fixed.FINDING_KEYS[0])
+    at = response.find("[", key) if key >= 0 else -1
+    found = _list([_load(o) for o in balanced_objects(response[max(at, 0) :])])
+    return {"summary": "", "findings": found, "quality": "salvaged" if found else "malformed"}
 
 
 def parse_responses(responses: Column) -> Column:

@@ -28,16 +28,21 @@ def chunk_windows(content: Column, size: int = fixed.CHUNK_LINES, overlap: int =
 
     The last window may lie inside the one before it. If the step is not positive, the whole text is one window.
     """
-    step, held = max(size - overlap, 0), lines(content)
-    n = F.size(held)
-    if step == 0:
-        one = F.array(F.struct(F.lit(1).alias("start_line"), n.alias("end_line"), F.array_join(held, "\n").alias("content")))
-        return F.when(n > 0, one)
-    windows = F.transform(
-        F.sequence(F.lit(0), n - 1, F.lit(step)),
-        lambda s: F.struct((s + 1).alias("start_line"), F.least(s + size, n).alias("end_line"), F.array_join(F.slice(held, s + 1, size), "\n").alias("content")),
-    )
-    return F.when(n > 0, windows)
+    step = max(size - overlap, 0)
+
+    def windows(held: Column) -> Column:
+        n = F.size(held)
+        if step == 0:
+            one = F.array(F.struct(F.lit(1).alias("start_line"), n.alias("end_line"), F.array_join(held, "\n").alias("content")))
+            return F.when(n > 0, one)
+        each = F.transform(
+            F.sequence(F.lit(0), n - 1, F.lit(step)),
+            lambda s: F.struct((s + 1).alias("start_line"), F.least(s + size, n).alias("end_line"), F.array_join(F.slice(held, s + 1, size), "\n").alias("content")),
+        )
+        return F.when(n > 0, each)
+
+    # the lines are bound to a variable, so that a text is cut once and not again for every window
+    return F.get(F.transform(F.array(lines(content)), windows), F.lit(0))
 
 
 def content_hash(text: Column) -> Column:
@@ -123,6 +128,13 @@ def truncate_chars(text: Column, most: int = 500) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 
 
+def truncate_bytes(text: Column, most: int) -> Column:
+    """A text of over `most` UTF-8 bytes up to the character that holds the byte behind them; never cut inside a character."""
+    raw = F.encode(text, "UTF-8")
+    whole = [F.try_validate_utf8(F.substring(raw, 1, most + k).cast("string")) for k in (1, 2, 3, 4)]
+    return F.when(F.octet_length(text) > most, F.coalesce(*whole)).otherwise(text)
+
+
 def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"\.([^./]+)$", 1)
 
@@ -141,9 +153,14 @@ def is_likely_text(content: Column) -> Column:
 
 
 def failure_kind(status: Column, body: Column) -> Column:
-    """rate_limited, provider_pressure, or other, of a provider's answer."""
-    pressed = status.isin(*fixed.PRESSURE_STATUSES) | F.lower(body).rlike("overloaded|temporarily unavailable|rate limit|too many requests|capacity|timeout|timed out")
-    return F.when(status == 429, "rate_limited").when(pressed, "provider_pressure").otherwise("other")
+    """rate_limited, provider_pressure or server_error, of a provider's answer that is worth another try."""
+    pressed = status.isin(*fixed.PRESSURE_STATUSES) | contains_any(F.lower(F.coalesce(body, F.lit(""))), fixed.PRESSURE_PHRASES)
+    return F.when(status == 429, "rate_limited").when(pressed, "provider_pressure").otherwise("server_error")
+
+
+def load_failure_kind(message: Column) -> Column:
+    """rate_limited or other, of why an embedding model could not be loaded."""
+    return F.when(contains_any(F.lower(F.coalesce(message, F.lit(""))), fixed.RATE_LIMIT_PHRASES), "rate_limited").otherwise("other")
 
 
 def experiment_name(sha: Column, timestamp: Column) -> Column:

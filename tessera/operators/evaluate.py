@@ -94,11 +94,11 @@ def guidance(records: DataFrame, order: str = "ord") -> DataFrame:
     """One row with the advice that the history gives (an empty string for none)."""
     t = trend(records, order=order)
     rules = [
-        F.when(F.col("precision_trend") <= fixed.TREND_DECLINE, "precision declined: report only what has clear evidence"),
-        F.when(F.col("precision_trend") >= fixed.TREND_GAIN, "precision is strong: keep this rigor"),
-        F.when(F.col("recall_trend") <= fixed.TREND_DECLINE, "recall declined: look closer at errors, resources and edge cases"),
-        F.when(F.col("recall_trend") >= fixed.TREND_GAIN, "recall is strong"),
-        F.when(F.col("noise_rate_trend") >= fixed.TREND_NOISE, "noise is rising: leave out what is speculative"),
+        F.when(F.col("precision_trend") < fixed.TREND_DECLINE, "precision declined: report only what has clear evidence"),
+        F.when(F.col("precision_trend") > fixed.TREND_GAIN, "precision is strong: keep this rigor"),
+        F.when(F.col("recall_trend") < fixed.TREND_DECLINE, "recall declined: look closer at errors, resources and edge cases"),
+        F.when(F.col("recall_trend") > fixed.TREND_GAIN, "recall is strong"),
+        F.when(F.col("noise_rate_trend") > fixed.TREND_NOISE, "noise is rising: leave out what is speculative"),
     ]
     advice = F.when(F.col("records") >= 2, F.array_join(F.array_compact(F.array(*rules)), "\n")).otherwise("")
     names = last_n(records, fixed.HISTORY_WINDOW, order).select(F.explode("per_fixture").alias("f")).select("f.name", "f.fp", F.col("f.fn_count").alias("fn"))

@@ -33,11 +33,21 @@ def sarif(findings: DataFrame) -> DataFrame:
     return sarif_results(findings).agg(results.alias("results")).select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(driver.alias("tool"), F.col("results"))).alias("runs"))).alias("sarif"))
 
 
+def write_findings(findings: DataFrame, path: str, form: str = "sarif") -> bool:
+    """Writes a review's findings to a folder as one SARIF document or as JSON lines; nothing, and False, for none."""
+    if findings.isEmpty():
+        return False
+    rows = sarif(findings) if form == "sarif" else findings.select(F.to_json(F.struct(*findings.columns)).alias("json"))
+    rows.coalesce(1).write.mode("overwrite").text(path)
+    return True
+
+
 def finding_body() -> Column:
-    """Markdown of one finding, with its ids in comments."""
-    ids = F.when(F.col("fp_id").isNotNull(), F.concat(F.lit(ID_MARK), F.col("fp_id"), F.lit(MARK_END + "\n" + LINE_MARK), F.col("line_id"), F.lit(MARK_END))).otherwise("")
-    more = F.when(F.col("suggestion").isNotNull(), F.concat(F.lit("\n\n**Suggestion:** "), F.col("suggestion"))).otherwise("")
-    return F.concat(F.lit(MARK + "\n"), ids, F.format_string("\n**[%s]** (confidence: %.0f%%)\n\n", F.col("category"), F.col("confidence") * 100), F.col("explanation"), F.lit("\n\n**Impact:** "), F.col("impact"), F.lit("\n\n**Evidence:**\n```\n"), F.col("evidence"), F.lit("\n```"), more, F.lit("\n"))
+    """Markdown of one finding: a heading line, what is wrong, what it leads to, the quoted code and a way out; ids in comments at the end."""
+    ids = F.when(F.col("fp_id").isNotNull(), F.concat(F.lit("\n" + ID_MARK), F.col("fp_id"), F.lit(MARK_END + LINE_MARK), F.coalesce("line_id", F.lit("")), F.lit(MARK_END))).otherwise("")
+    way = F.when(F.col("suggestion").isNotNull(), F.concat(F.lit("\n- Suggestion: "), F.col("suggestion"))).otherwise("")
+    head = F.format_string("%s\n### %s, %.0f of 100 sure\n\n", F.lit(MARK), F.initcap("category"), F.col("confidence") * 100)
+    return F.concat(head, F.col("explanation"), F.lit("\n\n- Leads to: "), F.col("impact"), way, F.lit("\n\n~~~\n"), F.col("evidence"), F.lit("\n~~~"), ids)
 
 
 def marker_value(body: Column, mark: str) -> Column:
@@ -79,7 +89,7 @@ def user_prompt(diff: str, package, title: str = "") -> str:
     """Diff, changed files with numbered lines, related files. Line numbers start at 1."""
     def shown(f: dict) -> str:
         if f["tier"] == "diff_only":
-            return "*[only the diff is shown]*"
+            return f["content"]
         body = f["content"].split("\n") if f["tier"] == "full" else [f["content"]]
         return "```\n" + "\n".join(f"{i:>4} | {x}" if f["tier"] == "full" else x for i, x in enumerate(body, 1)) + "\n```"
 

@@ -73,12 +73,12 @@ def method_counts(evidence: DataFrame) -> DataFrame:
     return evidence.agg(*(F.count_distinct(F.when(F.col("method") == m, F.col("file_id"))).alias(m) for m in fixed.WEIGHTS))
 
 
-def retrieve(changed: DataFrame, files: DataFrame, imports: DataFrame, pairs: DataFrame, symbols: DataFrame, refs: DataFrame, names: DataFrame, summaries: DataFrame | None = None, chunks: DataFrame | None = None, vectors: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+def retrieve(changed: DataFrame, files: DataFrame, imports: DataFrame, pairs: DataFrame, symbols: DataFrame, refs: DataFrame, names: DataFrame, summaries: DataFrame | None = None, chunks: DataFrame | None = None, vectors: DataFrame | None = None, weights: dict[str, float] | None = None, min_correlation: float = fixed.MIN_COCHANGE_READ) -> DataFrame:
     """(file_id, path, score, entries), best first, ties by path. Without vectors both vector methods give nothing.
 
     vectors: (id, kind, embedding) of the changed files, kind `summary` or `code`.
     """
-    evidence = structural(changed, files, imports, pairs).unionByName(keyword(changed, symbols, refs, names))
+    evidence = structural(changed, files, imports, pairs, min_correlation).unionByName(keyword(changed, symbols, refs, names))
     if vectors is not None and summaries is not None:
         evidence = evidence.unionByName(semantic(vectors.where("kind = 'summary'"), summaries))
     if vectors is not None and chunks is not None:

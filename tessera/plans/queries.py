@@ -77,21 +77,21 @@ def knn_within_candidates(spark, sf_dir):
     return vector.within_candidates(q, base, allowed, 20).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
-VOTES = """, s AS (SELECT vec_id AS id, embedding, CASE WHEN label % 2 = 0 THEN 'dismissed' ELSE 'accepted' END AS kind FROM embeddings WHERE vec_id % 50 <> 0),
-    n AS (SELECT f.vec_id AS id, s.kind, s.id AS sid, list_distance(f.embedding::DOUBLE[], s.embedding::DOUBLE[]) AS d FROM embeddings f, s WHERE f.vec_id % 50 = 0),
+VOTES = """, s AS (SELECT vec_id AS id, embedding, CASE WHEN label % 2 = 0 THEN 'dismissed' ELSE 'accepted' END AS kind FROM embeddings WHERE vec_id % 5 <> 0),
+    n AS (SELECT f.vec_id AS id, s.kind, s.id AS sid, list_distance(f.embedding::DOUBLE[], s.embedding::DOUBLE[]) AS d FROM embeddings f, s WHERE f.vec_id % 5 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, sid) AS k FROM n),
     v AS (SELECT r.id, count(*) FILTER (kind = 'dismissed') AS no, count(*) FILTER (kind = 'accepted') AS yes FROM r JOIN embeddings e ON e.vec_id = r.sid
           WHERE k <= 10 AND d <= 1.3 AND e.label < 7 GROUP BY 1)"""
 
 
-@query(f"""WITH f AS (SELECT vec_id AS id, 0.5 + (vec_id // 50 % 5) * 0.1 AS confidence FROM embeddings WHERE vec_id % 50 = 0){VOTES}
+@query(f"""WITH f AS (SELECT vec_id AS id, CAST(0.5 + (vec_id // 5 % 5) * 0.1 AS DOUBLE) AS confidence FROM embeddings WHERE vec_id % 5 = 0){VOTES}
     SELECT id, round(c, 6) AS confidence FROM (SELECT f.id, CASE WHEN coalesce(yes, 0) >= 3 THEN least(confidence + 0.1, 1.0) ELSE confidence END AS c
     FROM f LEFT JOIN v ON v.id = f.id WHERE coalesce(no, 0) < 3) WHERE c >= 0.55""")
 def feedback_vote(spark, sf_dir):
     _, base = vectors(spark, sf_dir)
     team = F.when(F.col("label") < 7, "ours").otherwise("theirs").alias("team_id")
-    signals = base.where(F.col("id") % EVERY != 0).select("id", "embedding", F.when(F.col("label") % 2 == 0, "dismissed").otherwise("accepted").alias("signal_type"), team)
-    found = base.where(F.col("id") % EVERY == 0).select("id", "embedding", (0.5 + F.floor(F.col("id") / EVERY) % 5 * 0.1).alias("confidence"))
+    signals = base.where("id % 5 <> 0").select("id", "embedding", F.when(F.col("label") % 2 == 0, "dismissed").otherwise("accepted").alias("signal_type"), team)
+    found = base.where("id % 5 = 0").select("id", "embedding", (0.5 + F.floor(F.col("id") / 5) % 5 * 0.1).alias("confidence"))
     return feedback.apply_feedback(found, signals, "ours", min_confidence=0.55, min_signals=1, max_distance=1.3).select("id", F.round("confidence", 6).alias("confidence"))
 
 
@@ -194,10 +194,10 @@ def method_counts(spark, sf_dir):
     return retrieval.method_counts(evidence(spark, sf_dir))
 
 
-def chunks_sql(size: int, step: int) -> str:
-    return f"""l AS (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM documents WHERE length(text) > 0),
-    ch AS (SELECT doc_id, s, ls, len(ls) AS n FROM (SELECT doc_id, ls, unnest(range(0, len(ls), {step})) AS s FROM l)),
-    c AS (SELECT doc_id, CAST(s + 1 AS INT) AS start_line, CAST(least(s + {size}, n) AS INT) AS end_line, array_to_string(ls[s + 1:s + {size}], chr(10)) AS content FROM ch)"""
+def chunks_sql(size: int, step: int, source: str = "documents", tag: str = "") -> str:
+    return f"""l{tag} AS (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM {source} WHERE length(text) > 0),
+    ch{tag} AS (SELECT doc_id, s, ls, len(ls) AS n FROM (SELECT doc_id, ls, unnest(range(0, len(ls), {step})) AS s FROM l{tag})),
+    c{tag} AS (SELECT doc_id, CAST(s + 1 AS INT) AS start_line, CAST(least(s + {size}, n) AS INT) AS end_line, array_to_string(ls[s + 1:s + {size}], chr(10)) AS content FROM ch{tag})"""
 
 
 def doc_files(spark, sf_dir) -> DataFrame:
@@ -219,12 +219,13 @@ def chunk_hash_dedup(spark, sf_dir):
     return chunks.line_chunks(doc_files(spark, sf_dir)).groupBy("content_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
-@query(f"WITH {chunks_sql(50, 40)}, b AS (SELECT doc_id, list_sort(list(sha256(content))) AS h FROM c GROUP BY 1) SELECT x.doc_id FROM b x JOIN b y ON y.doc_id = x.doc_id - 1 WHERE x.h = y.h")
+@query(f"""WITH old AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '!' ELSE chr(10) || 'more' END AS text FROM documents), {chunks_sql(50, 40)}, {chunks_sql(50, 40, "old", "o")},
+    b AS (SELECT doc_id, list_sort(list(sha256(content))) AS h FROM c GROUP BY 1), bo AS (SELECT doc_id, list_sort(list(sha256(content))) AS h FROM co GROUP BY 1) SELECT doc_id FROM b JOIN bo USING (doc_id) WHERE b.h = bo.h""")
 def unchanged_chunks(spark, sf_dir):
-    """Documents whose chunks are just those of the document before."""
-    fresh = chunks.line_chunks(doc_files(spark, sf_dir)).select("doc_id", "content_hash")
-    stored = fresh.select((F.col("doc_id") + 1).alias("doc_id"), "content_hash")
-    return chunks.unchanged_files(stored, fresh, "doc_id")
+    """Two of three documents had other text when their chunks were stored."""
+    more = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "!").otherwise("\nmore")
+    stored = doc_files(spark, sf_dir).withColumn("content", F.concat("content", more))
+    return chunks.unchanged_files(chunks.line_chunks(stored), chunks.line_chunks(doc_files(spark, sf_dir)), "doc_id")
 
 
 @query("SELECT doc_id, strlen(text) // 3 AS tokens, strlen(text) // 4 AS summary_tokens FROM documents")
@@ -265,10 +266,23 @@ def filter_chain(spark, sf_dir):
     return findings.apply_filters(rows).select("file", "start_line", "category", F.round("confidence", 6).alias("confidence"), "ord")
 
 
-@query(f"""WITH c AS (SELECT conv_id, turn, lower(text) || ' ' AS b, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS n FROM conversations)
+def list_sql(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+PHRASES = {1: (*fixed.DISMISSAL_PHRASES, fixed.MINIMAL, fixed.MINIMAL_QUALIFIER), 2: (*fixed.CLAIM_PHRASES, *fixed.NO_CLAIM_PHRASES), 3: fixed.REASONING_PHRASES}
+SAID = "lower(text) || CASE conv_id % 4 " + " ".join(f"WHEN {k} THEN ' ' || ({list_sql(v)})[1 + CAST((conv_id * 7 + turn) % {len(v)} AS INT)]" for k, v in PHRASES.items()) + " ELSE '' END"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, {SAID} AS s FROM conversations), c AS (SELECT conv_id, turn, s, s || ' ' AS b, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS n FROM t)
     SELECT conv_id, turn, {DISMISSED} AS dismissed, NOT {contains_sql('n', fixed.NO_CLAIM_PHRASES)} AND {contains_sql('n', fixed.CLAIM_PHRASES)} AS claims, {contains_sql('n', fixed.REASONING_PHRASES)} AS reasoning FROM c""")
 def text_predicates(spark, sf_dir):
-    t = F.col("text")
+    """Three of four texts end with a phrase of one of the lists."""
+    nth = lambda v: F.concat(F.lit(" "), F.element_at(F.array(*map(F.lit, v)), ((F.col("conv_id") * 7 + F.col("turn")) % len(v) + 1).cast("int")))
+    more = F.lit("")
+    for k, v in PHRASES.items():
+        more = F.when(F.col("conv_id") % 4 == k, nth(v)).otherwise(more)
+    t = F.concat("text", more)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.is_self_dismissed(t, F.lit("")).alias("dismissed"), text.claims_findings(t).alias("claims"), text.has_reasoning(F.regexp_replace(t, r"\s+", " ")).alias("reasoning"))
 
 
@@ -419,19 +433,43 @@ def batch_answers(spark, sf_dir):
     return rows.select("event_id", F.explode(jsonx.batch_summaries(said)).alias("name", "summary"))
 
 
-@query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'strict' WHEN 1 THEN 'flexible' WHEN 2 THEN 'array' ELSE 'malformed' END AS quality, CASE WHEN turn % 4 < 2 THEN CAST(conv_id % 2 AS INT) ELSE 0 END AS n FROM conversations""")
+#: Shapes of an answer: what stands around the list of findings, its quality and summary by the rules, with a finding and without.
+LADDER = (
+    ('so {"summary":"s","findings":[', "]} end", ("strict", "s"), ("strict", "s")),
+    ('{"findings":[', "]}", ("strict", ""), ("strict", "")),
+    ('{"summary":null,"findings":[', "]}", ("strict", ""), ("strict", "")),
+    ('{"review":{"issues":[', "]}}", ("flexible", ""), ("array", "")),
+    ('{"summary":"outer","review":{"summary":"inner","results":[', "]}}", ("flexible", "outer"), ("flexible", "outer")),
+    ("[", "]", ("salvaged", ""), ("array", "")),  # the finding is the first object of the text, and no review
+    ('{"findings": [', ', {"file": "cut', ("salvaged", ""), ("malformed", "")),
+    ("nothing here", "", ("malformed", ""), ("malformed", "")),
+)
+LADDER_SQL, SUMMARY_SQL = (" ".join(f"WHEN turn % 8 = {i} AND conv_id % 2 = {1 - k} THEN '{rule[k][part]}'" for i, (_, _, *rule) in enumerate(LADDER) for k in (0, 1)) for part in (0, 1))
+
+
+@query(f"""SELECT conv_id, turn, CASE {LADDER_SQL} END AS quality, CASE {SUMMARY_SQL} END AS summary, CASE WHEN turn % 8 < 7 AND conv_id % 2 = 1 THEN 1 ELSE 0 END AS n FROM conversations""")
 def parse_ladder(spark, sf_dir):
-    """Answers of four shapes through the ladder of parsers."""
-    finding = F.when(F.col("conv_id") % 2 == 1, '{"file":"a","start_line":1,"end_line":null,"category":"logic","confidence":0.9,"evidence":"x","explanation":"y","impact":"z","suggestion":null}').otherwise("")
-    said = F.when(F.col("turn") % 4 == 0, F.concat(F.lit('so {"summary":"s","findings":['), finding, F.lit("]} end"))).when(F.col("turn") % 4 == 1, F.concat(F.lit('{"review":{"issues":['), finding, F.lit("]}}"))).when(F.col("turn") % 4 == 2, "[]").otherwise("nothing here")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", jsonx.parse_responses(said).alias("p")).select("conv_id", "turn", "p.quality", F.size("p.findings").alias("n"))
+    """Answers of eight shapes, with a finding and without, through the ladder of parsers."""
+    finding = '{"file":"a","start_line":1,"end_line":null,"category":"logic","confidence":0.9,"evidence":"x","explanation":"y","impact":"z","suggestion":null}'
+    said = F.lit(None).cast("string")
+    for i, (head, tail, *_) in enumerate(LADDER):
+        said = F.when(F.col("turn") % 8 == i, F.concat(F.lit(head), F.when((F.col("conv_id") % 2 == 1) & F.lit(i < 7), finding).otherwise(""), F.lit(tail))).otherwise(said)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", jsonx.parse_responses(said).alias("p")).select("conv_id", "turn", "p.quality", "p.summary", F.size("p.findings").alias("n"))
 
 
-@query("""SELECT doc_id, CASE WHEN c >= 0.9 THEN 'error' WHEN c >= 0.7 THEN 'warning' ELSE 'note' END AS level, lang AS rule, source AS uri FROM (SELECT *, 0.5 + (doc_id % 6) * 0.1 AS c FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN c >= 0.9 THEN 'error' WHEN c >= 0.7 THEN 'warning' ELSE 'note' END AS level, lang AS rule, source AS uri, 'because ' || doc_id AS message, CAST(doc_id % 90 + 1 AS INT) AS start_line, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 90 + 3 AS INT) END AS end_line,
+    CASE WHEN doc_id % 2 = 0 THEN 'c' || doc_id END AS content_id, CASE WHEN doc_id % 2 = 0 THEN 'l' || doc_id END AS line_id, CASE WHEN doc_id % 4 = 0 THEN 'try ' || lang END AS suggestion, doc_id % 3 = 0 AS has_end, doc_id % 2 = 0 AS has_prints FROM (SELECT *, 0.5 + (doc_id % 6) * 0.1 AS c FROM documents)""")
 def sarif_export(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file"), F.col("lang").alias("category"), F.lit(1).alias("start_line"), F.lit(None).cast("int").alias("end_line"), (0.5 + F.col("doc_id") % 6 * 0.1).alias("confidence"), F.lit("e").alias("explanation"), F.lit(None).cast("string").alias("fp_id"), F.lit(None).cast("string").alias("line_id"), F.lit(None).cast("string").alias("suggestion"))
-    out = F.from_json(F.to_json(F.col("result")), "ruleId string, level string, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>")
-    return report.sarif_results(rows).select("doc_id", out.alias("r")).select("doc_id", "r.level", F.col("r.ruleId").alias("rule"), F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"].alias("uri"))
+    """Every field of a SARIF result, read again from its JSON; what is null is left out there."""
+    key = F.col("doc_id")
+    named = lambda p: F.concat(F.lit(p), key.cast("string"))
+    start = (key % 90 + 1).cast("int")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file"), F.col("lang").alias("category"), start.alias("start_line"), F.when(key % 3 == 0, start + 2).alias("end_line"), (0.5 + key % 6 * 0.1).alias("confidence"), named("because ").alias("explanation"), F.when(key % 2 == 0, named("c")).alias("fp_id"), F.when(key % 2 == 0, named("l")).alias("line_id"), F.when(key % 4 == 0, F.concat(F.lit("try "), "lang")).alias("suggestion"))
+    json = F.to_json(F.col("result"))
+    shape = "ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,endLine:int>>>>, fingerprints struct<contentId:string,lineId:string>, properties struct<suggestion:string>"
+    out = report.sarif_results(rows).select("doc_id", json.alias("json"), F.from_json(json, shape).alias("r"))
+    place = F.col("r.locations")[0]["physicalLocation"]
+    return out.select("doc_id", "r.level", F.col("r.ruleId").alias("rule"), place["artifactLocation"]["uri"].alias("uri"), F.col("r.message.text").alias("message"), place["region"]["startLine"].alias("start_line"), place["region"]["endLine"].alias("end_line"), F.col("r.fingerprints.contentId").alias("content_id"), F.col("r.fingerprints.lineId").alias("line_id"), F.col("r.properties.suggestion").alias("suggestion"), F.col("json").contains("endLine").alias("has_end"), F.col("json").contains("fingerprints").alias("has_prints"))
 
 
 @query("""WITH s AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n FROM events GROUP BY 1) SELECT event_type, v[least(CAST(ceil(n * 50 / 100.0) AS BIGINT) + 1, n)] AS p50, v[least(CAST(ceil(n * 95 / 100.0) AS BIGINT) + 1, n)] AS p95, v[least(CAST(ceil(n * 99 / 100.0) AS BIGINT) + 1, n)] AS p99 FROM s""")
@@ -508,7 +546,162 @@ def review_outcome(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", findings.outcome(reason, F.col("role") == "assistant", F.col("role") == "system").alias("outcome"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE length(text) > 0 AND right(text, 1) <> chr(10)) SELECT doc_id, sha256(string_agg(lpad(CAST(i AS VARCHAR), 4, ' ') || ' | ' || line, chr(10) ORDER BY i)) AS shown FROM l GROUP BY 1""")
+@query("""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM documents WHERE length(text) > 0), l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM t),
+    s AS (SELECT doc_id, string_agg(lpad(CAST(i AS VARCHAR), 4, ' ') || ' | ' || line, chr(10) ORDER BY i) AS shown FROM l GROUP BY 1) SELECT doc_id, sha256(coalesce(shown, '')) AS shown FROM documents LEFT JOIN s USING (doc_id)""")
 def numbered_lines(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where((F.length("text") > 0) & ~F.col("text").endswith("\n"))
-    return rows.select("doc_id", F.sha2(report.numbered_lines(F.col("text")), 256).alias("shown"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(report.numbered_lines(F.col("text")), 256).alias("shown"))
+
+
+#: A code base in which file i is part i, has document i as its text and vector i as that of its summary; every 50th file changed.
+FILES_SQL = f"""files AS (SELECT p_partkey AS id, 'src/p' || p_partkey AS path FROM part), changed AS (SELECT id FROM files WHERE id % {EVERY} = 0),
+    edges AS (SELECT l_suppkey AS file_id, p_partkey AS target_id FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+STRUCTURAL_SQL = """SELECT * FROM (SELECT target_id AS file_id, 'structural' AS method, 'direct_import' AS reason, CAST(1 AS DOUBLE) AS value FROM edges WHERE file_id IN (FROM changed)
+    UNION ALL SELECT file_id, 'structural', 'reverse_import', 0.8 FROM (SELECT DISTINCT target_id, file_id FROM edges) WHERE target_id IN (FROM changed)
+    UNION ALL SELECT other, 'structural', 'cochange', correlation FROM (SELECT file_a AS file, file_b AS other, correlation FROM pairs UNION ALL SELECT file_b, file_a, correlation FROM pairs) WHERE file IN (FROM changed)) WHERE file_id NOT IN (FROM changed)"""
+SEMANTIC_SQL = """SELECT id AS file_id, 'semantic' AS method, CAST(NULL AS VARCHAR) AS reason, greatest(1 - distance / 2, 0) AS value FROM hits JOIN embeddings ON vec_id = id WHERE label <> 9 AND id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0)"""
+CODE_SQL = """SELECT file_id, 'code_semantic' AS method, CAST(NULL AS VARCHAR) AS reason, 1 - min(distance) / 2 AS value FROM (SELECT query_id, id // 3 AS file_id, distance FROM hits) WHERE file_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) GROUP BY query_id, file_id HAVING min(distance) < 2"""
+KEYWORD_SQL = """SELECT doc_id AS file_id, 'keyword' AS method, CASE WHEN doc_id % 3 = 0 THEN 'references' ELSE 'defines' END AS reason, CAST(1 AS DOUBLE) AS value FROM k WHERE doc_id NOT IN (FROM changed)"""
+
+
+def code_base(spark, sf_dir) -> dict[str, DataFrame]:
+    """The tables of retrieval.retrieve()."""
+    imports, files = part_imports(spark, sf_dir)
+    src = lambda c: F.concat(F.lit("src/p"), F.col(c))
+    files = files.withColumn("path", src("path"))
+    tokens, names = doc_tokens(spark, sf_dir)
+    _, base = vectors(spark, sf_dir)
+    half = base.select("id", "label", F.transform("embedding", lambda x: x.cast("double") * 0.5).alias("embedding"))
+    asked = half.where(F.col("id") % EVERY == 0).select("id", "embedding")
+    return {
+        "files": files,
+        "changed": files.where(F.col("id") % EVERY == 0),
+        "imports": imports.withColumn("source_path", src("source_path")),
+        "pairs": part_pairs(spark, sf_dir),
+        "symbols": tokens.where("file_id % 3 <> 0"),
+        "refs": tokens.where("file_id % 3 = 0").withColumnRenamed("name", "symbol_name"),
+        "names": names,
+        "summaries": half.select("id", F.when(F.col("label") != 9, F.col("id")).alias("file_id"), "embedding"),
+        "chunks": half.select("id", F.floor(F.col("id") / 3).alias("file_id"), "embedding"),
+        "vectors": asked.withColumn("kind", F.lit("summary")).unionByName(asked.withColumn("kind", F.lit("code"))),
+    }
+
+
+@query(f"WITH {COCHANGE}, {FILES_SQL}, e AS ({STRUCTURAL_SQL}) SELECT file_id, reason, count(*) AS entries, round(sum(value), 6) AS value FROM e GROUP BY 1, 2")
+def retrieve_structural(spark, sf_dir):
+    t = code_base(spark, sf_dir)
+    found = retrieval.structural(t["changed"], t["files"], t["imports"], t["pairs"], 0.1)
+    return found.groupBy("file_id", "reason").agg(F.count("*").alias("entries"), F.round(F.sum("value"), 6).alias("value"))
+
+
+@query(f"WITH {hits_sql(20)}, e AS ({SEMANTIC_SQL}) SELECT file_id, method, round(value, 6) AS value FROM e")
+def retrieve_semantic(spark, sf_dir):
+    t = code_base(spark, sf_dir)
+    return retrieval.semantic(t["vectors"].where("kind = 'summary'"), t["summaries"]).select("file_id", "method", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {hits_sql(20)}, e AS ({CODE_SQL}) SELECT file_id, method, round(value, 6) AS value FROM e")
+def retrieve_code(spark, sf_dir):
+    t = code_base(spark, sf_dir)
+    return retrieval.code_semantic(t["vectors"].where("kind = 'code'"), t["chunks"]).select("file_id", "method", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {KEYWORDS}, {FILES_SQL}, e AS ({KEYWORD_SQL}) SELECT file_id, reason, count(*) AS entries FROM e GROUP BY 1, 2")
+def retrieve_keyword(spark, sf_dir):
+    t = code_base(spark, sf_dir)
+    return retrieval.keyword(t["changed"], t["symbols"], t["refs"], t["names"]).groupBy("file_id", "reason").agg(F.count("*").alias("entries"))
+
+
+@query(f"""WITH {COCHANGE}, {KEYWORDS}, {hits_sql(20)}, {FILES_SQL}, e AS ({STRUCTURAL_SQL} UNION ALL {SEMANTIC_SQL} UNION ALL {CODE_SQL} UNION ALL {KEYWORD_SQL})
+    SELECT file_id, path, round(sum(CASE method WHEN 'structural' THEN value WHEN 'semantic' THEN 0.7 * value WHEN 'code_semantic' THEN 0.4 * value ELSE 0.3 * value / 3 END), 6) AS score, count(*) AS entries FROM e JOIN files ON id = file_id GROUP BY 1, 2""")
+def retrieve_ranked(spark, sf_dir):
+    """All four kinds of evidence, fused and ranked."""
+    t = code_base(spark, sf_dir)
+    return retrieval.retrieve(**t, min_correlation=0.1).withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT p_partkey, 'f' || p_partkey % 7 AS path, p_partkey % 4 + 1 AS hunks FROM part UNION ALL SELECT p_partkey, 'q', CAST(1 AS BIGINT) FROM part""")
+def hunk_counts(spark, sf_dir):
+    """The hunk of a deleted file counts for the file before it."""
+    key = F.col("p_partkey")
+    diff = F.concat(F.lit("@@ before any file @@\n--- a/x\n+++ b/f"), (key % 7).cast("string"), F.lit("\n"), F.expr("repeat('@@ -1 +1 @@\n+x\n', int(p_partkey % 4))"), F.lit("--- a/gone\n+++ /dev/null\n@@ -1 +0,0 @@\n-y\n+++ q\n@@\n"))
+    return budget.hunk_counts(table(spark, sf_dir, "part").select("p_partkey", diff.alias("diff")), "p_partkey")
+
+
+BODIES = ("", "rate limit docs", "Upstream Request Timeout", "operation timed out", "capacity", "Server overloaded!", "provider capacity")
+
+
+@query(f"""WITH f AS (SELECT event_id, ([429, 503, 500, 408, 501])[1 + CAST(event_id % 5 AS INT)] AS status, lower(({list_sql(BODIES)})[1 + CAST(event_id % 7 AS INT)]) AS body FROM events)
+    SELECT event_id, CASE WHEN status = 429 THEN 'rate_limited' WHEN status IN (408, 502, 503, 504) OR {contains_sql('body', fixed.PRESSURE_PHRASES)} THEN 'provider_pressure' ELSE 'server_error' END AS kind FROM f""")
+def failure_kinds(spark, sf_dir):
+    nth = lambda v, n: F.element_at(F.array(*map(F.lit, v)), (F.col("event_id") % n + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", text.failure_kind(nth((429, 503, 500, 408, 501), 5), nth(BODIES, 7)).alias("kind"))
+
+
+@query("""WITH b AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ord, 6 + user_id % 5 AS size, CASE WHEN user_id % 4 = 0 THEN event_id % 2 ELSE event_id * 7 % (4 + user_id % 7) END AS errors FROM events),
+    e AS (SELECT user_id, ord, size, least(errors, size) AS errors, ord * (10 + user_id % 60) AS elapsed FROM b),
+    t AS (SELECT *, sum(errors) OVER w AS total, coalesce(last_value(CASE WHEN errors * 2 < size OR errors = 0 THEN ord END IGNORE NULLS) OVER w, 0) AS calm FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ord ROWS UNBOUNDED PRECEDING)),
+    r AS (SELECT *, CASE WHEN total > 0 AND elapsed >= 600 THEN 'time_budget' WHEN errors = 0 THEN NULL WHEN errors = size THEN 'full_batch' WHEN ord - calm >= 2 THEN 'repeated_partial_batches' WHEN total >= 10 THEN 'total_errors' END AS why FROM t),
+    f AS (SELECT user_id, min(ord) AS ended FROM r WHERE why IS NOT NULL GROUP BY 1) SELECT r.user_id, ord, CASE WHEN ord = ended THEN why WHEN ord > ended THEN 'over' END AS stop FROM r LEFT JOIN f USING (user_id)""")
+def pressure_replay(spark, sf_dir):
+    """A user's events as batches of one summarising run."""
+    ord_ = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    errors = F.when(F.col("user_id") % 4 == 0, F.col("event_id") % 2).otherwise(F.col("event_id") * 7 % (4 + F.col("user_id") % 7))
+    rows = table(spark, sf_dir, "events").select("user_id", ord_.alias("ord"), (6 + F.col("user_id") % 5).alias("size"), errors.alias("errors"))
+    rows = rows.withColumn("errors", F.least("errors", "size")).withColumn("elapsed", F.col("ord") * (10 + F.col("user_id") % 60))
+    return budget.pressure_replay(rows, "user_id").select("user_id", "ord", "stop")
+
+
+TIERS = f"CASE WHEN forced THEN {len(fixed.EXCLUDED_TEXT.encode()) // 3} WHEN whole <= room THEN whole WHEN brief IS NOT NULL AND brief <= room THEN brief ELSE {len(fixed.DIFF_ONLY_TEXT.encode()) // 3} END"
+
+
+@query(f"""WITH RECURSIVE i AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id % 5 DESC, doc_id) AS n, doc_id % 11 = 0 OR strlen(text) > 50000 AS forced, CASE WHEN doc_id % 2 = 0 THEN strlen(left(text, 90)) // 3 END AS brief,
+      strlen(text) // 3 + coalesce(CASE WHEN doc_id % 2 = 0 THEN strlen(left(text, 90)) // 3 END, 0) AS whole FROM documents),
+    f AS (SELECT i.*, CAST(6000 AS BIGINT) AS room FROM i WHERE n = 1 UNION ALL SELECT i.*, greatest(f.room - {TIERS.replace('forced', 'f.forced').replace('whole', 'f.whole').replace('brief', 'f.brief').replace('room', 'f.room')}, 0) FROM f JOIN i ON i.source = f.source AND i.n = f.n + 1)
+    SELECT source, doc_id, CASE WHEN forced THEN 'diff_only' WHEN whole <= room THEN 'full' WHEN brief IS NOT NULL AND brief <= room THEN 'summary_only' ELSE 'diff_only' END AS tier, CAST({TIERS} AS BIGINT) AS cost,
+      CASE WHEN forced OR whole <= room THEN NULL WHEN brief IS NOT NULL AND brief <= room THEN 'content_degraded_to_summary' ELSE 'content_degraded_to_diff_only' END AS omission FROM f""")
+def context_tiers(spark, sf_dir):
+    """A source is a change of which its documents are the changed files, the even ones with a summary."""
+    key = F.col("doc_id")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc(key % 5), "doc_id"))
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.when(key % 11 == 0, "go.sum").otherwise("a.rs").alias("path"), F.col("text").alias("content"), F.when(key % 2 == 0, F.substring("text", 1, 90)).alias("summary"), rank.alias("rank"))
+    return budget.context_tiers(rows, 6000, "source").select("source", "doc_id", "tier", "cost", "omission")
+
+
+@query("""SELECT doc_id, CASE WHEN strlen(text) > 50 THEN left(text, CAST((SELECT min(n) FROM range(1, 52) r(n) WHERE strlen(left(text, CAST(n AS INT))) > 50) AS INT)) ELSE text END AS cut FROM documents""")
+def cut_bytes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.truncate_bytes(F.col("text"), 50).alias("cut"))
+
+
+def order_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Orders as files and their lines as symbols."""
+    files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("path"), "o_custkey")
+    symbols = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("id"), F.col("l_orderkey").alias("file_id"), F.col("l_returnflag").alias("kind"), F.col("l_linenumber").alias("start_line"), F.col("l_partkey").cast("string").alias("name"))
+    return files, symbols
+
+
+@query("""SELECT l_orderkey AS file_id, 'o' || l_orderkey AS path, l_returnflag AS kind, l_linenumber AS start_line, CAST(l_partkey AS VARCHAR) AS name FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 20 = 0""")
+def symbols_in_files(spark, sf_dir):
+    files, symbols = order_graph(spark, sf_dir)
+    return store.symbols_in_files(symbols, files, files.where("o_custkey % 20 = 0")).select("file_id", "path", "kind", "start_line", "name")
+
+
+@query("""WITH s AS (SELECT DISTINCT l_partkey * 100000 + l_suppkey AS id, l_orderkey AS file_id, CAST(l_partkey AS VARCHAR) AS name, l_linenumber AS line FROM lineitem WHERE l_orderkey % 30 = 0)
+    SELECT ps.id, file_id, name, 'symbol' AS level, p_name AS summary FROM s JOIN (SELECT p_partkey * 100000 + s_suppkey AS id, p_name FROM part, supplier WHERE s_suppkey % 10 = 0) ps ON ps.id = s.id""")
+def symbol_summaries(spark, sf_dir):
+    files, symbols = order_graph(spark, sf_dir)
+    held = table(spark, sf_dir, "lineitem").where("l_suppkey % 10 = 0").select("l_partkey", "l_suppkey").distinct().join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    summaries_ = held.select((F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("id"), (F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("symbol_id"), F.lit("symbol").alias("level"), F.col("p_name").alias("summary"))
+    return store.symbol_summaries(summaries_, symbols.distinct(), files.where("id % 30 = 0").select(F.col("id").alias("file_id")))
+
+
+@query("SELECT 'o' || o_orderkey AS path, o_orderkey AS id FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
+def file_ids(spark, sf_dir):
+    files, _ = order_graph(spark, sf_dir)
+    wanted = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("path"))
+    return store.file_ids(files, wanted)
+
+
+@query(f"WITH {chunks_sql(5, 3)}, h AS (SELECT doc_id, start_line, sha256(content) AS content_hash FROM c) SELECT content_hash, doc_id * 1000 + start_line AS id FROM h WHERE content_hash IN (SELECT content_hash FROM h WHERE doc_id % 10 = 0)")
+def chunks_by_hash(spark, sf_dir):
+    held = chunks.line_chunks(doc_files(spark, sf_dir), 5, 2).select("doc_id", "content_hash", (F.col("doc_id") * 1000 + F.col("start_line")).alias("id"))
+    return store.chunks_by_hash(held, held.where("doc_id % 10 = 0"))

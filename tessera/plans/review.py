@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import fixed
-from tessera.functions import jsonx
-from tessera.operators import budget, evaluate, findings, report
+from tessera.functions import jsonx, text
+from tessera.operators import budget, evaluate, findings, report, retrieval
 from tessera.sources.connectors import ChatModel, CodeHost, ProviderError, complete_column
+from tessera.sources.store import Store
 
 REPAIR = 'Turn the review below into one JSON object {"summary": ..., "findings": [...]} and add nothing that it does not say.'
 FINDING = "ord long, file string, start_line int, end_line int, category string, confidence double, evidence string, explanation string, impact string, suggestion string"
@@ -28,26 +29,41 @@ def as_findings(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([(i, *(r[c] for c in ("file", "start_line", "end_line", "category", "confidence", "evidence", "explanation", "impact", "suggestion"))) for i, r in enumerate(rows)], FINDING)
 
 
-def ask(model: ChatModel, system: str, render, package: budget.Package, diff: str, prompt_budget: int) -> tuple[str, bool]:
-    """The model's answer; under pressure the prompt shrinks step by step. Second value: whether something was trimmed."""
-    prompt, package, shown = budget.trim_to_prompt(package, diff, render, prompt_budget)
-    trimmed, last = shown != diff, None
-    for target in [None, *budget.fallback_targets(budget.tokens_of(prompt))]:
-        if target is not None:
-            prompt, package, shown = budget.trim_to_prompt(package, shown, render, target)
-            trimmed = True
+def ask(model: ChatModel, system: str, render, package: budget.Package, diff: str, prompt_budget: int, reserve: int = fixed.RESERVE_TOKENS) -> tuple[str, bool, list[str]]:
+    """The model's answer, whether something was trimmed, and notes for the reader.
+
+    Under pressure prompt and answer shrink step by step; a step that makes neither smaller is passed over. Only these
+    steps may cut the diff.
+    """
+    shown = budget.trim_to_prompt(package, diff, render, prompt_budget, False, system)
+    first, output = shown.tokens, budget.output_tokens(prompt_budget, reserve)
+    trimmed = bool(shown.related_removed or shown.degraded)
+    try:
+        return model.complete(system, shown.user, output), trimmed, []
+    except ProviderError as e:
+        if not e.reducible:
+            raise
+        last = e
+    for target in budget.fallback_targets(first):
+        before, smaller = shown.tokens, budget.fallback_output_tokens(target, reserve)
+        shown = budget.trim_to_prompt(package, shown.diff, render, target, True, system)
+        if not budget.reduces_request(before, output, shown.tokens, smaller):
+            continue
         try:
-            return model.complete(system, prompt, budget.output_tokens(target or prompt_budget)), trimmed
+            answer = model.complete(system, shown.user, smaller)
         except ProviderError as e:
             if not e.reducible:
                 raise
-            last = e
+            last, output = e, smaller
+            continue
+        note = f"The context was reduced from {first} to {shown.tokens} tokens after provider pressure."
+        return answer, True, [note + " The diff was cut to fit." if shown.diff_truncated else note]
     raise last
 
 
 def review(spark: SparkSession, model: ChatModel, diff: str, package: budget.Package, contents: DataFrame, prompt_budget: int = fixed.MAX_TOKENS - fixed.RESERVE_TOKENS, conventions: str | None = None) -> Review:
     """Ask, parse, repair once if nothing usable came, then filter, verify, threshold and fingerprint, in this order."""
-    answer, trimmed = ask(model, report.system_prompt(conventions), report.user_prompt, package, diff, prompt_budget)
+    answer, trimmed, notes = ask(model, report.system_prompt(conventions), report.user_prompt, package, diff, prompt_budget)
     parsed = jsonx.parse_response(answer)
     repaired = repaired_text = None
     if not parsed["findings"] and (parsed["quality"] in ("malformed", "salvaged") or any(p in answer.lower() for p in fixed.REASONING_PHRASES)):
@@ -58,7 +74,39 @@ def review(spark: SparkSession, model: ChatModel, diff: str, package: budget.Pac
     reason = one.select(findings.empty_review_reason(F.col("has"), F.col("summary"), F.col("quality"), F.col("response"), F.col("rs"), F.col("rq"), F.col("rr")).alias("r")).first()["r"]
     kept = findings.fingerprints(findings.threshold(findings.verify(findings.apply_filters(as_findings(spark, final["findings"])), contents)))
     outcome = "inconclusive" if reason else "findings" if not kept.isEmpty() else "limited_clean" if trimmed or package.omitted else "clean"
-    return Review(kept, outcome, reason)
+    return Review(kept, outcome, reason, notes)
+
+
+def changed_and_related(changed: DataFrame, related: DataFrame) -> DataFrame:
+    """(path, ord): changed paths (path, ord), then the related ones (path, score) that are not among them, best first."""
+    both = changed.select("path", F.lit(0).alias("side"), F.struct(F.col("ord").cast("double").alias("k"), "path").alias("by"))
+    both = both.unionByName(related.select("path", F.lit(1).alias("side"), F.struct((-F.col("score")).alias("k"), "path").alias("by")))
+    first = both.groupBy("path").agg(F.min(F.struct("side", "by")).alias("at"))
+    return first.select("path", F.row_number().over(Window.orderBy("at")).alias("ord"))  # one change's paths
+
+
+def review_change(spark: SparkSession, model: ChatModel, store: Store, diff: str, contents: DataFrame, max_files: int = fixed.MAX_FILES, max_tokens: int = fixed.MAX_TOKENS, reserve: int = fixed.RESERVE_TOKENS, conventions: str | None = None) -> Review:
+    """A review that starts from a diff, the stored graph and the files' texts (path, content): related files are retrieved,
+    packed into the budget and shown with the change."""
+    one = spark.createDataFrame([(diff,)], "diff string")
+    paths = one.select(F.posexplode(text.changed_paths(F.col("diff"))).alias("ord", "path"))
+    names = one.select(F.explode(text.diff_identifiers(F.col("diff"))).alias("name"))
+    files = store.read("files")
+    changed = files.join(paths, "path").select("id", "path")
+    pairs = store.read("cochange").select(F.col("file_id_a").alias("file_a"), F.col("file_id_b").alias("file_b"), "correlation", "commit_count")
+    ranked = retrieval.retrieve(changed, files, store.read("imports"), pairs, store.read("symbols"), store.read("refs"), names)
+    ranked = ranked.join(paths, "path", "left_anti").orderBy(F.desc("score"), "path")
+    wanted = changed_and_related(paths, ranked.limit(2 * max_files))
+    summaries = files.join(store.read("summaries").where("level = 'file'").select(F.col("file_id").alias("id"), "summary"), "id").select("path", "summary")
+    held = {r["path"]: r for r in contents.join(wanted, "path").join(summaries, "path", "left").select("path", "content", "summary").collect()}  # bounded by max_files
+
+    def row(path: str, **more) -> dict:
+        r = held.get(path)
+        return {"path": path, "content": r["content"] if r else None, "summary": r["summary"] if r else None} | more
+
+    related = [row(r["path"], score=r["score"]) for r in ranked.limit(2 * max_files).collect()]
+    package = budget.build_context(diff, [row(r["path"]) for r in paths.orderBy("ord").collect()], related, max_tokens, reserve, max_files)
+    return review(spark, model, diff, package, contents, max_tokens - reserve, conventions)
 
 
 def publish(host: CodeHost, result: Review, changed: list[str], counts: dict[str, int]) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import subprocess
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -16,13 +17,15 @@ from tessera import fixed
 
 
 class ProviderError(Exception):
-    """A failed call: status 0 for none. `reducible` errors may pass with a smaller request."""
+    """A failed call: status 0 for none. `reducible` errors may pass with a smaller request, `passing` ones later."""
 
     def __init__(self, status: int, body: str):
         super().__init__(f"{status}: {body[:500]}")
         self.status, self.body = status, body
         self.rate_limited = status == 429
-        self.reducible = status in fixed.PRESSURE_STATUSES
+        self.pressure = not self.rate_limited and (status in fixed.PRESSURE_STATUSES or any(p in body.lower() for p in fixed.PRESSURE_PHRASES))
+        self.reducible = self.rate_limited or self.pressure
+        self.passing = self.reducible or not status or status >= 500
 
 
 class ChatModel(Protocol):
@@ -67,8 +70,7 @@ def with_retries(call: Callable[[], str], retries: int, sleep: Callable[[float],
         try:
             return call()
         except ProviderError as e:
-            passing = e.rate_limited or e.reducible or not e.status
-            if not passing or attempt == retries or surface(e):
+            if not e.passing or attempt == retries or surface(e):
                 raise
             sleep(2.0**attempt)
     raise AssertionError
@@ -166,5 +168,25 @@ def detect_platform(explicit: str | None, configured: str | None, env: dict[str,
     return "gitlab" if env.get("GITLAB_CI") else "github"
 
 
+def git_state(repo: str) -> tuple[str, str]:
+    """Branch and commit of a checkout, `unknown` where git can't say."""
+
+    def ask(*args: str) -> str:
+        try:
+            done = subprocess.run(["git", "-C", repo, "rev-parse", *args], capture_output=True, text=True)
+        except OSError:
+            return "unknown"
+        return done.stdout.strip() or "unknown" if done.returncode == 0 else "unknown"
+
+    return ask("--abbrev-ref", "HEAD"), ask("HEAD")
+
+
+def local_change(path: str) -> tuple[str, list[str]]:
+    """A change from a diff file: its text and the paths that it changes; it has no other metadata."""
+    with open(path, encoding="utf-8") as f:
+        diff = f.read()
+    return diff, MemoryHost(diff).fetch_changed_paths()
+
+
 def detect_runner(env: dict[str, str]) -> str:
     return "github-actions" if env.get("GITHUB_ACTIONS") else "gitlab-ci" if env.get("GITLAB_CI") else "ci" if env.get("CI") else "local"

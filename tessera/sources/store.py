@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-VERSION = 1
+VERSION = 2
 TABLES = {
     "files": "id long, path string, hash string, language string, indexed_at timestamp",
     "symbols": "id long, file_id long, name string, kind string, start_line int, end_line int, signature string",
@@ -23,23 +23,36 @@ TABLES = {
 }
 
 
+#: The column that rows of a table are dealt to buckets by, and how many buckets a table has.
+BUCKET_BY = {"files": "id", "symbols": "file_id", "imports": "file_id", "refs": "file_id", "cochange": "file_id_a", "code_chunks": "file_id"}
+BUCKETS = 16
+#: Parts that a bucket may have before an append writes the table anew.
+MOST_PARTS = 8
+
+
 def key_id(*columns: str) -> F.Column:
     """A stable id from natural keys."""
     return F.xxhash64(*columns)
 
 
 class Store:
-    """A folder of versioned tables: each write makes a new version and then moves the pointer, so readers see whole ones.
+    """A folder of versioned tables in buckets: each write makes new parts and then moves the pointer, so readers see whole ones.
 
-    A folder of another layout version is emptied.
+    Only the buckets that a change touches are written, an append writes its rows alone, and what a write replaces is
+    kept until the next but one, for readers of lazy frames. A store of another layout version is emptied; a folder that
+    holds anything else is refused. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         state = self._state()
-        if state.get("version") != VERSION:
-            self._path(self.root, delete=True)
-            self._save({"version": VERSION, "tables": {}})
+        if not state:
+            fs, p = self._path(self.root)
+            if fs.exists(p) and len(fs.listStatus(p)):
+                raise ValueError(f"{self.root} holds something that is no store")
+            self._save({"version": VERSION, "next": 1, "tables": {}, "before": {}})
+        elif state.get("version") != VERSION:
+            self.reset()
 
     def _path(self, path: str, delete: bool = False):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -60,34 +73,117 @@ class Store:
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
 
-    def read(self, name: str) -> DataFrame:
-        at = self._state()["tables"].get(name)
-        return self.spark.createDataFrame([], TABLES[name]) if at is None else self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/v{at}")
+    def _bucket(self, name: str) -> F.Column:
+        return F.pmod(F.xxhash64(BUCKET_BY.get(name, "id")), F.lit(BUCKETS)).cast("int")
 
-    def write(self, name: str, rows: DataFrame) -> None:
+    def _read(self, name: str, buckets: list[str] | None = None) -> DataFrame:
+        parts = self._state()["tables"].get(name, {})
+        paths = [f"{self.root}/{name}/v{v}/bucket={b}" for b, versions in parts.items() if buckets is None or b in buckets for v in versions]
+        return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
+
+    def _write(self, name: str, rows: DataFrame, replaced: list[str] | None) -> None:
+        """New parts of rows; the parts of the replaced buckets (None: of none) are no longer read."""
         state = self._state()
-        old = state["tables"].get(name)
-        new = (old or 0) + 1
+        version = state["next"]
         columns = [c.strip().split(" ")[0] for c in TABLES[name].split(",")]
-        rows.select(columns).write.mode("overwrite").parquet(f"{self.root}/{name}/v{new}")
-        state["tables"][name] = new
-        self._save(state)
-        if old is not None:
-            self._path(f"{self.root}/{name}/v{old}", delete=True)
+        at = f"{self.root}/{name}/v{version}"
+        rows.select(*columns, self._bucket(name).alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(at)
+        fs, p = self._path(at)
+        made = [f.getPath().getName().removeprefix("bucket=") for f in fs.listStatus(p) if f.isDirectory()]
+        parts = {b: v for b, v in state["tables"].get(name, {}).items() if b not in (replaced or ())}
+        for b in made:
+            parts[b] = [*parts.get(b, []), version]
+
+        def held(tables: dict) -> set[str]:
+            return {f"{self.root}/{t}/v{v}/bucket={b}" for t, own in tables.items() for b, versions in own.items() for v in versions}
+
+        now = {**state["tables"], name: parts}
+        self._save({**state, "next": version + 1, "tables": now, "before": state["tables"]})
+        for path in held(state["before"]) - held(now) - held(state["tables"]):
+            self._path(path, delete=True)
+
+    def _touched(self, name: str, rows: DataFrame, exact: bool) -> list[str]:
+        """Buckets that rows of these keys can be in; all, if the keys do not tell."""
+        if not exact:
+            return list(map(str, range(BUCKETS)))
+        return [str(r["b"]) for r in rows.select(self._bucket(name).alias("b")).distinct().collect()]  # BUCKETS at most
+
+    def read(self, name: str) -> DataFrame:
+        return self._read(name)
+
+    def find(self, name: str, **keys) -> dict | None:
+        """One row with these values, or None."""
+        rows = self.read(name)
+        for k, v in keys.items():
+            rows = rows.where(F.col(k) == F.lit(v))
+        row = rows.first()
+        return row.asDict() if row else None
+
+    def write(self, name: str, rows: DataFrame) -> None:
+        self._write(name, rows, list(map(str, range(BUCKETS))))
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(rows))
+        self._write(name, rows, None)
+        if max(map(len, self._state()["tables"][name].values()), default=0) > MOST_PARTS:
+            self.write(name, self.read(name))
 
-    def upsert(self, name: str, rows: DataFrame, *keys: str) -> None:
-        self.write(name, merge(self.read(name), rows, *keys))
+    def upsert(self, name: str, rows: DataFrame, *keys: str, order: str | None = None) -> None:
+        """Rows go before stored ones of the same keys; of rows that repeat a key the last by `order` counts, if given.
+        The keys decide the bucket (for files, as their id comes from the path)."""
+        rows = last_of(rows, order, *keys) if order else rows
+        touched = self._touched(name, rows, name == "files" or BUCKET_BY.get(name, "id") in keys)
+        self._write(name, merge(self._read(name, touched), rows.select(self.read(name).columns), *keys), touched)
 
     def delete(self, name: str, keys: DataFrame) -> None:
         """Removes the rows that share the key columns of `keys`."""
-        self.write(name, self.read(name).join(keys, keys.columns, "left_anti"))
+        touched = self._touched(name, keys, BUCKET_BY.get(name, "id") in keys.columns)
+        self._write(name, self._read(name, touched).join(keys, keys.columns, "left_anti"), touched)
+
+    def delete_chunks(self, files: DataFrame) -> None:
+        """Removes the chunks of files (file_id), their vectors first."""
+        files = files.select("file_id")
+        self.delete("code_embeddings", self.read("code_chunks").join(files, "file_id", "left_semi").select("id"))
+        self.delete("code_chunks", files)
+
+    def delete_summaries(self, files: DataFrame) -> None:
+        """Removes the summaries of files (file_id) and of their symbols, the vectors first."""
+        files = files.select("file_id")
+        symbols = self.read("symbols").join(files, "file_id", "left_semi").select(F.col("id").alias("symbol_id"))
+        held = self.read("summaries")
+        ids = held.join(files, "file_id", "left_semi").select("id").union(held.join(symbols, "symbol_id", "left_semi").select("id")).distinct()
+        self.delete("summary_embeddings", ids)
+        self.delete("summaries", ids)
 
     def reset(self) -> None:
         self._path(self.root, delete=True)
-        self._save({"version": VERSION, "tables": {}})
+        self._save({"version": VERSION, "next": 1, "tables": {}, "before": {}})
+
+
+def symbols_in_files(symbols: DataFrame, files: DataFrame, paths: DataFrame) -> DataFrame:
+    """Symbols of the files at the paths (path), with the path, by kind, file and line."""
+    held = files.join(paths.select("path"), "path", "left_semi").select(F.col("id").alias("file_id"), "path")
+    return symbols.join(held, "file_id").orderBy("kind", "file_id", "start_line")
+
+
+def symbol_summaries(summaries: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, file_id, name, level, summary) of the summarised symbols of files (file_id), by line."""
+    own = symbols.join(files.select("file_id"), "file_id", "left_semi").select(F.col("id").alias("symbol_id"), "file_id", "name", "start_line")
+    return summaries.select("id", "symbol_id", "level", "summary").join(own, "symbol_id").orderBy("file_id", "start_line").select("id", "file_id", "name", "level", "summary")
+
+
+def file_ids(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, id) of the stored files among the paths."""
+    return files.join(paths.select("path"), "path", "left_semi").select("path", "id")
+
+
+def chunks_of_files(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """Chunks of files (file_id) by line."""
+    return chunks.join(files.select("file_id"), "file_id", "left_semi").orderBy("file_id", "start_line")
+
+
+def chunks_by_hash(chunks: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(content_hash, id) of the chunks with one of the hashes."""
+    return chunks.join(hashes.select("content_hash"), "content_hash", "left_semi").select("content_hash", "id")
 
 
 def merge(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
@@ -112,11 +208,11 @@ def cascade_delete(parents: DataFrame, children: DataFrame, keys: DataFrame, par
 
 
 def build_graph(store: Store, extracted: DataFrame, hashes: DataFrame) -> dict[str, int]:
-    """Replaces the rows of files whose hash changed, with all that hangs on them; the others are not touched."""
+    """Replaces the rows of files whose hash changed, with all that hangs on them; the others are not touched. Gives counters."""
     files = hashes.join(extracted.select("path", "language").distinct(), "path").select(key_id("path").alias("id"), "path", "hash", "language", F.current_timestamp().alias("indexed_at"))
     total = files.count()
     changed = changed_files(store.read("files"), files).persist()  # read by every table below
-    n = changed.count()
+    n, counts = changed.count(), {"symbols": 0, "imports": 0, "refs": 0}
     if n:
         ids = changed.select("path", F.col("id").alias("file_id"))
         rows = extracted.join(ids, "path")
@@ -127,6 +223,9 @@ def build_graph(store: Store, extracted: DataFrame, hashes: DataFrame) -> dict[s
             "refs": rows.where("kind = 'reference'").select("file_id", F.col("name").alias("symbol_name"), "line"),
         }
         for name, new in fresh.items():
-            store.write(name, store.read(name).join(gone, "file_id", "left_anti").unionByName(new))
+            store.delete(name, gone)
+            store.append(name, new)
+            counts[name] = new.count()
         store.upsert("files", changed, "path")
-    return {"files": total, "changed": n, "unchanged": total - n}
+    changed.unpersist()
+    return {"files": total, "changed": n, "unchanged": total - n, **counts}

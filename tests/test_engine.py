@@ -1,8 +1,11 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from tessera import fixed
+from tessera.functions import text
 from tessera.operators import budget, chunks, evaluate, feedback, findings, graph, report, retrieval, summaries, vector
 from tessera.sources import connectors, extract, files, store
 
@@ -105,6 +108,15 @@ def test_greedy_matching(spark):
         assert got[f"x{n}"] == (len(own), len(acts), len(taken), len(acts) - len(taken), len(own) - len(taken))
 
 
+def test_guidance_bounds(spark):
+    """A trend of just the threshold says nothing."""
+    schema = "ord long, precision double, recall double, noise_rate double, per_fixture array<struct<name:string,fp:long,fn_count:long>>"
+    at = evaluate.guidance(spark.createDataFrame([(0, 0.1, 0.0, 0.0, []), (1, 0.0, fixed.TREND_GAIN, fixed.TREND_NOISE, [])], schema)).first()
+    assert at.advice == ""
+    over = evaluate.guidance(spark.createDataFrame([(0, 0.2, 0.0, 0.0, []), (1, 0.0, 0.06, 0.11, [])], schema)).first()
+    assert len(over.advice.split("\n")) == 3
+
+
 def test_empty_metrics(spark):
     none = spark.createDataFrame([], "fixture string, expected long, actual long, tp long, fp long, fn long")
     r = evaluate.gates(evaluate.aggregate(none)).first()
@@ -134,9 +146,55 @@ def test_context_and_trimming():
     big = "x" * 3000
     p = budget.build_context("d", [{"path": "a.rs", "content": big, "summary": "s", "hunks": 1}, {"path": "yarn.lock", "content": "x", "hunks": 2}], [{"path": "r1", "content": big}, {"path": "r2", "content": "abc"}], max_tokens=1500, reserve=100)
     assert [(f["path"], f["tier"]) for f in p.files] == [("yarn.lock", "diff_only"), ("a.rs", "full"), ("r2", "full")]
-    prompt, p, _ = budget.trim_to_prompt(p, "line one\nline two", report.user_prompt, 300)
-    assert budget.tokens_of(prompt) <= 300 and [f["tier"] for f in p.files] == ["diff_only", "diff_only"]
-    assert budget.pressure_stop([(5, 3, 1), (5, 3, 2)]) == "consecutive_batches" and budget.pressure_stop([(5, 1, 1)]) is None
+    shown = budget.trim_to_prompt(p, "line one\nline two", report.user_prompt, 300)
+    assert shown.tokens == budget.tokens_of(shown.user) <= 300 and (shown.related_removed, shown.degraded) == (1, 1)
+    assert [f["tier"] for f in p.files] == ["diff_only", "diff_only"]
+
+
+def test_context_costs():
+    body, brief = "x" * 300, "s" * 30
+    made = lambda room, **f: budget.build_context("", [{"path": "a.rs", "content": body} | f], [], room, 0)
+    assert made(110, summary=brief).files[0]["tier"] == "full" and made(109, summary=brief).files[0]["tier"] == "summary_only"
+    least = made(109, summary=brief)
+    assert least.report["remaining"] == 99 and least.omitted == [{"path": "a.rs", "reason": "content_degraded_to_summary"}]
+    none = made(9, summary=brief)
+    assert none.files[0]["content"] == fixed.DIFF_ONLY_TEXT and none.report["changed_tokens"] == 12 and none.report["remaining"] == 0
+    lock = budget.build_context("", [{"path": "yarn.lock", "content": "x"}, {"path": "b.rs", "content": None}], [{"path": "r", "content": None}], 1000, 0)
+    assert [(f["tier"], f["content"]) for f in lock.files] == [("diff_only", fixed.EXCLUDED_TEXT), ("full", "")] and lock.omitted == []
+    ranked = budget.build_context("+++ b/p\n@@\n+++ /dev/null\n@@\n+++ q\n@@ -1 +1 @@\n", [{"path": "q", "content": "1"}, {"path": "p", "content": "2"}], [], 1000, 0)
+    assert [f["path"] for f in ranked.files] == ["p", "q"]
+
+
+def test_prompt_limits():
+    assert [budget.output_tokens(t) for t in (96_000, 16_000, 8_000)] == [32_000, 16_000, 8_000] and budget.output_tokens(8_000, 0) == 1
+    assert [budget.fallback_output_tokens(t) for t in (64_000, 32_000, 16_000, 8_000, 4_000)] == [16_000, 8_000, 4_000, 2_000, 1_024]
+    assert budget.reduces_request(10, 5, 10, 4) and budget.reduces_request(10, 5, 9, 5) and not budget.reduces_request(10, 5, 10, 5)
+    assert budget.fallback_targets(50_000) == [48_000, 32_000, 16_000, 8_000, 4_000]
+    diff = "head\n" + "+let value = 1;\n" * 2000
+    for room in (40, 500, 2000):
+        cut = budget.truncate_diff(diff, room)
+        assert budget.tokens_of(cut) <= room and cut.endswith(fixed.DIFF_NOTICE) and cut.startswith("head\n")
+    assert budget.truncate_diff("short", 100) is None and budget.truncate_diff("x" * 999, 5).startswith("x" * 999)
+    kept = budget.trim_to_prompt(budget.Package(), diff, lambda d, p: d, 1000)
+    assert not kept.diff_truncated and kept.tokens > 1000
+    assert budget.trim_to_prompt(budget.Package(), diff, lambda d, p: d, 1000, True, "s" * 300).tokens <= 1000
+
+
+def test_pressure():
+    assert budget.pressure_stop([(3, 3, 1)]) == "full_batch" and budget.pressure_stop([(5, 1, 1)]) is None
+    assert budget.pressure_stop([(5, 3, 1), (5, 3, 2)]) == "repeated_partial_batches"
+    assert budget.pressure_stop([(5, 3, 1), (5, 0, 2), (5, 3, 3)]) is None and budget.pressure_stop([(5, 3, 1), (5, 1, 2), (5, 3, 3)]) is None
+    assert budget.pressure_stop([(9, 1, i) for i in range(10)]) == "total_errors"
+    assert budget.pressure_stop([(9, 1, 650)]) == "time_budget" and budget.pressure_stop([(9, 0, 900)]) is None
+    assert budget.pressure_stop([(9, 1, 5), (0, 0, 600)]) == "time_budget"
+
+
+def test_failures(spark):
+    rows = [(429, "x", "rate_limited"), (503, "", "provider_pressure"), (500, "rate limit docs", "server_error"), (500, "Upstream Request Timeout", "provider_pressure"), (500, None, "server_error"), (408, None, "provider_pressure")]
+    got = spark.createDataFrame(rows, "status int, body string, want string")
+    assert got.select(text.failure_kind(F.col("status"), F.col("body")).alias("k"), "want").where("k <> want").count() == 0
+    assert connectors.ProviderError(500, "server overloaded").reducible and not connectors.ProviderError(500, "rate limit docs").reducible
+    assert connectors.ProviderError(429, "").reducible and connectors.ProviderError(500, "").passing and not connectors.ProviderError(400, "").passing
 
 
 def test_chunk_refresh(spark):
@@ -174,6 +232,43 @@ def test_extract_and_store(spark, tmp_path):
     assert store.build_graph(s, rows, extract.file_hashes(rows))["changed"] == 0
 
 
+def test_store_keeps_to_itself(spark, tmp_path):
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "mine.txt").write_text("x")
+    with pytest.raises(ValueError):
+        store.Store(spark, str(other))
+    assert (other / "mine.txt").exists()
+    s = store.Store(spark, str(tmp_path / "s"))
+    chunk = "id long, file_id long, start_line int, end_line int, content string, content_hash string"
+    s.append("code_chunks", spark.createDataFrame([(i, i // 2, 1, 2, "c", str(i)) for i in range(8)], chunk))
+    s.append("code_embeddings", spark.createDataFrame([(i, [float(i)]) for i in range(8)], "id long, embedding array<float>"))
+    before = s.read("code_chunks")
+    s.append("code_chunks", spark.createDataFrame([(9, 9, 1, 2, "c", "9")], chunk))
+    s.delete_chunks(spark.createDataFrame([(1,), (9,)], "file_id long"))
+    assert sorted(r.id for r in s.read("code_chunks").collect()) == [0, 1, 4, 5, 6, 7] == sorted(r.id for r in s.read("code_embeddings").collect())
+    assert before.count() == 8  # a reader of what was replaced
+    for i in range(store.MOST_PARTS + 2):
+        s.append("code_chunks", spark.createDataFrame([(100 + i, 50, 1, 2, "c", "z")], chunk))
+    assert s.read("code_chunks").count() == 6 + store.MOST_PARTS + 2 and s.find("code_chunks", id=101)["file_id"] == 50 and s.find("code_chunks", id=-1) is None
+    pair = "file_id_a long, file_id_b long, correlation double, commit_count long, n long"
+    s.upsert("cochange", spark.createDataFrame([(1, 2, 0.1, 1, 1), (1, 2, 0.2, 2, 2)], pair), "file_id_a", "file_id_b", order="n")
+    s.upsert("cochange", spark.createDataFrame([(1, 3, 0.5, 1, 1)], pair), "file_id_a", "file_id_b")
+    assert sorted((r.file_id_b, r.correlation) for r in s.read("cochange").collect()) == [(2, 0.2), (3, 0.5)]
+    signals = spark.createDataFrame([(1, "dismissed", "f", "x", "y", "logic")], "id long, signal_type string, file string, explanation string, impact string, category string")
+    assert feedback.collect_signals(s, "t", signals, vector.HashingEmbedder(4)) == 1
+    assert s.read("feedback_signals").first().finding_text == "f: x — y" and len(s.read("feedback_embeddings").first().embedding) == 4
+
+
+def test_sinks_and_local_changes(spark, tmp_path):
+    rows = found(spark, ("f", 1, None, "logic", 0.95, "e", "x", "i", None)).withColumn("fp_id", F.lit("aa")).withColumn("line_id", F.lit("bb"))
+    assert report.write_findings(rows, str(tmp_path / "s")) and '"ruleId":"logic"' in spark.read.text(str(tmp_path / "s")).first().value
+    assert report.write_findings(rows, str(tmp_path / "j"), "json") and not report.write_findings(rows.limit(0), str(tmp_path / "n"))
+    (tmp_path / "d.patch").write_text("+++ b/z\n+++ b/a\n")
+    assert connectors.local_change(str(tmp_path / "d.patch")) == ("+++ b/z\n+++ b/a\n", ["a", "z"])
+    assert connectors.git_state(str(tmp_path / "none")) == ("unknown", "unknown")
+
+
 def test_summaries(spark):
     plan = summaries.batch_plan(spark.createDataFrame([(i, 1) for i in range(6)] + [(9, 2)], "id long, file_id long"), "file_id", "id").collect()
     assert {(r.id, r.batch, r.single) for r in plan if r.id in (0, 5, 9)} == {(0, 0, False), (5, 1, True), (9, 0, True)}
@@ -220,7 +315,7 @@ def test_config_connectors(spark, tmp_path):
 def test_report(spark):
     rows = found(spark, ("f", 1, None, "logic", 0.95, "e", "x", "i", "do so")).withColumn("fp_id", F.lit("aa")).withColumn("line_id", F.lit("bb"))
     body = rows.select(report.finding_body().alias("b")).select("b", report.marker_value(F.col("b"), report.ID_MARK).alias("id"), report.marker_value(F.col("b"), report.LINE_MARK).alias("line")).first()
-    assert (body.id, body.line) == ("aa", "bb") and "**Suggestion:** do so" in body.b
+    assert (body.id, body.line) == ("aa", "bb") and "- Suggestion: do so" in body.b
     assert '"level":"error"' in report.sarif(rows).first().sarif
 
 

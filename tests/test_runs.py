@@ -1,8 +1,10 @@
 import json
 
+from pyspark.sql import functions as F
+
 from tessera.operators import budget
 from tessera.plans import review
-from tessera.sources import connectors, files, hosts
+from tessera.sources import connectors, files, hosts, store
 
 FINDING = {"file": "a.py", "start_line": 2, "end_line": None, "category": "logic", "confidence": 0.9, "evidence": "`run_it` fails", "explanation": "wrong", "impact": "crash", "suggestion": None}
 ANSWER = json.dumps({"summary": "s", "findings": [FINDING]})
@@ -27,6 +29,25 @@ def test_review_and_publish(spark):
     assert vague.outcome == "inconclusive"
 
 
+def test_review_from_a_diff(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    s.append("files", spark.createDataFrame([(1, "a.py", "h", "python"), (2, "b.py", "h", "python")], "id long, path string, hash string, language string").withColumn("indexed_at", F.current_timestamp()))
+    s.append("imports", spark.createDataFrame([(2, "a.py", None, "direct")], "file_id long, source_path string, imported_names array<string>, kind string"))
+    contents = spark.createDataFrame([("a.py", "def f():\n  run_it()\n"), ("b.py", "from_b = 1")], "path string, content string")
+    seen = []
+
+    class Listens(connectors.ScriptedChat):
+        def complete(self, system, user, max_tokens=None):
+            seen.append(user)
+            return ANSWER
+
+    got = review.review_change(spark, Listens({}), s, DIFF, contents)
+    assert got.outcome == "findings" and "from_b" in seen[0] and "run_it" in seen[0]
+    paths = spark.createDataFrame([(0, "z"), (1, "a")], "ord int, path string")
+    ranked = spark.createDataFrame([("a", 9.0), ("m", 1.0), ("n", 2.0)], "path string, score double")
+    assert [r.path for r in review.changed_and_related(paths, ranked).orderBy("ord").collect()] == ["z", "a", "n", "m"]
+
+
 def test_pressure_shrinks_the_prompt(spark):
     sizes = []
 
@@ -38,8 +59,8 @@ def test_pressure_shrinks_the_prompt(spark):
             return ANSWER
 
     held = package("x = 1\n" * 8000)
-    answer, trimmed = review.ask(Tired(), "s", review.report.user_prompt, held, DIFF, 90_000)
-    assert answer == ANSWER and trimmed and sizes == sorted(sizes, reverse=True)
+    answer, trimmed, notes = review.ask(Tired(), "s", review.report.user_prompt, held, DIFF, 90_000)
+    assert answer == ANSWER and trimmed and len(notes) == 1 and sizes == sorted(sizes, reverse=True)
 
 
 def test_evaluation(spark, tmp_path):
