@@ -76,7 +76,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: F.Column, most: int = SA
     rows = rows.withColumn("ahead", F.coalesce(F.sum(F.octet_length("text")).over(ahead), F.lit(0))).where(F.col("ahead") + F.coalesce(F.octet_length("text"), F.lit(0)) <= F.greatest(F.lit(size), F.when(F.col("ahead") == 0, F.octet_length("text")))).drop("ahead").toArrow()
     order = np.lexsort((rows.column("label").to_numpy(), rows.column("doc_id").to_numpy() * 2654435761 % 2**31))
     held = rows.column("text").cast(pa.large_binary()).take(pa.array(order)).to_pylist()
-    return [t or b"" for t in held], rows.column("label").to_numpy()[order]
+    values = rows.column("label").to_numpy()[order]
+    del rows
+    pa.default_memory_pool().release_unused()  # the driver goes on without the Arrow copy of the texts
+    return [t or b"" for t in held], values
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = SAMPLE) -> Logistic:

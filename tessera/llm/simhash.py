@@ -19,7 +19,7 @@ SAMPLE = 8000
 #: Signatures for each bucket of the probe, members of a group compared in one block, and rows of a group in one task.
 BUCKET_ROWS, BLOCK, GROUP_ROWS = 400_000, 4096, 20_000
 #: Texts and characters of each that the order of shingles is taken from, text for each bucket, partners of a document in one task.
-SETS_SAMPLE, SAMPLE_CHARS, SET_BYTES, PARTNERS = 5000, 4000, 8_000_000, 250
+SETS_SAMPLE, SAMPLE_CHARS, SET_BYTES, PARTNERS = 2000, 4000, 8_000_000, 250
 #: Masks of a threshold at most.
 MASKS = 600
 #: Rows of a small side that are broadcast, at most; more are joined by a shuffle.
