@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -46,6 +48,61 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+#: Resident bytes of a process up to which its free memory is not handed back.
+HELD = 256_000_000
+#: What empties each memory that a worker keeps between the tasks of one stage.
+caches: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Hand free memory back to the system: workers and the driver live on, and would keep the peak of every stage through all later ones.
+
+    Memories of other stages are emptied first; a stage that uses one ends its tasks without release().
+    """
+    for empty in caches:
+        empty()
+    try:
+        with open("/proc/self/statm") as f:
+            if int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") < HELD:
+                return
+    except OSError:  # not Linux
+        return
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy_rows(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that ends each task with release()."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def tidy_group(work: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """A function of one or two tables for applyInArrow that ends each group with release()."""
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return work(table)
+        finally:
+            release()
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return work(left, right)
+        finally:
+            release()
+
+    return one if work.__code__.co_argcount == 1 else both
+
+
 def rows_and_bytes(docs: DataFrame) -> tuple[int, int]:
     """Rows, and UTF-8 bytes of all texts; these size the buckets, so that each holds about as much at every scale."""
     r = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()
@@ -132,6 +189,7 @@ def chunks(ids: np.ndarray, texts: list[bytes], most: int = CHUNK_BYTES):
 def keep_rows(docs: DataFrame, keep: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """The rows of docs, with all their columns, for whose texts (null: empty) `keep` gives True; nothing is shuffled."""
 
+    @tidy_rows
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]

@@ -13,6 +13,8 @@ BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 REPEAT = 0xA24BAED4963EE407
 
 
+#: Powers that are kept; those for a longer text go with it.
+KEPT_POWERS = 1 << 21
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -23,7 +25,8 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n + 1, 1 << 16), base, np.uint64)
         have[0] = 1
         np.cumprod(have, out=have)
-        _powers[base] = have
+        if n <= KEPT_POWERS:
+            _powers[base] = have
     return have[: n + 1]
 
 

@@ -102,6 +102,7 @@ def all_letters(word: str) -> bool:
 
 
 _loaded: dict[str, WordEncoder] = {}
+common.caches.append(_loaded.clear)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -244,6 +245,7 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, tokens: boo
     own = Window.partitionBy("kind", "bucket").orderBy("doc_id", "start")
     ranked = pieces.withColumn("own", F.row_number().over(own)).join(cells, ["kind", "bucket"]).withColumn("rank", F.col("ahead") + F.col("own") - 1)
 
+    @common.tidy_rows
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, ranks = batch.column("kind").to_numpy(), batch.column("rank").to_numpy()

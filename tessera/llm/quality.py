@@ -83,11 +83,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: F.Column, most: int = SA
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = SAMPLE) -> Logistic:
-    return fit(*labelled(docs, labels, F.col(column), most))
+    model = fit(*labelled(docs, labels, F.col(column), most))
+    common.release()  # the driver goes on without the texts
+    return model
 
 
 def score_quality(docs: DataFrame, model: Logistic) -> DataFrame:
     """(doc_id, score): the model's probability that a whole text is good, by sparse dot products. Null counts as empty."""
+    @common.tidy_rows
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             ids, texts = common.text_list(batch)

@@ -87,6 +87,7 @@ def hot_keys(docs: DataFrame, s: Settings, rows: int, size: int) -> tuple[np.nda
         return none, none
     every = max(1, rows // SAMPLE)
 
+    @common.tidy_rows
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             for _, texts in common.chunks(*common.text_list(batch)):
@@ -239,6 +240,7 @@ def spans_of_repeats(docs: DataFrame, s: Settings, resolve: Resolve) -> tuple[Da
     n = max(LEAST_BUCKETS, size // BUCKET_BYTES)
     hot = hot_keys(docs, s, rows, size)
 
+    @common.tidy_rows
     def find_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in common.slices(batches):
@@ -253,6 +255,7 @@ def spans_of_repeats(docs: DataFrame, s: Settings, resolve: Resolve) -> tuple[Da
         if held:
             yield as_batch(seed_blobs(*fold(common.concat(held), s.within), n))
 
+    @common.tidy_group
     def classify_bucket(table: pa.Table) -> pa.Table:
         behind, asked = classify(*unfold(table.column("payload").to_pylist()), s.within, s.tree)
         rows = blobs(2, bucket_of(asked["doc"], n), asked)
@@ -263,6 +266,7 @@ def spans_of_repeats(docs: DataFrame, s: Settings, resolve: Resolve) -> tuple[Da
             rows += blobs(1, bucket_of(spans["doc"], n), spans)
         return pa.Table.from_batches([as_batch(rows)])
 
+    @common.tidy_rows
     def text_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = common.text_list(batch)
@@ -273,6 +277,7 @@ def spans_of_repeats(docs: DataFrame, s: Settings, resolve: Resolve) -> tuple[Da
                 rows.append((0, int(buckets[order[a]]), common.pack_texts(ids[order[a:b]], [texts[i] for i in order[a:b].tolist()])))
             yield as_batch(rows)
 
+    @common.tidy_group
     def cut_contexts(texts: pa.Table, asked: pa.Table) -> pa.Table:
         c = common.unpack_all(asked.column("payload").to_pylist())
         rows = []
@@ -297,6 +302,7 @@ def spans_of_repeats(docs: DataFrame, s: Settings, resolve: Resolve) -> tuple[Da
                 rows = context_blobs({k: v[at] for k, v in c.items()}, pieces, n)
         return pa.Table.from_batches([as_batch(rows)])
 
+    @common.tidy_group
     def resolve_bucket(contexts: pa.Table, copies: pa.Table) -> pa.Table:
         parts = [unpack_contexts(p) for p in contexts.column("payload").to_pylist()]
         if not parts:
@@ -351,6 +357,7 @@ def union_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
 def apply_spans(texts: DataFrame, spans: DataFrame, row: Callable[[int, bytes, np.ndarray, np.ndarray], tuple], schema: pa.Schema, ddl: str) -> DataFrame:
     """row(doc_id, text, starts, ends) of every document with the maximal runs of its spans."""
 
+    @common.tidy_group
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         c = common.unpack_all(right.column("payload").to_pylist())
         doc, start, end = union_spans(c["doc"], c["start"], c["end"]) if c else (np.zeros(0, np.int64),) * 3

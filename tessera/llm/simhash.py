@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, ngram: int = 3, bits: int = 64) -> DataFrame:
     """(doc_id, fingerprint binary, big-endian) of every row with a doc_id; a null text counts as empty."""
     words = bits // 64
 
+    @common.tidy_rows
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             ids, texts = common.text_list(batch)
@@ -281,6 +282,7 @@ def links(distinct: DataFrame, bits: int, radius: int, sure: int) -> DataFrame:
     buckets = max(96, n * sum(map(len, masks)) // BUCKET_ROWS)
     hot, parts = hot_keys(to_words(sample, words), n, groups, masks)
 
+    @common.tidy_rows
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ident, w = batch.column("id").to_numpy(), to_words(batch.column("fingerprint"), words)
@@ -294,6 +296,7 @@ def links(distinct: DataFrame, bits: int, radius: int, sure: int) -> DataFrame:
                 out.append((int(bucket[r[0]]), common.pack(key=key[r], ident=ident[at[r]], **{f"w{k}": w[at[r], k] for k in range(words)})))
             yield pa.record_batch([pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["bucket", "payload"])
 
+    @common.tidy_group
     def probe_bucket(table: pa.Table) -> pa.Table:
         c = common.unpack_all(table.column("payload").to_pylist())
         a, b = links_in(c["key"], c["ident"], np.stack([c[f"w{k}"] for k in range(words)], axis=1), radius)
@@ -411,6 +414,7 @@ def shared_prefixes(docs: DataFrame, held: DataFrame, ngram: int, similarity: fl
     hot, parts = hot[expected > GROUP_ROWS], np.ceil(expected[expected > GROUP_ROWS] / (GROUP_ROWS / 2)).astype(np.int64)
     buckets = max(96, size // SET_BYTES)
 
+    @common.tidy_rows
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             ident, comp = batch.column("id").to_numpy(), batch.column("comp").to_numpy()
@@ -426,6 +430,7 @@ def shared_prefixes(docs: DataFrame, held: DataFrame, ngram: int, similarity: fl
                 out.append((int(bucket[r[0]]), common.pack(key=(key[r] >> np.uint64(32)).astype(np.uint32), ident=ident[row[r]], above=ident[row[r]] - comp[row[r]], n=count[row[r]].astype(np.uint32), place=place[r])))
             yield pa.record_batch([pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["bucket", "payload"])
 
+    @common.tidy_group
     def probe_bucket(table: pa.Table) -> pa.Table:
         c = common.unpack_all(table.column("payload").to_pylist())  # 32 bits of a key: a chance meeting is undone by similar()
         a, b = meet({**c, "comp": c["ident"] - c["above"]}, similarity) if c else (np.zeros(0, np.int64),) * 2
@@ -448,6 +453,7 @@ def similar(pairs: DataFrame, docs: DataFrame, ngram: int, similarity: float, si
     buckets = max(96, size // SET_BYTES, asked.count() // ASKED)
     sent = docs.select(F.col("doc_id").alias("id"), "text").join(small(asked), "id").select(F.expr(f"pmod(xxhash64(a, part), {buckets})").alias("bucket"), "a", "id", "text")
 
+    @common.tidy_group
     def compare(table: pa.Table) -> pa.Table:
         a, ident, texts = table.column("a").to_numpy(), table.column("id").to_numpy(), [t or b"" for t in table.column("text").cast(pa.large_binary()).to_pylist()]
         order = np.lexsort((ident, a))
@@ -492,6 +498,7 @@ def set_digests(docs: DataFrame, ngram: int, bits: int) -> DataFrame:
     """(doc_id, digest of the shingle set, its size and fingerprint) of every row with a doc_id; a null text counts as empty."""
     words = bits // 64
 
+    @common.tidy_rows
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             ids, texts = common.text_list(batch)
@@ -509,6 +516,7 @@ def not_far(pairs: DataFrame, distinct: DataFrame, bits: int, similarity: float)
     p = radius_of(similarity, bits) / bits
     most = radius_of(similarity, bits) + math.ceil(DEVIATIONS * math.sqrt(bits * p * (1 - p)))
 
+    @common.tidy_rows
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:

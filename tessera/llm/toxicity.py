@@ -82,11 +82,14 @@ def fit(texts: list[bytes], toxic: np.ndarray, epochs: int | None = None, alpha:
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = SAMPLE) -> Ordinal:
-    return fit(*labelled(docs, labels, F.col(column), most))
+    model = fit(*labelled(docs, labels, F.col(column), most))
+    common.release()  # the driver goes on without the texts
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Ordinal, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, severity (0 to 2, expected grade), grade (likeliest), toxic of every row with a doc_id, by its whole text."""
+    @common.tidy_rows
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             ids, texts = common.text_list(batch)
