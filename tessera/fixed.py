@@ -22,6 +22,7 @@ MAX_FILE_BYTES, MAX_CHANGED_FILE_BYTES, TEXT_SAMPLE_BYTES = 1_000_000, 50_000, 5
 BYTES_PER_TOKEN, SUMMARY_BYTES_PER_TOKEN = 3, 4
 MAX_TOKENS, RESERVE_TOKENS, MAX_FILES = 128_000, 32_000, 50
 SUMMARY_BATCH = 5
+SUMMARY_OUTPUT_TOKENS = 1024
 
 # What stands for a text that is not shown; their lengths count against the budget
 EXCLUDED_TEXT = "[File content excluded — large or generated file. See diff for changes.]"

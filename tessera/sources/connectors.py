@@ -87,20 +87,20 @@ class ScriptedChat:
         return next((a for k, a in self.answers.items() if k in user), self.default)
 
 
-def complete_column(prompts: DataFrame, model: ChatModel, concurrency: int) -> DataFrame:
-    """(id, response, error) of (id, system, user): at most `concurrency` tasks call the provider at once."""
+def complete_column(prompts: DataFrame, model: ChatModel, concurrency: int, max_tokens: int | None = None) -> DataFrame:
+    """(id, response, error, reducible, rate_limited) of (id, system, user): at most `concurrency` tasks call the provider at once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for i, system, user in pdf[["id", "system", "user"]].itertuples(index=False):
                 try:
-                    out.append((i, model.complete(system, user), None))
+                    out.append((i, model.complete(system, user, max_tokens), None, False, False))
                 except ProviderError as e:
-                    out.append((i, None, str(e)))
-            yield pd.DataFrame(out, columns=["id", "response", "error"])
+                    out.append((i, None, str(e), e.reducible, e.rate_limited))
+            yield pd.DataFrame(out, columns=["id", "response", "error", "reducible", "rate_limited"])
 
-    return prompts.select("id", "system", "user").repartition(concurrency).mapInPandas(run, "id long, response string, error string")
+    return prompts.select("id", "system", "user").repartition(concurrency).mapInPandas(run, "id long, response string, error string, reducible boolean, rate_limited boolean")
 
 
 class CodeHost(Protocol):

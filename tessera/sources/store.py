@@ -154,6 +154,12 @@ class Store:
         self.delete("summary_embeddings", ids)
         self.delete("summaries", ids)
 
+    def clear(self, path: str) -> None:
+        """Removes a folder of a finished run below the store."""
+        if not path.startswith(f"{self.root}/runs/"):
+            raise ValueError(f"{path} is no run of {self.root}")
+        self._path(path, delete=True)
+
     def reset(self) -> None:
         self._path(self.root, delete=True)
         self._save({"version": VERSION, "next": 1, "tables": {}, "before": {}})

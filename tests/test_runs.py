@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tessera.operators import budget
-from tessera.plans import review
+from tessera.plans import review, summarise
 from tessera.sources import connectors, files, hosts, store
 
 FINDING = {"file": "a.py", "start_line": 2, "end_line": None, "category": "logic", "confidence": 0.9, "evidence": "`run_it` fails", "explanation": "wrong", "impact": "crash", "suggestion": None}
@@ -103,3 +103,54 @@ def test_hosts():
     assert sent[-1][1].endswith("/notes")
     lab.resolve_stale([{"fp_id": "f2"}])
     assert sent[-1][0] == "PUT" and sent[-1][1].endswith("/notes/2")
+
+
+def describes(silent=(), fails=None):
+    """A model that answers batches but for the names in `silent`, or fails as told."""
+
+    class Describes:  # local, so that it travels to the workers by value
+        def complete(self, system, user, max_tokens=None):
+            if fails:
+                raise connectors.ProviderError(fails, "busy")
+            if system == summarise.BATCH_SYSTEM:
+                names = [line[3:].split(" (")[0] for line in user.split("\n") if line.startswith("## ")]
+                return json.dumps({n: f"{n} in a batch" for n in names if n not in silent})
+            return "whole file" if "the file" in user.split("\n")[0] else "asked alone"
+
+    return Describes()
+
+
+def summary_store(spark, path):
+    s = store.Store(spark, path)
+    s.append("files", spark.createDataFrame([(1, "a.py", "h", "python"), (2, "b.py", "h", "python"), (3, "gone.py", "h", "python")], "id long, path string, hash string, language string").withColumn("indexed_at", F.current_timestamp()))
+    rows = [(10, 1, "f", "function", 1, 1, ""), (11, 1, "g", "function", 2, 2, ""), (12, 1, "C", "class", 3, 3, ""), (20, 2, "h", "method", 1, 1, ""), (30, 3, "z", "function", 1, 1, ""), (21, 2, "late", "method", 9, 9, "")]
+    s.append("symbols", spark.createDataFrame(rows, "id long, file_id long, name string, kind string, start_line int, end_line int, signature string"))
+    return s
+
+
+def test_summaries_are_made_once(spark, tmp_path):
+    s = summary_store(spark, str(tmp_path / "s"))
+    contents = spark.createDataFrame([("a.py", "def f()\ndef g()\nclass C"), ("b.py", "def h()")], "path string, content string")
+    got = summarise.summarise(s, contents, describes(silent=("g",)))
+    assert (got.symbols, got.files, got.errors, got.symbols_unchanged, got.stopped) == (3, 2, 0, 0, {})
+    held = {(r.symbol_id, r.file_id): r.summary for r in s.read("summaries").collect()}
+    assert held == {(10, None): "f in a batch", (11, None): "asked alone", (20, None): "asked alone", (None, 1): "whole file", (None, 2): "whole file"}
+    again = summarise.summarise(s, contents, describes(fails=500))
+    assert (again.symbols, again.symbols_unchanged, again.files_unchanged, again.errors) == (0, 3, 2, 0)
+    old = s.read("summaries").where("symbol_id = 20").select("id")
+    s.append("summary_embeddings", old.withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
+    changed = spark.createDataFrame([("a.py", "def f()\ndef g()\nclass C"), ("b.py", "def h(x)")], "path string, content string")
+    third = summarise.summarise(s, changed, describes(), paths=spark.createDataFrame([("b.py",)], "path string"))
+    assert (third.symbols, third.files, third.files_unchanged) == (1, 0, 1)  # the summary reads as before, so the file's is fresh
+    assert s.read("summaries").count() == 5 and s.read("summary_embeddings").count() == 0
+    assert not list((tmp_path / "s" / "runs").glob("*"))
+
+
+def test_pressure_ends_a_run(spark, tmp_path):
+    s = summary_store(spark, str(tmp_path / "s"))
+    contents = spark.createDataFrame([("a.py", "def f()\ndef g()"), ("b.py", "def h()")], "path string, content string")
+    got = summarise.summarise(s, contents, describes(fails=429))
+    assert got.stopped == {"batches": "full_batch"} and got.rate_limited and got.provider_limited and got.symbols == got.files == 0
+    plain = summarise.summarise(s, contents, describes(fails=400))
+    assert plain.stopped == {} and plain.errors == 4 and not plain.provider_limited  # one batch, then three symbols alone
+    assert s.read("summaries").count() == 0
