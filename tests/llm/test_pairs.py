@@ -190,3 +190,42 @@ def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (200, 100)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 200: 100}
+
+
+def clustered(n, dim, rank, seed):
+    """Vectors about 60 centres in a subspace, every third with a near copy displaced within that subspace."""
+    rng = np.random.default_rng(seed)
+    plane = np.linalg.qr(rng.normal(size=(dim, rank)))[0]
+    low = rng.normal(size=(60, rank))[rng.integers(60, size=n)] + 0.5 * rng.normal(size=(n, rank))
+    size = np.linalg.norm(low, axis=1)[:, None]
+    copies = low[::3] + rng.normal(size=(len(low[::3]), rank)) * size[::3] * 0.3 / np.sqrt(rank)
+    return (np.concatenate([low, copies]) @ plane.T).astype(np.float32)
+
+
+@pytest.mark.parametrize(("dim", "rank", "least"), [(64, 64, 0.99), (64, 12, 0.97), (384, 12, 0.97)])
+def test_pq_recall_over_many_lists(spark, monkeypatch, dim, rank, least):
+    monkeypatch.setattr(pq_dedup, "PER_LIST", 40)
+    x = clustered(1200, dim, rank, seed=3)
+    v = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    assert len(pq_dedup.Quantiser(v, len(v), 0.95).centres) >= 16
+    cosines = v @ v.T
+    true = (cosines >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in pq_dedup.pq_neardup(spark.createDataFrame([(i, r.tolist(), "", "") for i, r in enumerate(x)], EMBEDDED)).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    edge = (np.abs(cosines - 0.95) < 1e-9).sum()
+    assert true.sum() > 300 and not edge and (found <= true).all()
+    assert found.sum() >= least * true.sum()
+
+
+def test_nearest_neighbours_over_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PER_LIST", 60)
+    x = clustered(1500, 64, 16, seed=4)
+    v = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    hits = n = 0
+    found = {}
+    for r in ann.nearest_neighbours(spark.createDataFrame([(i, r.tolist(), "", "") for i, r in enumerate(x)], EMBEDDED), 5, 20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in range(0, len(x), 20):
+        best = np.argsort(np.where(np.arange(len(x)) == q, -2, -0 + v @ v[q]))[::-1][:5]
+        hits, n = hits + len(found[q] & set(best.tolist())), n + 5
+    assert hits >= 0.9 * n
