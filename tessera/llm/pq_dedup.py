@@ -18,6 +18,14 @@ DEVIATIONS = 2.5
 ROWS = "list int, i int, j int, payload binary"
 
 
+def spread(residual: np.ndarray) -> float:
+    """In how many directions the vectors of a list differ: the participation ratio of the residuals' variances, from 1 to
+    their dimensions. Vectors that fill a subspace only are displaced along its few directions, so further along each."""
+    of_rows = residual.T @ residual
+    squares = float((of_rows**2).sum())
+    return max(1.0, float(np.trace(of_rows)) ** 2 / squares) if squares > 0 else 1.0
+
+
 class Quantiser:
     """Coarse centroids, residual codebooks and the lists that a vector must visit."""
 
@@ -26,9 +34,9 @@ class Quantiser:
         residual = sample - self.centres[vectors.nearest(sample, self.centres)]
         self.cuts = vectors.cuts(sample.shape[1], SUBSPACES)
         self.books = [vectors.kmeans(residual[:, c], CODES, 4) for c in self.cuts]
-        # a linked unit vector is at most `radius` away; its part along one direction has deviation radius / sqrt(dim)
+        # a linked unit vector is at most `radius` away; its part along one of d directions has deviation radius / sqrt(d)
         radius = np.sqrt(2 - 2 * cosine)
-        self.margin = radius * min(1.0, DEVIATIONS / np.sqrt(sample.shape[1]))
+        self.margin = radius * min(1.0, DEVIATIONS / np.sqrt(spread(residual)))
         squares = (self.centres**2).sum(axis=1)
         self.apart = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * self.centres @ self.centres.T, 0))
 
