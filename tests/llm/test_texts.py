@@ -1,6 +1,7 @@
 """Text operators against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tessera.llm import bpe, licences, packing, quality, repeats, substring_dedup, suffix_dedup, textkit, toxicity
+from tessera.llm import bpe, features, licences, packing, quality, repeats, substring_dedup, suffix_dedup, textkit, toxicity
 
 public = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, n_bytes string, kept string, word string, severity string, score string"
@@ -327,3 +328,99 @@ def test_ordinal_grades_are_ordered():
     model = toxicity.fit(texts, np.repeat([0, 1, 1], 60), epochs=8, l1=0.1)
     low, mid, high = model.above([b"calm words", b"rude calm", b"rude vile foul calm"]).sum(axis=1)
     assert low < mid < high and model.thresholds[0] < model.thresholds[1]
+
+
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def plain_hash(token):
+    return plain_mix(sum((b + 1) * pow(features.BYTE_BASE, i, 2**64) for i, b in enumerate(token)) % 2**64 ^ len(token) << 48)
+
+
+def plain_tokens(text):
+    return re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0D]+", text)
+
+
+ODD_TEXTS = [None, "", " \t", "one", "one one one", "A-b c!! Ünder ünder, to to", "idiots idiot Idiotic", "\0 x", "the end. " * 400]
+
+
+def test_quality_score_by_plain_dictionaries(spark):
+    model = quality.Logistic(np.random.default_rng(1).normal(size=1 << features.BITS).astype(np.float32), -0.3, 2)
+    got = {r.doc_id: r.score for r in quality.score_quality(docs_of(spark, ODD_TEXTS), model).collect()}
+    for d, text in enumerate(ODD_TEXTS):
+        h = [plain_hash(t) for t in plain_tokens((text or "").encode())]
+        grams = h + [features.REPEAT if a == b else plain_mix((a * features.WORD_BASE + b) % 2**64) for a, b in zip(h, h[1:], strict=False)]
+        counts = {}
+        for g in grams:
+            counts[g >> 64 - features.BITS] = counts.get(g >> 64 - features.BITS, 0) + 1
+        value = {s: 1 + math.log(n) for s, n in counts.items()}
+        size = math.sqrt(sum(x * x for x in value.values())) or 1
+        want = 1 / (1 + math.exp(-(sum(float(model.weights[s]) * x / size for s, x in value.items()) + model.bias)))
+        assert abs(got[d] - want) < 1e-5
+
+
+def test_severity_by_plain_dictionaries(spark):
+    model = toxicity.Ordinal(np.random.default_rng(2).normal(size=1 << features.BITS).astype(np.float32), np.array([0.5, 1.5]))
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs_of(spark, ODD_TEXTS), model).collect()}
+    for d, text in enumerate(ODD_TEXTS):
+        tokens = plain_tokens((text or "").encode().lower())
+        slots = {plain_hash(t) >> 64 - features.BITS for t in tokens}
+        slots |= {plain_mix((plain_hash(t[:n]) + n) % 2**64) >> 64 - features.BITS for t in tokens for n in toxicity.PREFIXES if len(t) > n}
+        s = sum(float(model.weights[x]) for x in slots)
+        above = [1 / (1 + math.exp(t - s)) for t in model.thresholds]
+        each = [1 - above[0], above[0] - above[1], above[1]]
+        assert abs(got[d].severity - sum(above)) < 1e-5 and got[d].grade == each.index(max(each)) and got[d].toxic == (above[0] >= toxicity.THRESHOLD)
+
+
+def test_licence_labels_and_scores_equal_brute_force(spark):
+    rng = random.Random(5)
+    pool = sorted({w for _, _, words, _, _ in licences.templates() for w in words}) + ["filler", "other"]
+    held = [None, "", "released under that mit license"]
+    for label, _, words, _, _ in licences.templates() * 3:
+        w = [rng.choice(pool) for _ in range(rng.randint(0, 12))] + [x if rng.random() < 0.85 else "altered" for x in words] + [rng.choice(pool) for _ in range(rng.randint(0, 12))]
+        held.append(" ".join(w))
+    got = {r.doc_id: r for r in licences.licence_scan(docs_of(spark, held)).collect()}
+    split = [(t or "").split() for t in held]
+    idf = {w: math.log((len(held) + 1) / (sum(w in s for s in split) + 1)) for w in pool}
+    for d, w in enumerate(split):
+        labels, score = set(), 0.0
+        for label, _, words, at, length in licences.templates():
+            rare = sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))[: licences.POSTED]
+            total = sum(idf[x] + 1e-9 for x in words)
+            for start in range(-len(words), len(w)):
+                stands = [0 <= start + i < len(w) and w[start + i] == x for i, x in enumerate(words)]
+                if sum(stands[i] for i in rare) >= min(2, len(rare)):
+                    score = max(score, sum(idf[x] + 1e-9 for x, s in zip(words, stands, strict=True) if s) / total)
+                    if all(stands[at : at + length]):
+                        labels.add(label)
+        assert got[d].labels == ",".join(sorted(labels)), (held[d], labels)
+        assert abs(got[d].score - min(score, 1)) < 1e-9
+
+
+def test_empty_tables(spark):
+    docs, labels = labelled(spark, 12)
+    none = docs.limit(0)
+    assert toxicity.toxicity(none, labels).collect() == [] and quality.quality(none, labels.limit(0)).collect() == []
+    assert bpe.bpe_encode(none, public.path("byte_bpe_50k.json")).collect() == [] and packing.pack_documents(none, public.path("word_bpe_49k.json")).collect() == []
+
+
+def test_very_long_texts(spark):
+    """A text of 5 MB and one word of 20 MB, with their copies."""
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(640_000))
+    word = "ab" * 10_000_000
+    docs = docs_of(spark, [long, word, "short text", word + " tail", long])
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(option)
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(docs).select("doc_id", "n_words", "n_removed").collect()}
+    assert [got[i].n_words for i in range(5)] == [640_000, 1, 2, 2, 640_000] and [got[i].n_removed for i in range(5)] == [0, 0, 0, 0, 640_000]
+    model = quality.Logistic(np.zeros(1 << features.BITS, np.float32), 0.0, 2)
+    assert {r.score for r in quality.score_quality(docs, model).collect()} == {0.5}
+    scanned = {r.doc_id: r.n_words for r in licences.licence_scan(docs).collect()}
+    assert scanned == {0: 640_000, 1: 1, 2: 2, 3: 2, 4: 640_000}
+    assert spark.conf.get(option) == before
