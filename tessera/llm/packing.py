@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ LENGTH, GRID, END = 2048, 8, 1
 GAP = 1e-3
 #: Bytes of words and ids that a worker remembers; the memory is emptied before the next texts when full, which changes no result.
 REMEMBERED = 150_000_000
+#: Characters of the texts that are encoded together; a longer text is encoded alone.
+TOGETHER = 8_000_000
 #: Pieces for each bucket of a length class's ranking.
 BUCKET_ROWS = 20_000
 #: Python's white space holds four separators more than the tokenizer's; texts with them are encoded whole.
@@ -64,13 +67,8 @@ class WordEncoder:
             data = ids.tobytes()
             self.memory.update(zip(group, map(data.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())), strict=True))
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        memory = self.memory
-        split = [None if ODD_SPACE.search(t) else t.split() for t in texts]
-        if self.remembered > REMEMBERED:
-            memory.clear()
-            self.remembered = 0
-        missing = set().union(*(s for s in split if s)).difference(memory)
+    def learn(self, missing: list[str]) -> None:
+        """Remembers the ids of these words."""
         letters, others, parts = set(), set(), []
         for w in missing:
             if all_letters(w):
@@ -82,6 +80,7 @@ class WordEncoder:
                 others.add(tail)
             else:
                 others.add(w)
+        memory = self.memory
         if letters := list(letters.difference(memory)):
             self.ask_letters(letters)
         if others := list(others.difference(memory)):
@@ -89,11 +88,23 @@ class WordEncoder:
         for w, head, tail in parts:
             memory[w] = memory[head] + memory[tail]
         self.remembered += sum(250 + 2 * len(w) for w in missing)
-        get = memory.__getitem__
-        return [
-            np.frombuffer(b"".join(map(get, s)), "<u4") if s is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
-            for s, t in zip(split, texts, strict=True)
-        ]
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Only the distinct words of all the texts are looked up; numpy lays their ids out."""
+        odd = [bool(ODD_SPACE.search(t)) for t in texts]
+        split = pc.utf8_split_whitespace(pa.array(["" if o else t for o, t in zip(odd, texts, strict=True)], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if self.remembered > REMEMBERED:
+            self.memory.clear()
+            self.remembered = 0
+        self.learn([w for w in words if w not in self.memory])
+        held = [self.memory[w] for w in words]
+        lengths = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        at = coded.indices.to_numpy()
+        ids = np.frombuffer(b"".join(held), "<u4")[common.ragged((np.cumsum(lengths) - lengths)[at], lengths[at])]
+        edges = np.r_[0, np.cumsum(lengths[at])][split.offsets.to_numpy()].tolist()
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4") if o else ids[s:e] for t, o, s, e in zip(texts, odd, edges, edges[1:], strict=False)]
 
 
 def all_letters(word: str) -> bool:
@@ -117,7 +128,8 @@ def cut(docs: DataFrame, path: str, length: int, tokens: bool) -> DataFrame:
         words = encoder(path)
         for batch in common.slices(batches):
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode_batch([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+            runs = common.chunks(batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()], TOGETHER)
+            for doc_id, ids in (pair for some, texts in runs for pair in zip(some, words.encode_batch(texts), strict=True)):
                 ids = np.append(ids, np.uint32(END)).astype("<u4")
                 for at in range(0, len(ids), length):
                     piece = ids[at : at + length]
