@@ -297,7 +297,7 @@ def hard_negatives(table: DataFrame, every: int = 50, k_positive: int = 5, k_neg
 
     Rows with a null vec_id, label or vector, with null or non-finite components, or so long (2**31) that scores leave a long
     take no part. Vectors of different lengths are not compared; empty ones (length 0) have score 0 with each other. Of
-    rows that repeat a vec_id the least (label, vector) counts. A zero or negative positive score has a window of 0 or none.
+    rows that repeat a vec_id the one with the least label counts, then the one whose numbers come first as bytes. A zero or negative positive score has a window of 0 or none.
     Fewer positives or negatives give fewer rows; an empty table gives none.
     """
     rows = common.checkpoint(cells_of(table, scale))

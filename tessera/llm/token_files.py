@@ -141,8 +141,8 @@ class Written(WriterCommitMessage):
     """What a task has written."""
 
     file: str
-    first: int
-    last: int
+    first: int | None
+    last: int | None
     docs: int
     ids: int
 
@@ -163,40 +163,52 @@ class TokenWriter(DataSourceArrowWriter):
     """Each task writes one shard under a name of its own; the commit orders the shards of the tasks that counted."""
 
     def __init__(self, options: dict[str, str], overwrite: bool):
-        self.path, self.overwrite = options["path"], overwrite
+        self.path, self.overwrite, self.tokenizer = options["path"], overwrite, options.get("tokenizer")
         self.block, self.kind, self.level = int(options.get("block", BLOCK)), options.get("planes", "byte"), int(options.get("level", 3))
         if self.kind not in PLANES or self.block < 1:
             raise ValueError("planes is byte or bit, block a positive number of ids")
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage | None:
+    def documents(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        """doc_id and ids of each row."""
+        if not self.tokenizer:
+            for batch in iterator:
+                for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                    yield doc, np.frombuffer(data.as_buffer() or b"", "<u4")
+            return
+        words, end = packing.encoder(self.tokenizer), np.array([packing.END], "<u4")
+        for batch in common.slices(iterator):
+            for docs, texts in common.chunks(batch.column("doc_id").to_numpy(), [t or "" for t in batch.column("text").to_pylist()], packing.TOGETHER):
+                for doc, ids in zip(docs.tolist(), words.encode_batch(texts), strict=True):
+                    yield doc, np.concatenate([ids, end])
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, folder = opened(self.path)
         shard, name = None, f"shard-{uuid.uuid4().hex}.tok"
         first = last = None
         docs = ids = 0
         try:
-            for batch in iterator:
-                for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                    if shard is None:
-                        store.create_dir(folder, recursive=True)
-                        first, sink = doc, store.open_output_stream(f"{folder}/{name}")
-                        shard = ShardWriter(sink, self.block, self.kind, self.level)
-                    elif doc < last:
-                        raise ValueError("documents of a shard must come in ascending doc_id order")
-                    values = np.frombuffer(data.as_buffer() or b"", "<u4")
-                    shard.add(doc, values)
-                    last, docs, ids = doc, docs + 1, ids + len(values)
-            if shard is None:
-                return None
-            shard.close()
-        finally:
+            for doc, values in self.documents(iterator):
+                if shard is None:
+                    store.create_dir(folder, recursive=True)
+                    first, shard = doc, ShardWriter(store.open_output_stream(f"{folder}/{name}"), self.block, self.kind, self.level)
+                elif doc < last:
+                    raise ValueError("documents of a shard must come in ascending doc_id order")
+                shard.add(doc, values)
+                last, docs, ids = doc, docs + 1, ids + len(values)
             if shard is not None:
+                shard.close()
                 shard.sink.close()
-        return Written(name, first, last, docs, ids)
+        except BaseException:
+            if shard is not None:
+                shard.sink.close()
+                store.delete_file(f"{folder}/{name}")
+            raise
+        return Written(name, first, last, docs, ids)  # no documents: no file
 
-    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+    def commit(self, messages: list[Written | None]) -> None:
         """One line for each shard reaches the driver (MOST_SHARDS at most in write_tokens())."""
         store, folder = opened(self.path)
-        done = sorted((m for m in messages if m is not None), key=lambda m: (m.first, m.last))
+        done = sorted((m for m in messages if m is not None and m.docs), key=lambda m: (m.first, m.last))
         if any(a.last > b.first for a, b in zip(done, done[1:], strict=False)):
             self.abort(messages)
             raise ValueError("shards overlap: part the rows by ranges of doc_id first")
@@ -214,10 +226,10 @@ class TokenWriter(DataSourceArrowWriter):
         for file in before:
             store.delete_file(f"{folder}/{file}")
 
-    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+    def abort(self, messages: list[Written | None]) -> None:
         store, folder = opened(self.path)
         for m in messages:
-            if m is not None:
+            if m is not None and m.docs:
                 store.delete_file(f"{folder}/{m.file}")
 
 
@@ -257,6 +269,7 @@ class TokenReader(DataSourceReader):
                     rows, held = [], 0
             if rows:
                 yield self.batch(rows)
+        common.release()
 
     @staticmethod
     def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -267,7 +280,8 @@ class TokenReader(DataSourceReader):
 class TokenFiles(DataSource):
     """The format `token_planes`: write (doc_id long, ids binary) in ascending doc_id order, read SCHEMA.
 
-    Options of a write: `block` (ids of a block), `planes` (byte or bit), `level` (of zstandard).
+    Options of a write: `block` (ids of a block), `planes` (byte or bit), `level` (of zstandard), and `tokenizer`, a vocabulary
+    file: then (doc_id long, text string) is written, each text encoded and ended by END.
     """
 
     @classmethod
@@ -284,18 +298,6 @@ class TokenFiles(DataSource):
         return TokenWriter(self.options, overwrite)
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids): the ids of each text and END, as little-endian unsigned numbers of 32 bits; the order of rows stays."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = packing.encoder(path), np.array([packing.END], "<u4").tobytes()
-        for batch in common.slices(batches):
-            for ids, texts in common.chunks(batch.column("doc_id").to_numpy(), [t or "" for t in batch.column("text").to_pylist()], packing.TOGETHER):
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([e.astype("<u4").tobytes() + end for e in words.encode_batch(texts)], pa.binary())], names=["doc_id", "ids"])
-
-    return docs.mapInArrow(run, "doc_id long, ids binary")
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, planes: str = "byte", block: int = BLOCK) -> DataFrame:
     """Encodes docs (doc_id, text), writes them to `folder` in ascending doc_id order, and returns read_tokens(folder).
 
@@ -310,7 +312,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, planes: str = "by
     _, size = common.rows_and_bytes(docs)
     shards = int(min(MOST_SHARDS, max(1, size // SHARD_BYTES)))
     docs = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    encoded(docs, tokenizer).write.format(FORMAT).option("block", block).option("planes", planes).mode("append").save(folder)
+    docs.write.format(FORMAT).options(tokenizer=tokenizer, block=block, planes=planes).mode("append").save(folder)
     return read_tokens(spark, folder)
 
 
