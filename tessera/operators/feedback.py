@@ -17,8 +17,9 @@ def signal_text(file: str = "file", explanation: str = "explanation", impact: st
 def collect_signals(store, team: str, signals: DataFrame, embedder: vector.Embedder) -> int:
     """Stores signals (id, signal_type, file, explanation, impact, category) of a team with the vectors of their texts; how many."""
     rows = signals.select("id", F.lit(team).alias("team_id"), "signal_type", signal_text().alias("finding_text"), F.col("category").alias("finding_category"), F.current_timestamp().alias("ts"))
-    store.append("feedback_embeddings", vector.embed_texts(rows.select("id", F.col("finding_text").alias("text")), embedder))
-    store.append("feedback_signals", rows)
+    with store.transaction() as t:
+        t.append("feedback_embeddings", vector.embed_texts(rows.select("id", F.col("finding_text").alias("text")), embedder))
+        t.append("feedback_signals", rows)
     return rows.count()
 
 

@@ -90,12 +90,13 @@ class Run:
         return path
 
     def drop_stale(self, due: DataFrame, key: str, level_is_file: bool) -> None:
-        """Removes the stored summaries of what is asked again, their vectors first."""
+        """Removes the stored summaries of what is asked again, and their vectors."""
         held = self.store.read("summaries").where((F.col("level") == "file") if level_is_file else F.col("symbol_id").isNotNull())
         ids = self.keep(held.join(due.select(F.col("id").alias(key)), key, "left_semi").select("id"), f"stale_{key}")
         if not ids.isEmpty():
-            self.store.delete("summary_embeddings", ids)
-            self.store.delete("summaries", ids)
+            with self.store.transaction() as t:
+                t.delete("summary_embeddings", ids)
+                t.delete("summaries", ids)
 
     def symbols(self, wanted: DataFrame, started: float) -> None:
         """wanted: id, file_id, path, name, kind, start_line, body of functions and methods."""
