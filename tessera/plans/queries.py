@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera import fixed
 from tessera.functions import jsonx, text
 from tessera.operators import budget, chunks, evaluate, feedback, findings, graph, report, retrieval, summaries, vector
-from tessera.sources import store
+from tessera.sources import extract, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -705,3 +705,19 @@ def file_ids(spark, sf_dir):
 def chunks_by_hash(spark, sf_dir):
     held = chunks.line_chunks(doc_files(spark, sf_dir), 5, 2).select("doc_id", "content_hash", (F.col("doc_id") * 1000 + F.col("start_line")).alias("id"))
     return store.chunks_by_hash(held, held.where("doc_id % 10 = 0"))
+
+
+@query("""WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, doc_id % 3 AS k FROM documents)
+    SELECT doc_id, CASE k WHEN 0 THEN 'rust' WHEN 1 THEN 'typescript' ELSE 'java' END AS language, CASE k WHEN 0 THEN 2 ELSE 1 END AS imports, n + CASE k WHEN 2 THEN 1 ELSE 0 END AS symbols, n AS calls, 0 AS errors, CAST(n + CASE k WHEN 0 THEN 1 ELSE 2 END AS INT) AS last_line FROM l""")
+def code_extraction(spark, sf_dir):
+    """Each document as a source file of one of three languages: a line is a comment, then a text, of a function of its own, and has a brace."""
+    k, lines = F.col("doc_id") % 3, F.split(F.regexp_replace("text", "[\\\\\"*/`$'\\r]", " "), "\n")
+    each = lambda head, mid, tail: F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit(head), x, F.lit(mid), i.cast("string"), F.lit(tail), x, F.lit(' {"); }'))), "\n")
+    rust = F.concat(F.lit("use a::{b::{C, D}, e};\n"), each("/* /* ", " { */ */ pub fn f", '(a: &str) { helper("'))
+    typescript = F.concat(F.lit("import { C } from './c';\nconst t = `{ ${'}'}`;\n"), each("/* ", " { */ export function f", '(a: { b: string }): { c: string } { helper("'))
+    java = F.concat(F.lit("import a.b.C;\nclass D {\n"), each("/* ", " { */ int f", '(int a) { helper("'), F.lit("}"))
+    language = F.when(k == 0, "rust").when(k == 1, "typescript").otherwise("java")
+    files = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("path"), language.alias("language"), F.when(k == 0, rust).when(k == 1, typescript).otherwise(java).cast("binary").alias("content"))
+    rows = extract.extract(files).groupBy(F.col("path").cast("long").alias("doc_id"), "language")
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    return rows.agg(count("import").cast("int").alias("imports"), count("symbol").alias("symbols"), count("reference").alias("calls"), count("error").cast("int").alias("errors"), F.max("end_line").alias("last_line"))

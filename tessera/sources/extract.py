@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ast
-import re
-from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tessera import fixed
 from tessera.functions import text
+from tessera.sources import scopes
+from tessera.sources.scopes import Row
 
 EXTRACTION = "path string, language string, kind string, name string, names array<string>, line int, end_line int, signature string, detail string"
-Row = tuple[str, str, list[str] | None, int, int | None, str | None, str | None]
 
 
 def repository_files(spark: SparkSession, root: str, exclude: tuple[str, ...] = ("node_modules", "target", "dist", "build", "vendor")) -> DataFrame:
@@ -50,76 +49,15 @@ def _python(source: str) -> Iterator[Row]:
                 yield "reference", name, None, node.lineno, None, None, "call"
 
 
-_CALL = re.compile(r"\b([A-Za-z_]\w*)\s*(?:::<[^>]*>)?!?\(")
-_NOT_CALLS = frozenset("if for while switch match return catch fn function def class new sizeof await".split())
-_RULES: dict[str, tuple[str, list[tuple[str, str]]]] = {
-    "rust": (
-        r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);",
-        [(r"(?:async\s+|const\s+|unsafe\s+)*fn\s+(\w+)", "function"), (r"struct\s+(\w+)", "struct"), (r"enum\s+(\w+)", "enum"), (r"trait\s+(\w+)", "trait"), (r"mod\s+(\w+)", "module"), (r"type\s+(\w+)", "type"), (r"(?:const|static)\s+([A-Z_]\w*)", "constant")],
-    ),
-    "typescript": (
-        r"^\s*import\s+(?:[^'\"]*?from\s+)?['\"]([^'\"]+)['\"]",
-        [(r"(?:async\s+)?function\s*\*?\s*(\w+)", "function"), (r"(?:abstract\s+)?class\s+(\w+)", "class"), (r"interface\s+(\w+)", "interface"), (r"type\s+(\w+)\s*[=<]", "type"), (r"enum\s+(\w+)", "enum"), (r"const\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>", "function")],
-    ),
-    "java": (
-        r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;",
-        [(r"(?:class|interface|enum|record)\s+(\w+)", "class"), (r"(?:[\w<>\[\],?]+\s+)+(\w+)\s*\([^;{]*\)\s*(?:throws [\w., ]+)?\s*\{", "method")],
-    ),
-}
-_LEAD = r"^\s*(?:(?:pub(?:\([^)]*\))?|export|default|public|private|protected|static|final|abstract|declare)\s+)*"
-
-
-def _import(language: str, target: str) -> tuple[str, list[str] | None]:
-    target = " ".join(target.split())
-    if language == "rust":
-        if m := re.fullmatch(r"(.*?)::\{(.*)\}", target):
-            return m[1], [x.strip() for x in m[2].split(",") if x.strip()]
-        head, _, last = target.rpartition("::")
-        return (head, [last]) if head else (target, None)
-    if language == "java":
-        head, _, last = target.rpartition(".")
-        return (head, [last]) if head else (target, None)
-    return target, None
-
-
-def _braces(language: str) -> Callable[[str], Iterator[Row]]:
-    pattern, kinds = _RULES[language]
-    imports, symbols = re.compile(pattern, re.M), [(re.compile(_LEAD + p, re.M), kind) for p, kind in kinds]
-
-    def run(source: str) -> Iterator[Row]:
-        starts = [0, *(m.end() for m in re.finditer("\n", source))]
-        line_of = lambda at: bisect_right(starts, at)
-        for m in imports.finditer(source):
-            name, names = _import(language, m[1])
-            yield "import", name, names, line_of(m.start(1)), None, None, "direct"
-        for rule, kind in symbols:
-            for m in rule.finditer(source):
-                if m[1] in _NOT_CALLS:
-                    continue
-                end, depth, semicolon = m.end(), 0, source.find(";", m.end())
-                brace = source.find("{", m.end() - 1)
-                if 0 <= brace and (semicolon < 0 or brace < semicolon):
-                    for b in re.finditer("[{}]", source[brace:]):
-                        depth += 1 if b[0] == "{" else -1
-                        if not depth:
-                            end = brace + b.end()
-                            break
-                yield "symbol", m[1], None, line_of(m.start(1)), line_of(max(end - 1, m.start(1))), m[0].strip(), kind
-        for m in _CALL.finditer(source):
-            if m[1] not in _NOT_CALLS:
-                yield "reference", m[1], None, line_of(m.start()), None, None, "call"
-
-    return run
-
-
 #: Extractors by language; a grammar-based one may be put in its place.
-EXTRACTORS: dict[str, Callable[[str], Iterator[Row]]] = {"python": _python} | {k: _braces(k) for k in _RULES}
+EXTRACTORS: dict[str, Callable[[str], Iterator[Row]]] = {"python": _python, **scopes.GRAMMARS}
 
 
 def extract(files: DataFrame) -> DataFrame:
     """EXTRACTION rows of (path, language, content): kind import, symbol, reference or error.
 
-    Python is read by its own grammar; the brace languages by line rules, which see no macros or generated code.
+    Python is read by its own grammar; the brace languages by tokens and their scopes (scopes.py). What can't be read is an
+    error row with its line; the rest of the file counts, but for Python.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
