@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 #: Tokens of a sequence, width of a length class, id that ends every document.
-LENGTH, GRID, END = 2048, 8, 1
+LENGTH, GRID, END = 2048, 4, 1
 #: Stop when the plan is proven to be within this share of the least possible number of sequences.
 GAP = 1e-3
 #: Bytes of words and ids that a worker remembers; the memory is emptied before the next texts when full, which changes no result.
@@ -163,28 +163,69 @@ def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[f
     return float(value[capacity]), pattern
 
 
-def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, rounds: int = 20_000) -> list[tuple[np.ndarray, int]]:
+def first_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
+    """The pattern that takes of the largest sizes first what there is (a part of one counts as one) and what fits."""
+    pattern, room, i = np.zeros(len(sizes)), capacity, len(sizes)
+    while True:
+        able = np.flatnonzero((left[:i] > 0) & (sizes[:i] <= room))
+        if not len(able):
+            return pattern
+        i = int(able[-1])
+        pattern[i] = min(room // sizes[i], np.ceil(left[i]))
+        room -= int(pattern[i] * sizes[i])
+
+
+def enter(inverse: np.ndarray, column: int, direction: np.ndarray) -> None:
+    """The inverse of the basis after another pattern took the place of a column; direction: the old inverse times the pattern."""
+    row = inverse[column] / direction[column]
+    some = np.flatnonzero(direction)
+    inverse[some] -= np.outer(direction[some], row)
+    inverse[column] = row
+
+
+def first_fit_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A basis of first-fit decreasing patterns, its inverse, and how often each pattern is used, in parts of one.
+
+    Every pattern is used until one of its sizes is served, and is that size's column. It holds no size that was served
+    before, so the columns by time are triangular; other sizes served at once get a column of their own, unused.
+    """
+    fill = (capacity // sizes).astype(np.float64)
+    basis, inverse, x, left = np.diag(fill), np.diag(1 / fill), np.zeros(len(sizes)), demand.astype(np.float64).copy()
+    while left.any():
+        pattern = first_fit(sizes, left, capacity)
+        ratio = np.where(pattern > 0, left / np.maximum(pattern, 1), np.inf)
+        served = int(ratio.argmin())
+        enter(inverse, served, pattern / fill)  # its sizes have columns of their own still, so this is the direction
+        basis[:, served], x[served] = pattern, ratio[served]
+        left = np.maximum(left - x[served] * pattern, 0)
+        left[left < 1e-9 * demand] = 0
+        left[served] = 0
+    return basis, inverse, x
+
+
+def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, rounds: int = 5000) -> list[tuple[np.ndarray, int]]:
     """Patterns (how many of each size) and how often each is used, together exactly the demand.
 
-    The linear program over all patterns is solved by the revised simplex method with generated columns: the prices of
-    the present basis make a knapsack problem whose best pattern enters. It ends at the optimum or when the bound
-    (objective / best worth) proves the gap. Uses are rounded down; what is then left, less than one pattern of each
-    of the basis, is packed first-fit decreasing.
+    The linear program over all patterns is solved by the revised simplex method with generated columns, from a basis of
+    first-fit decreasing patterns: the prices of the present basis make a knapsack problem whose best pattern enters. It
+    ends when the least number that is known to be needed (objective / best worth at any step, or all sizes by the
+    capacity) proves the gap, or after so many rounds; the plan is exact in any case. Uses are rounded down; what is then left, less than one pattern of each of the basis, is
+    packed first-fit decreasing.
     """
     m = len(sizes)
     if not m:
         return []
-    fill = capacity // sizes
-    basis = np.diag(fill).astype(np.float64)
-    inverse, x = np.diag(1.0 / fill), demand / fill
-    for step in range(rounds):
+    basis, inverse, x = first_fit_basis(sizes, demand, capacity)
+    least = float(demand @ sizes) / capacity
+    for _ in range(rounds):
+        if x.sum() <= least * (1 + gap):
+            break
         prices = inverse.sum(axis=0)
         worth, column = best_pattern(sizes, np.maximum(prices, 0), capacity)
-        if worth <= 1 + gap:
-            break
+        least = max(least, x.sum() / worth)
         direction = inverse @ column
         rising = direction > 1e-9
-        if not rising.any():
+        if x.sum() <= least * (1 + gap) or not rising.any():
             break
         ratio = np.where(rising, x / np.where(rising, direction, 1), np.inf)
         out = int(ratio.argmin())
@@ -192,12 +233,7 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
         x = np.maximum(x - theta * direction, 0)
         x[out] = theta
         basis[:, out] = column
-        row = inverse[out] / direction[out]
-        inverse -= np.outer(direction, row)
-        inverse[out] = row
-        if step % 500 == 499:  # rounding errors of the updates
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ demand, 0)
+        enter(inverse, out, direction)
     left = demand.astype(np.int64).copy()
     plan: list[tuple[np.ndarray, int]] = []
     for p in np.argsort(-x, kind="stable"):
@@ -208,11 +244,7 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
             plan.append((pattern, times))
             left -= pattern * times
     while left.any():
-        pattern, room = np.zeros(m, np.int64), capacity
-        for i in range(m - 1, -1, -1):
-            if sizes[i] <= room and left[i]:
-                pattern[i] = min(left[i], room // sizes[i])
-                room -= pattern[i] * sizes[i]
+        pattern = first_fit(sizes, left, capacity).astype(np.int64)
         used = pattern > 0
         times = int((left[used] // pattern[used]).min())
         plan.append((pattern, times))
