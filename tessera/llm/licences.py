@@ -49,16 +49,24 @@ def templates() -> list[tuple[str, bool, list[str], int, int]]:
 
 
 def inverse_frequencies(docs: DataFrame) -> dict[str, float]:
-    """ln((N + 1) / (documents with the word + 1)) of every template word, over all documents."""
+    """ln((N + 1) / (documents with the word + 1)) of every template word, over all documents, in one pass."""
     vocabulary = sorted({w for _, _, words, _, _ in templates() for w in words})
-    seen = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("word"))
+    held = F.array_intersect(words_of(F.col("text")), F.array(*map(F.lit, vocabulary)))
+    seen = docs.select(F.explode(F.concat(F.array(F.lit("")), held)).alias("word"))  # no word: each document once
     counts = {r["word"]: r["n"] for r in seen.groupBy("word").agg(F.count("*").alias("n")).collect()}  # of the vocabulary only
-    total = docs.count()
-    return {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
+    return {w: math.log((counts.get("", 0) + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
+
+
+#: Words of each template that are posted: of its key phrase, and of all of it, those of the highest inverse document frequency.
+KEYED, POSTED = 2, 3
+
+
+def posted_words(words: list[str], at: int, length: int, idf: dict[str, float]) -> list[int]:
+    """The words of a template that are posted. Two of its key phrase always are, so the phrase is found wherever it stands whole."""
+    rarest = lambda some, n: sorted(some, key=lambda i: (-idf[words[i]], i))[:n]
+    return sorted({*rarest(range(at, at + length), KEYED), *rarest(range(len(words)), POSTED)})
 
 
-#: Words of each template that are posted, at most: those of the highest inverse document frequency.
-POSTED = 3
 #: A hit as one number: template, and start of the template in the text plus SHIFT.
 STRIDE, SHIFT = 1 << 40, 1 << 20
 
@@ -72,11 +80,11 @@ def licence_scan(docs: DataFrame) -> DataFrame:
     """Licence phrases of every whole text: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     docs: doc_id, text; other columns are ignored; repeated rows each give a row; rows without a doc_id are left out. Of
-    every template the POSTED words of the highest inverse document frequency in this corpus are posted with their
-    places. Each such word of a text puts its templates at a start relative to it; the postings of one template are
-    intersected by that start: at least two of them (or all, if there are fewer) must agree there. The score is the
+    every template the KEYED words of its key phrase and the POSTED words of all of it that have the highest inverse document
+    frequency in this corpus are posted with their places. Each such word of a text puts its templates at a start relative
+    to it; the postings of one template are intersected by that start: at least two of them must agree there. The score is the
     share of the template's inverse frequencies whose words agree, at best (0 to 1), also where a word of it is altered;
-    the label needs the mandatory key phrase whole. Base places are all positions of the base phrases; without one
+    the label is given wherever the mandatory key phrase stands whole, whatever else the corpus holds. Base places are all positions of the base phrases; without one
     first_word and last_word are null and base_labels is empty. Null and empty texts have no words; an empty table gives an
     empty result. Everything is one expression on the row: nothing is exploded, joined or shuffled.
     """
@@ -84,7 +92,7 @@ def licence_scan(docs: DataFrame) -> DataFrame:
     postings: dict[str, list[tuple[int, int]]] = {}
     described = []
     for number, (label, base, words, at, length) in enumerate(templates()):
-        rarest = sorted(sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))[:POSTED])  # noqa: B023
+        rarest = posted_words(words, at, length, idf)
         for i in rarest:
             postings.setdefault(words[i], []).append((number, i))
         weights = [idf[w] + 1e-9 for w in words]
@@ -99,7 +107,7 @@ def licence_scan(docs: DataFrame) -> DataFrame:
             stands = lambda i: F.coalesce(F.get(words, start + i) == F.get(t["words"], i), F.lit(False))
             agreeing = F.size(F.filter(t["rare"], stands))
             share = F.aggregate(F.transform(t["weights"], lambda w, i: F.when(stands(i), w).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-            return F.when(agreeing >= F.least(F.size(t["rare"]), F.lit(2)), F.struct(start.cast("long").alias("start"), t["label"].alias("label"), t["base"].alias("base"), F.forall(t["key"], stands).alias("whole"), share.alias("score")))
+            return F.when(agreeing >= 2, F.struct(start.cast("long").alias("start"), t["label"].alias("label"), t["base"].alias("base"), F.forall(t["key"], stands).alias("whole"), share.alias("score")))
 
         return bound(F.get(shape, F.floor(hit / STRIDE).cast("int")), judged)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common, features
@@ -17,7 +17,7 @@ from tessera.llm.ftrl import Ftrl
 SAMPLE = 6000
 #: Updates that a small sample is repeated for.
 UPDATES = 12_000
-#: Bytes of text that a model is fitted on, at most; further rows are left out, a first one never.
+#: Bytes of text that a model is fitted on, at most; rows that do not fit are left out.
 TRAINING_BYTES = 64_000_000
 THRESHOLD = 0.3
 
@@ -67,14 +67,24 @@ def held_out(doc_id) -> F.Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: F.Column, most: int = SAMPLE, size: int = TRAINING_BYTES) -> tuple[list[bytes], np.ndarray]:
-    """Whole texts and labels of at most `most` rows and `size` bytes that are not held out, in the order of a hash of doc_id."""
+    """Whole texts and labels of at most `most` rows and `size` bytes that are not held out, in the order of a hash of doc_id.
+
+    A row that does not fit into the bytes left is passed over, later ones still count. Rows that are the same in doc_id, label
+    and text count once. The lengths of `most` rows reach the driver first, then the texts of those taken.
+    """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label.cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     labels = labels.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    rows = texts.join(F.broadcast(labels), "doc_id")  # the labels are bounded by `most`
-    ahead = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "text").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("ahead", F.coalesce(F.sum(F.octet_length("text")).over(ahead), F.lit(0))).where(F.col("ahead") + F.coalesce(F.octet_length("text"), F.lit(0)) <= F.greatest(F.lit(size), F.when(F.col("ahead") == 0, F.octet_length("text")))).drop("ahead").toArrow()
-    order = np.lexsort((rows.column("label").to_numpy(), rows.column("doc_id").to_numpy() * 2654435761 % 2**31))
+    rows = texts.join(F.broadcast(labels), "doc_id").withColumns({"tie": F.xxhash64("text"), "n": F.coalesce(F.octet_length("text"), F.lit(0))})  # the labels are bounded by `most`
+    first = rows.select("doc_id", "label", "tie", "n").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label", "tie").limit(most).collect()
+    taken, used = [], 0
+    for r in first:
+        if used + r["n"] <= size:
+            taken.append((r["doc_id"], r["label"], r["tie"]))
+            used += r["n"]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long, label int, tie long"))
+    rows = rows.drop("n").join(chosen, ["doc_id", "label", "tie"]).dropDuplicates(["doc_id", "label", "tie"]).toArrow()
+    order = np.lexsort((rows.column("tie").to_numpy(), rows.column("label").to_numpy(), rows.column("doc_id").to_numpy() * 2654435761 % 2**31))
     held = rows.column("text").cast(pa.large_binary()).take(pa.array(order)).to_pylist()
     values = rows.column("label").to_numpy()[order]
     del rows

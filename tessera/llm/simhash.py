@@ -22,6 +22,8 @@ BUCKET_ROWS, BLOCK, GROUP_ROWS = 400_000, 4096, 20_000
 SETS_SAMPLE, SAMPLE_CHARS, SET_BYTES, PARTNERS = 2000, 4000, 8_000_000, 250
 #: Masks of a threshold at most.
 MASKS = 600
+#: Pairs that a task holds before it hands them on.
+PAIRS = 2_000_000
 #: Rows of a small side that are broadcast, at most; more are joined by a shuffle.
 BROADCAST = 1_000_000
 #: Texts that are compared in one task; deviations of a distance that rule a pair of sets of LARGE or more shingles out.
@@ -373,8 +375,11 @@ def prefixes(hashes: np.ndarray, count: np.ndarray, similarity: float, known: np
     return hashes[order][held], row[held], place[held]
 
 
-def meet(c: dict[str, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids, the smaller first, of different components that share a key and whose sizes and places allow the similarity."""
+def meet(c: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ids, the smaller first, of different components that share a key and whose sizes and places allow the similarity.
+
+    They come in runs of about PAIRS, each pair once in a run, so a key that very many sets share costs time, not memory.
+    """
     order = np.lexsort((c["ident"], c["comp"], c["key"]))
     c = {k: v[order] for k, v in c.items()}
     key, comp, n = c["key"], c["comp"], c["n"].astype(np.int64)
@@ -393,7 +398,11 @@ def meet(c: dict[str, np.ndarray], similarity: float) -> tuple[np.ndarray, np.nd
         ok = np.minimum(left[a], left[b]) >= similarity / (1 + similarity) * (n[a] + n[b]) - 1e-9
         a, b = c["ident"][a[ok]], c["ident"][b[ok]]
         found = np.unique(np.r_[found, np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)], axis=0)
-    return found[:, 0], found[:, 1]
+        if len(found) > PAIRS:
+            yield found[:, 0], found[:, 1]
+            found = found[:0]
+    if len(found):
+        yield found[:, 0], found[:, 1]
 
 
 def small(rows: DataFrame) -> DataFrame:
@@ -430,11 +439,11 @@ def shared_prefixes(docs: DataFrame, held: DataFrame, ngram: int, similarity: fl
                 out.append((int(bucket[r[0]]), common.pack(key=(key[r] >> np.uint64(32)).astype(np.uint32), ident=ident[row[r]], above=ident[row[r]] - comp[row[r]], n=count[row[r]].astype(np.uint32), place=place[r])))
             yield pa.record_batch([pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["bucket", "payload"])
 
-    @common.tidy_group
-    def probe_bucket(table: pa.Table) -> pa.Table:
-        c = common.unpack_all(table.column("payload").to_pylist())  # 32 bits of a key: a chance meeting is undone by similar()
-        a, b = meet({**c, "comp": c["ident"] - c["above"]}, similarity) if c else (np.zeros(0, np.int64),) * 2
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def probe_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = common.unpack_all([p for batch in batches for p in batch.column("payload").to_pylist()])  # 32 bits of a key: a chance meeting is undone by similar()
+        for a, b in meet({**c, "comp": c["ident"] - c["above"]}, similarity) if c else ():
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        common.release()
 
     sent = held.select("id", "comp", "text").mapInArrow(signatures, "bucket int, payload binary")
     return sent.groupBy("bucket").applyInArrow(probe_bucket, "a long, b long")
@@ -511,10 +520,10 @@ def set_digests(docs: DataFrame, ngram: int, bits: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, digest binary, size long, fingerprint binary")
 
 
-def not_far(pairs: DataFrame, distinct: DataFrame, bits: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) without those of two large sets whose fingerprints are DEVIATIONS standard deviations too far apart."""
+def not_far(pairs: DataFrame, distinct: DataFrame, bits: int, similarity: float, deviations: float = DEVIATIONS) -> DataFrame:
+    """Pairs (a, b) without those of two large sets whose fingerprints are so many standard deviations too far apart."""
     p = radius_of(similarity, bits) / bits
-    most = radius_of(similarity, bits) + math.ceil(DEVIATIONS * math.sqrt(bits * p * (1 - p)))
+    most = radius_of(similarity, bits) + math.ceil(deviations * math.sqrt(bits * p * (1 - p)))
 
     @common.tidy_rows
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -530,12 +539,13 @@ def not_far(pairs: DataFrame, distinct: DataFrame, bits: int, similarity: float)
     return held.select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def jaccard_neardup(docs: DataFrame, ngram: int, similarity: float, bits: int, sure: int) -> DataFrame:
+def jaccard_neardup(docs: DataFrame, ngram: int, similarity: float, bits: int, sure: int, deviations: float = DEVIATIONS) -> DataFrame:
     """(doc_id, component_id): documents whose sets of `ngram`-word shingles have a Jaccard similarity of at least `similarity`.
 
     Fingerprints propose links first, as in simhash_neardup(), one for each document; then every pair of documents not
     yet connected that shares one of the first shingles of its sets is proposed, so no pair of the similarity is missed,
-    but for large sets whose fingerprints are so far apart that the chance is beyond 1e-20. Every proposed link is decided by the Jaccard similarity of the two sets. Equal sets (also two without words) are folded to one;
+    but for large sets whose fingerprints are `deviations` standard deviations too far apart (at ten the chance is beyond
+    1e-20; infinite: none is left out). Every proposed link is decided by the Jaccard similarity of the two sets. Equal sets (also two without words) are folded to one;
     links run over chains and component_id is the smallest doc_id reachable. Rows without a doc_id are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
@@ -549,7 +559,9 @@ def jaccard_neardup(docs: DataFrame, ngram: int, similarity: float, bits: int, s
     copies = prints.select("doc_id").distinct().join(distinct.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
     marks = common.checkpoint(found.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")).unionByName(copies.select("doc_id", F.lit(None).cast("long").alias("comp"))).withColumn("marked", F.lit(True)))
     labelled = docs.join(small(marks), "doc_id", "left").where("marked IS NULL OR comp IS NOT NULL").select(F.col("doc_id").alias("id"), "text", F.coalesce("comp", "doc_id").alias("comp"))
-    other = not_far(shared_prefixes(docs, labelled, ngram, similarity, size), distinct, bits, similarity)
+    other = shared_prefixes(docs, labelled, ngram, similarity, size)
+    if deviations < math.inf:
+        other = not_far(other, distinct, bits, similarity, deviations)
     more = similar(other, docs, ngram, similarity, size)
     found = common.connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = distinct.join(found, distinct.id == found.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))

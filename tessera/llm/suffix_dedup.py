@@ -120,13 +120,15 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     n_spans, kept_sha256 of the bytes left, and the removed runs as starts and ends (bytes). Null and empty texts have
     no bytes; a text shorter than the window loses nothing; repeats inside one document alone stay; an empty table
     gives an empty result. Of equal documents the one with the smallest doc_id stays whole.
-    A repeated row gives the same row again; different texts of one doc_id share their spans.
+    A repeated row gives the same row again; different texts of one doc_id share their spans, as far as each text goes.
     """
     s = repeats.Settings("byte", window, gram, False, True)
     blobs, spans, _ = repeats.spans_of_repeats(docs, s, intervals)
 
     def row(doc_id: int, text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:
         kept, at = hashlib.sha256(), 0
+        ends = np.minimum(ends, len(text))  # of a longer text with the same doc_id
+        starts, ends = starts[starts < ends], ends[starts < ends]
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             kept.update(text[at:a])
             at = b

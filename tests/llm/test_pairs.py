@@ -229,3 +229,31 @@ def test_nearest_neighbours_over_many_lists(spark, monkeypatch):
         best = np.argsort(np.where(np.arange(len(x)) == q, -2, -0 + v @ v[q]))[::-1][:5]
         hits, n = hits + len(found[q] & set(best.tolist())), n + 5
     assert hits >= 0.9 * n
+
+
+def test_exact_setting_of_the_distance(spark):
+    docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    plain = sorted(map(tuple, simhash.jaccard_neardup(docs, 3, 0.8, 256, 20).collect()))
+    assert plain == sorted(map(tuple, simhash.jaccard_neardup(docs, 3, 0.8, 256, 20, deviations=float("inf")).collect()))
+
+
+def test_pairs_of_a_hot_shingle_come_in_runs(monkeypatch):
+    """Every set shares one shingle: all pairs can reach the similarity, and only so many are held at once."""
+    monkeypatch.setattr(simhash, "PAIRS", 50_000)
+    n = 1500
+    c = {"key": np.zeros(n, np.uint32), "ident": np.arange(n), "comp": np.arange(n), "n": np.full(n, 9, np.uint32), "place": np.zeros(n, np.uint32)}
+    runs = [len(a) for a, _ in simhash.meet(c, 0.8)]
+    assert sum(runs) == n * (n - 1) // 2 and max(runs) < 600_000 and len(runs) > 1
+
+
+def test_fifty_thousand_unlike_sets_with_one_shingle_stay_small():
+    import tracemalloc
+
+    n = 50_000
+    c = {"key": np.zeros(n, np.uint32), "ident": np.arange(n), "comp": np.arange(n), "n": (20 * 1.3 ** (np.arange(n) % 25)).astype(np.uint32), "place": np.zeros(n, np.uint32)}
+    c["place"] = (c["n"] // 3).astype(np.uint32)  # what is left after the shared shingle is too little for 0.8
+    tracemalloc.start()
+    assert sum(len(a) for a, _ in simhash.meet(c, 0.8)) == 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500_000_000

@@ -75,3 +75,41 @@ def test_repeated_passages_keep_every_row(spark, tmp_path):
     want = [(1, passage + " " + own(1)), (2, own(2)), (2, own(2)), (3, own(3)), (3, own(4)), (None, own(5)), (None, passage), (4, "")]
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
     assert all(r.n_chars == len(r.text) for r in got)
+
+
+EXTRA = ["kept", "text_sha256", "fingerprint", "bucket", "component_id", "row", "new", "digest", "gone_id", "score"]
+
+
+def test_clashing_columns_pass_every_stage(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"t{rng.randint(0, 9000)}" for _ in range(n))
+    passage, near = text(40), text(60)
+    rows = [(i, text(30)) for i in range(40)] + [(50, passage + " " + text(9)), (51, text(9) + " " + passage), (60, near), (61, near), (61, near), (None, near), (70, None), (71, "")]
+    columns = ["doc_id", "text", "lang", "source", "n_chars", *EXTRA]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, *(f"{c} of {k}" for c in EXTRA)) for k, (i, t) in enumerate(rows)], schema)
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(option)
+    want = {k: (i, t) for k, (i, t) in enumerate(rows)}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns and spark.conf.get(option) == before, name
+        held = docs.collect()
+        for r in held:
+            k = int(r["kept"].split(" of ")[1])
+            assert [r[c] for c in EXTRA] == [f"{c} of {k}" for c in EXTRA] and r["doc_id"] == want[k][0], name
+            if name != "substring_dedup":
+                assert r["text"] == want[k][1]
+    left = {int(r["kept"].split(" of ")[1]): r["text"] for r in held}
+    assert passage not in left[41] and passage in left[40] and left[42] == near and 43 not in left and left[45] == near
+    assert corpus_pipeline.pack(spark, docs, str(tmp_path)).count() >= 40
+
+
+def test_stages_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = none
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.collect() == [], name

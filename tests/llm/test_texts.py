@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, features, licences, packing, quality, repeats, substring_dedup, suffix_dedup, textkit, toxicity
 
@@ -83,6 +84,14 @@ def test_repeated_rows_are_one_document(spark):
     assert suffix_dedup.suffix_dedup(other).count() == 60 == substring_dedup.substring_dedup(other).count()
 
 
+def test_different_texts_of_one_id_lose_no_more_than_they_have(spark):
+    long = "".join(random.Random(1).choice("abcdefgh") for _ in range(300))
+    rows = [(1, long), (2, "0123456789"), (2, "zz" + long), (2, None)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.n_removed <= r.n_bytes and all(0 <= a < b <= r.n_bytes for a, b in zip(r.starts, r.ends)) for r in got)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got) == [(1, 300, 0, 0), (2, 0, 0, 0), (2, 10, 8, 1), (2, 302, 300, 1)]
+
+
 def test_different_contexts_are_not_folded():
     """300,000 texts of one window that differ in the last bytes only: 32 bits of a hash would take some for equal."""
     rng, n, window, gram = np.random.default_rng(3), 300_000, suffix_dedup.WINDOW, suffix_dedup.GRAM
@@ -314,6 +323,19 @@ def test_quality_on_held_out_rows(spark):
     assert quality.quality(docs.limit(0), labels).collect() == []
 
 
+def test_long_rows_do_not_end_the_training_set(spark):
+    rows = [(i, "x" * (900 if i % 3 == 0 else 10), "k", "b", "n", "w", "s", "c", "f", "v") for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows] + [(1, rows[1][1])] * 3 + [(2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    texts, values = quality.labelled(docs, labels, F.col("quality"), 1000, 600)
+    learnt = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    short = [i for i in learnt if i % 3]
+    assert sorted(map(len, texts)) == sorted([10] * len(short) + [0] * (2 in learnt)) and len(values) == len(texts)  # every short row, once; no long one fits
+    assert len(quality.labelled(docs, labels, F.col("quality"), 1000, 1500)[0]) == len(texts) + 1
+    assert len(quality.labelled(docs, labels, F.col("quality"), 5, 10**6)[0]) == 5
+    assert quality.labelled(docs.limit(0), labels, F.col("quality"))[0] == []
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = labelled(spark)
     rows = toxicity.toxicity(docs, labels).collect()
@@ -390,18 +412,28 @@ def test_licence_labels_and_scores_equal_brute_force(spark):
     for d, w in enumerate(split):
         labels, score = set(), 0.0
         for label, _, words, at, length in licences.templates():
-            rare = sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))[: licences.POSTED]
+            rare = licences.posted_words(words, at, length, idf)
             total = sum(idf[x] + 1e-9 for x in words)
             for start in range(-len(words), len(w)):
                 stands = [0 <= start + i < len(w) and w[start + i] == x for i, x in enumerate(words)]
-                if sum(stands[i] for i in rare) >= min(2, len(rare)):
+                if sum(stands[i] for i in rare) >= 2:
                     score = max(score, sum(idf[x] + 1e-9 for x, s in zip(words, stands, strict=True) if s) / total)
-                    if all(stands[at : at + length]):
-                        labels.add(label)
+            phrase = words[at : at + length]
+            if any(w[i : i + length] == phrase for i in range(len(w))):  # whatever the corpus
+                labels.add(label)
         assert got[d].labels == ",".join(sorted(labels)), (held[d], labels)
         assert abs(got[d].score - min(score, 1)) < 1e-9
 
 
+def test_licence_labels_do_not_hang_on_the_corpus(spark):
+    phrases = [(label, " ".join(words[at : at + length])) for label, _, words, at, length in licences.templates()]
+    for others in ([], ["licensed under"] * 3, ["apache license version"] * 40 + ["2 0"] * 40):
+        held = [f"{p}" for _, p in phrases] + others
+        got = {r.doc_id: r.labels.split(",") for r in licences.licence_scan(docs_of(spark, held)).collect()}
+        assert all(label in got[i] for i, (label, _) in enumerate(phrases))
+    assert "apache-2.0" in {r.doc_id: r for r in licences.licence_scan(docs_of(spark, ["apache license, version 2 0", "x", "y"])).collect()}[0].labels
+
+
 def test_empty_tables(spark):
     docs, labels = labelled(spark, 12)
     none = docs.limit(0)
