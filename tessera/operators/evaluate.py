@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import fixed
+from tessera.sources import shared
 
 
 def categories_match(actual: Column, expected: Column, acceptable: Column | None = None) -> Column:
@@ -29,23 +29,26 @@ def match_candidates(expected: DataFrame, actual: DataFrame, tolerance: int = fi
     return e.join(a, ["fixture", "file", "band"]).where(near).select("fixture", "e_ord", "a_ord")
 
 
-def fixture_results(fixtures: DataFrame, expected: DataFrame, actual: DataFrame, tolerance: int = fixed.LINE_TOLERANCE) -> DataFrame:
-    """(fixture, expected, actual, tp, fp, fn): actual findings in order each take the first free expected one.
+def greedy_matches(pairs: DataFrame) -> DataFrame:
+    """(fixture, a_ord, e_ord): of candidate pairs those that a loop over a_ord keeps which takes the least e_ord still free.
 
-    Only matching pairs reach the greedy step, one fixture at a time; its state is one fixture's pairs.
+    All fixtures and findings go at once, in rounds: every a proposes to its least e, an e holds the least a that proposes
+    to it, and pairs of that e with later a go. Earlier findings have the first say at every e, so a held proposal is lost only
+    to an earlier finding, as in the loop, and where no pair goes any more the proposals are the loop's choices. A round
+    is two aggregations and a join, by finding; rounds grow with the longest chain of findings that push each other on.
     """
+    pairs, left = shared.checkpoint(pairs.select("fixture", "a_ord", "e_ord").distinct()), -1
+    while (n := pairs.count()) != left:
+        left = n
+        asked = pairs.groupBy("fixture", "a_ord").agg(F.min("e_ord").alias("e_ord"))
+        held = asked.groupBy("fixture", "e_ord").agg(F.min("a_ord").alias("first"))
+        pairs = shared.checkpoint(pairs.join(held, ["fixture", "e_ord"], "left").where("first IS NULL OR a_ord <= first").select("fixture", "a_ord", "e_ord"))
+    return pairs.groupBy("fixture", "a_ord").agg(F.min("e_ord").alias("e_ord"))
+
 
-    def greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        hits = 0
-        for _, own in pairs.sort_values(["a_ord", "e_ord"]).groupby("a_ord"):
-            free = next((e for e in own["e_ord"] if e not in taken), None)
-            if free is not None:
-                taken.add(free)
-                hits += 1
-        return pd.DataFrame({"fixture": [pairs["fixture"].iloc[0]], "tp": [hits]})
-
-    hits = match_candidates(expected, actual, tolerance).groupBy("fixture").applyInPandas(greedy, "fixture string, tp long")
+def fixture_results(fixtures: DataFrame, expected: DataFrame, actual: DataFrame, tolerance: int = fixed.LINE_TOLERANCE) -> DataFrame:
+    """(fixture, expected, actual, tp, fp, fn): actual findings in order each take the first free expected one."""
+    hits = greedy_matches(match_candidates(expected, actual, tolerance)).groupBy("fixture").agg(F.count("*").alias("tp"))
     counts = fixtures.select("fixture").join(expected.groupBy("fixture").agg(F.count("*").alias("expected")), "fixture", "left").join(actual.groupBy("fixture").agg(F.count("*").alias("actual")), "fixture", "left").join(hits, "fixture", "left").na.fill(0)
     return counts.select("fixture", "expected", "actual", "tp", (F.col("actual") - F.col("tp")).alias("fp"), (F.col("expected") - F.col("tp")).alias("fn"))
 
@@ -135,8 +138,28 @@ def fixture_regressions(current: DataFrame, previous: DataFrame) -> DataFrame:
     return both.select("name", F.explode(what).alias("what"))
 
 
+#: Relative error of the sketch that brackets a percentile is 1 / SKETCH; a bracket reaches MARGIN errors to both sides.
+SKETCH, MARGIN = 10_000, 3
+
+
 def percentile_index(values: DataFrame, column: str, percents: tuple[int, ...], by: str) -> DataFrame:
-    """The value at index ceil(n * p / 100), clamped, of each group's sorted values (one past the nearest rank)."""
-    ranked = values.select(by, column).withColumns({"_r": F.row_number().over(Window.partitionBy(by).orderBy(column)), "_n": F.count("*").over(Window.partitionBy(by))})
-    at = {p: F.least(F.ceil(F.col("_n") * p / 100) + 1, F.col("_n")) for p in percents}
-    return ranked.groupBy(by).agg(*(F.max(F.when(F.col("_r") == at[p], F.col(column))).alias(f"p{p}") for p in percents))
+    """The value at index ceil(n * p / 100), clamped, of each group's sorted values (one past the nearest rank); nulls don't count.
+
+    No group is sorted. A sketch of each group brackets every wanted rank by two values; the rows below a bracket are counted,
+    and only the values inside, some 2 * MARGIN / SKETCH of the group, are added up by value to find the one at the rank.
+    """
+    rows = values.select(F.col(by).alias("g"), F.col(column).alias("v")).where("v IS NOT NULL")
+    wide = [x for p in percents for x in (max(0.0, p / 100 - MARGIN / SKETCH), min(1.0, p / 100 + MARGIN / SKETCH + 1e-9))]
+    held = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", wide, SKETCH).alias("cut"))
+    at = {p: F.least(F.ceil(F.col("n") * p / 100) + 1, F.col("n")) for p in percents}
+    # a rank is one past the percentile's, so a small group's bracket reaches to its ends
+    few = F.col("n") < 2 * SKETCH
+    asked = F.array(*(F.struct(F.lit(p).alias("p"), at[p].cast("long").alias("rank"), F.when(few, F.col("least")).otherwise(F.col("cut")[2 * i]).alias("lo"), F.when(few, F.col("most")).otherwise(F.col("cut")[2 * i + 1]).alias("hi")) for i, p in enumerate(percents)))
+    met = rows.join(held.select(F.col("g").alias("h"), asked.alias("asked")), F.col("g").eqNullSafe(F.col("h")))
+    below = met.groupBy("g").agg(*(F.count_if(F.col("v") < F.col("asked")[i]["lo"]).alias(f"b{i}") for i in range(len(percents))))
+    inside = met.select("g", "v", F.explode(F.filter("asked", lambda a: (F.col("v") >= a["lo"]) & (F.col("v") <= a["hi"]))).alias("a"))
+    inside = inside.groupBy("g", F.col("a.p").alias("p"), F.col("a.rank").alias("rank"), "v").agg(F.count("*").alias("k"))
+    started = below.select(F.col("g").alias("h"), F.explode(F.array(*(F.struct(F.lit(p).alias("q"), F.col(f"b{i}").alias("b")) for i, p in enumerate(percents)))).alias("s")).select("h", "s.q", "s.b")
+    upto = F.sum("k").over(Window.partitionBy("g", "p").orderBy("v")) + F.col("b")
+    found = inside.join(started, F.col("g").eqNullSafe(F.col("h")) & (F.col("p") == F.col("q"))).withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("k") < F.col("rank")))
+    return found.groupBy(F.col("g").alias(by)).agg(*(F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents))

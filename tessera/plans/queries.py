@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera import fixed
 from tessera.functions import jsonx, text
 from tessera.operators import budget, chunks, evaluate, feedback, findings, graph, report, retrieval, summaries, vector
-from tessera.sources import extract, store
+from tessera.sources import extract, files, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -339,9 +339,15 @@ def match_tolerance(spark, sf_dir):
     return evaluate.match_candidates(*event_findings(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {MATCHED}, c AS (SELECT e.fixture, a.event_id AS a_ord, list(e.event_id ORDER BY e.event_id) AS es FROM ev e JOIN ev a ON e.fixture = a.fixture
+      WHERE e.event_id % 3 = 0 AND a.event_id % 3 <> 0 AND abs(e.line - a.line) <= 5 AND (a.cat = e.cat OR {ALIASES}) GROUP BY 1, 2),
+    n AS (SELECT *, row_number() OVER (PARTITION BY fixture ORDER BY a_ord) AS i FROM c),
+    r AS (SELECT DISTINCT fixture, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS taken FROM n
+      UNION ALL SELECT fixture, i, CASE WHEN len(free) > 0 THEN list_append(taken, free[1]) ELSE taken END FROM (SELECT n.fixture, n.i, r.taken, list_filter(n.es, lambda e: NOT list_contains(r.taken, e)) AS free FROM r JOIN n ON n.fixture = r.fixture AND n.i = r.i + 1)),
+    k AS (SELECT fixture, count(*) FILTER (event_id % 3 = 0) AS expected, count(*) FILTER (event_id % 3 <> 0) AS actual FROM ev GROUP BY 1), h AS (SELECT fixture, max(len(taken)) AS tp FROM r GROUP BY 1)
+    SELECT fixture, expected, actual, coalesce(tp, 0) AS tp, actual - coalesce(tp, 0) AS fp, expected - coalesce(tp, 0) AS fn FROM k LEFT JOIN h USING (fixture)""")
 def match_greedy(spark, sf_dir):
-    """The one-to-one matching keeps state; a test compares it with a plain loop."""
+    """The one-to-one matching; the SQL walks the findings of a fixture one by one."""
     expected, actual = event_findings(spark, sf_dir)
     return evaluate.fixture_results(expected.select("fixture").union(actual.select("fixture")).distinct(), expected, actual)
 
@@ -721,3 +727,14 @@ def code_extraction(spark, sf_dir):
     rows = extract.extract(files).groupBy(F.col("path").cast("long").alias("doc_id"), "language")
     count = lambda kind: F.count_if(F.col("kind") == kind)
     return rows.agg(count("import").cast("int").alias("imports"), count("symbol").alias("symbols"), count("reference").alias("calls"), count("error").cast("int").alias("errors"), F.max("end_line").alias("last_line"))
+
+
+@query("SELECT md5(CAST(l_orderkey AS VARCHAR)) || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 8) AS commit, l_orderkey * 100 + l_linenumber AS pos, 'part/' || l_partkey || '.rs' AS file FROM lineitem")
+def commit_log(spark, sf_dir):
+    """A log in which each order is a commit of its parts; every tenth line is blank."""
+    items = table(spark, sf_dir, "lineitem")
+    key = F.md5(F.col("l_orderkey").cast("string").cast("binary"))
+    heads = items.select((F.col("l_orderkey") * 100).alias("line_no"), F.concat(key, F.substring(key, 1, 8)).alias("line")).distinct()
+    lines = items.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("line_no"), F.concat(F.lit("part/"), F.col("l_partkey").cast("string"), F.lit(".rs")).alias("line"))
+    blanks = heads.select(F.col("line_no") + 9, F.lit("  "))
+    return files.commit_files(heads.union(lines).union(blanks))

@@ -19,20 +19,52 @@ RECORD = (
 )
 
 
-def commit_files(log: DataFrame) -> DataFrame:
+#: Lines of a log that one task carries a commit over; what opens a record in a log that write_log() made.
+LOG_LINES, RECORD_MARK = 100_000, "\x1e"
+
+
+def commit_files(log: DataFrame, lines: int = LOG_LINES) -> DataFrame:
     """(commit, pos, file) of the lines (line_no, line) of `git log --name-only --format=%H --no-merges`.
 
-    A line of 40 hexadecimal digits opens a commit; blank lines mean nothing, wherever they stand.
+    A line of 40 hexadecimal digits opens a commit; blank lines mean nothing, wherever they stand. Runs of `lines` line
+    numbers are carried each by itself; what a run takes over from those before comes from one row for each run.
+    """
+    rows = log.where(F.length(F.trim("line")) > 0).withColumns({"sha": F.when(F.col("line").rlike("^[0-9a-f]{40}$"), F.col("line")), "run": F.floor(F.col("line_no") / lines)})
+    last = rows.where("sha IS NOT NULL").groupBy("run").agg(F.max_by("sha", "line_no").alias("last"))
+    starts = rows.select("run").distinct().join(last, "run", "left")
+    over = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # one row for each run of lines
+    starts = starts.select("run", F.last("last", ignorenulls=True).over(over).alias("before"))
+    inside = Window.partitionBy("run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("own", F.last("sha", ignorenulls=True).over(inside)).where("sha IS NULL").join(starts, "run")
+    return rows.select(F.coalesce("own", "before").alias("commit"), F.col("line_no").alias("pos"), F.col("line").alias("file")).where("commit IS NOT NULL")
+
+
+def write_log(repo: str, path: str, limit: int | None = None) -> str:
+    """Streams the log of a local repository to a file of records, each opened by RECORD_MARK; the log is never held whole."""
+    command = ["git", "-C", repo, "log", "--name-only", f"--format={RECORD_MARK}%H", "--no-merges", *([f"-{limit}"] if limit else [])]
+    with open(path, "wb") as out:
+        subprocess.run(command, stdout=out, check=True)
+    return path
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(commit, pos, file) of a file or folder that holds logs of write_log().
+
+    A record is cut at its mark while the file is read, wherever the file is split among tasks, so no line needs what stands
+    before its record. Blank lines mean nothing; a record that does not start with 40 hexadecimal digits is an error;
+    pos counts the files of a commit from 0.
     """
-    rows = log.where(F.length(F.trim("line")) > 0).withColumn("sha", F.when(F.col("line").rlike("^[0-9a-f]{40}$"), F.col("line")))
-    w = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)  # one repository's log
-    rows = rows.withColumn("commit", F.last("sha", ignorenulls=True).over(w)).where("sha IS NULL AND commit IS NOT NULL")
-    return rows.select("commit", F.col("line_no").alias("pos"), F.col("line").alias("file"))
+    records = spark.read.option("lineSep", RECORD_MARK).text(path).where(F.length(F.trim("value")) > 0)
+    parts = F.split("value", "\n")
+    sha = F.trim(F.get(parts, F.lit(0)))
+    checked = F.when(sha.rlike("^[0-9a-f]{40}$"), sha).otherwise(F.raise_error(F.concat(F.lit("no commit opens the record: "), F.substring("value", 1, 80))))
+    files = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda f: F.length(F.trim(f)) > 0)
+    return records.select(checked.alias("commit"), F.posexplode(files).alias("pos", "file")).select("commit", F.col("pos").cast("long").alias("pos"), F.col("file"))
 
 
-def git_log(spark: SparkSession, repo: str) -> DataFrame:
-    out = subprocess.run(["git", "-C", repo, "log", "--name-only", "--format=%H", "--no-merges"], capture_output=True, text=True, check=True).stdout
-    return commit_files(spark.createDataFrame(list(enumerate(out.split("\n"))), "line_no long, line string"))
+def git_log(spark: SparkSession, repo: str, folder: str, limit: int | None = None) -> DataFrame:
+    """read_log() of a local repository's log, by way of a file in `folder`, which on a cluster all machines share."""
+    return read_log(spark, write_log(repo, os.path.join(folder, "log.txt"), limit))
 
 
 def load_history(spark: SparkSession, path: str) -> DataFrame:
@@ -41,7 +73,7 @@ def load_history(spark: SparkSession, path: str) -> DataFrame:
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], RECORD + ", ord long")
     held = spark.read.schema(RECORD).option("mode", "FAILFAST").json(path)
-    return held.withColumn("ord", F.row_number().over(Window.orderBy("timestamp", F.monotonically_increasing_id())).cast("long"))
+    return held.withColumn("ord", F.row_number().over(Window.orderBy("timestamp", F.monotonically_increasing_id())).cast("long"))  # a row for each evaluation
 
 
 def save_record(records: DataFrame, path: str) -> None:
