@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera import fixed
 from tessera.functions import jsonx, text
-from tessera.operators import budget, evaluate, findings, report, retrieval
+from tessera.operators import budget, evaluate, findings, report, retrieval, vector
+from tessera.plans import embed
+from tessera.plans.summarise import Stats, summarise
 from tessera.sources.connectors import ChatModel, CodeHost, ProviderError, complete_column
 from tessera.sources.store import Store
 
@@ -85,30 +87,57 @@ def changed_and_related(changed: DataFrame, related: DataFrame) -> DataFrame:
     return first.select("path", F.row_number().over(Window.orderBy("at")).alias("ord"))  # one change's paths
 
 
-def review_change(spark: SparkSession, model: ChatModel, store: Store, diff: str, contents: DataFrame, max_files: int = fixed.MAX_FILES, max_tokens: int = fixed.MAX_TOKENS, reserve: int = fixed.RESERVE_TOKENS, conventions: str | None = None) -> Review:
+def review_change(spark: SparkSession, model: ChatModel, store: Store, diff: str, contents: DataFrame, max_files: int = fixed.MAX_FILES, max_tokens: int = fixed.MAX_TOKENS, reserve: int = fixed.RESERVE_TOKENS, conventions: str | None = None, embedder: vector.Embedder | None = None, summary_model: ChatModel | None = None, weights: dict[str, float] | None = None) -> Review:
     """A review that starts from a diff, the stored graph and the files' texts (path, content): related files are retrieved,
-    packed into the budget and shown with the change."""
+    packed into the budget and shown with the change.
+
+    With a summary_model, changed files without a summary get one first, and after the ranking the related files that would
+    be shown. With an embedder, the vectors that stored summaries and chunks lack are made before the ranking, so all four kinds
+    of evidence count; without one, only structure and names do.
+    """
     one = spark.createDataFrame([(diff,)], "diff string")
     paths = one.select(F.posexplode(text.changed_paths(F.col("diff"))).alias("ord", "path"))
     names = one.select(F.explode(text.diff_identifiers(F.col("diff"))).alias("name"))
+    changed_paths = [r["path"] for r in paths.orderBy("ord").collect()]  # one change's
     files = store.read("files")
     changed = files.join(paths, "path").select("id", "path")
+    if summary_model:
+        summarise_missing(store, contents, summary_model, changed_paths)
+    vectors = summaries = chunks = None
+    if embedder:
+        embed.embed_store(store, embedder)
+        vectors = embed.changed_vectors(store, changed, embedder)
+        summaries, chunks = embed.stored_vectors(store)
     pairs = store.read("cochange").select(F.col("file_id_a").alias("file_a"), F.col("file_id_b").alias("file_b"), "correlation", "commit_count")
-    ranked = retrieval.retrieve(changed, files, store.read("imports"), pairs, store.read("symbols"), store.read("refs"), names)
+    ranked = retrieval.retrieve(changed, files, store.read("imports"), pairs, store.read("symbols"), store.read("refs"), names, summaries, chunks, vectors, weights)
     ranked = ranked.join(paths, "path", "left_anti").orderBy(F.desc("score"), "path")
-    wanted = changed_and_related(paths, ranked.limit(2 * max_files))
-    summaries = files.join(store.read("summaries").where("level = 'file'").select(F.col("file_id").alias("id"), "summary"), "id").select("path", "summary")
-    held = {r["path"]: r for r in contents.join(wanted, "path").join(summaries, "path", "left").select("path", "content", "summary").collect()}  # bounded by max_files
+    related = [r.asDict() for r in ranked.select("path", "score").limit(2 * max_files).collect()]
+    shown = list(dict.fromkeys([*changed_paths, *(r["path"] for r in related)]))
+    if summary_model:
+        summarise_missing(store, contents, summary_model, shown)
+    told = files.where(F.col("path").isin(shown)).join(store.read("summaries").where("level = 'file'").select(F.col("file_id").alias("id"), "summary"), "id").select("path", "summary")
+    texts = contents.where(F.col("path").isin(shown)).select("path", "content")
+    held = {r["path"]: r for r in texts.join(told, "path", "full").select("path", "content", "summary").collect()}  # bounded by max_files
 
     def row(path: str, **more) -> dict:
         r = held.get(path)
         return {"path": path, "content": r["content"] if r else None, "summary": r["summary"] if r else None} | more
 
-    related = [row(r["path"], score=r["score"]) for r in ranked.limit(2 * max_files).collect()]
-    package = budget.build_context(diff, [row(r["path"]) for r in paths.orderBy("ord").collect()], related, max_tokens, reserve, max_files)
+    package = budget.build_context(diff, [row(p) for p in changed_paths], [row(r["path"], score=r["score"]) for r in related], max_tokens, reserve, max_files)
     return review(spark, model, diff, package, contents, max_tokens - reserve, conventions)
 
 
+def summarise_missing(store: Store, contents: DataFrame, model: ChatModel, paths: list[str]) -> Stats | None:
+    """Summaries of the indexed files among the paths that have none; None if all have one."""
+    files = store.read("files").where(F.col("path").isin(paths)).select("id", "path")
+    have = store.read("summaries").where("level = 'file'").select(F.col("file_id").alias("id"))
+    lacking = [r["path"] for r in files.join(have, "id", "left_anti").select("path").collect()]  # bounded by the paths
+    if not lacking:
+        return None
+    rows = store.spark.createDataFrame([(p,) for p in lacking], "path string")
+    return summarise(store, contents.where(F.col("path").isin(lacking)), model, paths=rows)
+
+
 def publish(host: CodeHost, result: Review, changed: list[str], counts: dict[str, int]) -> None:
     """Posts the findings and a summary, and resolves earlier findings that are gone."""
     spark = result.findings.sparkSession

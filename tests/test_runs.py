@@ -2,8 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from tessera.operators import budget
-from tessera.plans import review, summarise
+from tessera.operators import budget, vector
+from tessera.plans import embed, review, summarise
 from tessera.sources import connectors, files, hosts, store
 
 FINDING = {"file": "a.py", "start_line": 2, "end_line": None, "category": "logic", "confidence": 0.9, "evidence": "`run_it` fails", "explanation": "wrong", "impact": "crash", "suggestion": None}
@@ -48,6 +48,40 @@ def test_review_from_a_diff(spark, tmp_path):
     assert [r.path for r in review.changed_and_related(paths, ranked).orderBy("ord").collect()] == ["z", "a", "n", "m"]
 
 
+def test_review_finds_files_by_their_vectors(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"))
+    names = ["a.py", "near.py", "code.py", "far.py"]
+    s.append("files", spark.createDataFrame([(i, n, "h", "python") for i, n in enumerate(names)], "id long, path string, hash string, language string").withColumn("indexed_at", F.current_timestamp()))
+    s.append("symbols", spark.createDataFrame([(10 + i, i, f"f{i}", "function", 1, 1, "") for i in range(4)], store.TABLES["symbols"]))
+    s.append("code_chunks", spark.createDataFrame([(100, 0, 1, 1, "alpha beta gamma", "h"), (102, 2, 1, 1, "alpha beta gamma", "h"), (103, 3, 1, 1, "omega psi chi", "h")], store.TABLES["code_chunks"]))
+    contents = spark.createDataFrame([("a.py", "run_it = 1\n"), ("near.py", "from_near = 2"), ("code.py", "from_code = 3"), ("far.py", "from_far = 4")], "path string, content string")
+
+    class Describes:  # local, so that it travels to the workers by value
+        def complete(self, system, user, max_tokens=None):
+            if "far.py" in user:
+                return "something else altogether"
+            return "loads the settings of a tool" if "the file" in user.split("\n")[0] and "code.py" not in user else "one part"
+
+    class Listens(connectors.ScriptedChat):
+        def complete(self, system, user, max_tokens=None):
+            seen.append(user)
+            return ANSWER
+
+    seen = []
+    review.review_change(spark, Listens({}), s, DIFF, contents)
+    assert not any(n in seen[0] for n in ("from_near", "from_code", "from_far")) and s.read("summary_embeddings").count() == 0
+    summarised = review.summarise_missing(s, contents, Describes(), ["near.py", "far.py", "none.py"])
+    assert summarised.files == 2 and review.summarise_missing(s, contents, Describes(), ["near.py"]) is None
+    embedder = vector.HashingEmbedder(64)
+    review.review_change(spark, Listens({}), s, DIFF, contents, embedder=embedder, summary_model=Describes())
+    assert "from_near" in seen[1]  # by its summary's vector alone
+    assert "from_code" in seen[1]  # by its code's vector alone
+    assert {r.file_id for r in s.read("summaries").where("level = 'file'").collect()} >= {0, 1, 2}  # the changed and the shown have one now
+    again = embed.embed_store(s, embedder)
+    assert again.chunks == 0 and embed.embed_store(s, embedder) == embed.Embedded()
+    assert s.read("code_embeddings").count() == 3 and s.read("summary_embeddings").count() == s.read("summaries").count()
+
+
 def test_pressure_shrinks_the_prompt(spark):
     sizes = []
 
