@@ -33,3 +33,22 @@ def refresh_chunks(stored: DataFrame, fresh: DataFrame, key: str = "file_id") ->
     same = unchanged_files(stored, fresh, key)
     new = fresh.join(same, key, "left_anti")
     return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+#: Why a file of a scan is not chunked, in the order in which it is asked.
+SKIPPED = ("no_language", "no_text", "too_large", "empty")
+
+
+def scan(files: DataFrame, stored: DataFrame, size: int = fixed.CHUNK_LINES, overlap: int = fixed.CHUNK_OVERLAP) -> tuple[DataFrame, DataFrame]:
+    """A chunking scan of files (file_id, language, content) against the stored chunks: the new chunks of changed files, and one row of counters.
+
+    Chunks come in the order of file_id and start_line. Counters: files, each of SKIPPED, unchanged (their chunks are stored
+    as they would come out), chunked (files), chunks. A stored file that is no longer chunked is not counted as unchanged.
+    """
+    why = F.when(F.coalesce(F.length("language"), F.lit(0)) == 0, SKIPPED[0]).when(F.col("content").isNull(), SKIPPED[1]).when(F.octet_length("content") > fixed.MAX_FILE_BYTES, SKIPPED[2]).when(F.length("content") == 0, SKIPPED[3])
+    counts = files.select(why.alias("why")).agg(F.count("*").alias("files"), *(F.count_if(F.col("why") == w).alias(w) for w in SKIPPED))
+    fresh = line_chunks(eligible(files).select("file_id", "content"), size, overlap)
+    same = unchanged_files(stored, fresh)
+    new = fresh.join(same, "file_id", "left_anti")
+    made = new.agg(F.count_distinct("file_id").alias("chunked"), F.count("*").alias("chunks"))
+    return new.orderBy("file_id", "start_line"), counts.join(F.broadcast(same.agg(F.count("*").alias("unchanged")))).join(F.broadcast(made))  # one row each

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera import fixed
 from tessera.functions import jsonx, text
-from tessera.operators import budget, chunks, evaluate, feedback, findings, graph, report, retrieval, summaries, vector
-from tessera.sources import extract, files, store
+from tessera.operators import budget, chunks, evaluate, feedback, findings, graph, pages, report, retrieval, summaries, vector
+from tessera.sources import extract, files, shared, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -422,8 +422,9 @@ def batch_plan(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_custkey, o_orderkey LIMIT 500 OFFSET 1000")
 def paged_scan(spark, sf_dir):
-    """One page of a scan by a unique key; Spark itself needs no paging."""
-    return table(spark, sf_dir, "orders").orderBy("o_custkey", "o_orderkey").offset(1000).limit(500).select("o_orderkey", "o_custkey", "o_totalprice")
+    """The third page of 500 rows; only the parts that hold it are read."""
+    made = pages.write_pages(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_custkey", "o_orderkey"], shared.scratch(spark, "pages"))
+    return made.page(2, 500)
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -738,3 +739,15 @@ def commit_log(spark, sf_dir):
     lines = items.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("line_no"), F.concat(F.lit("part/"), F.col("l_partkey").cast("string"), F.lit(".rs")).alias("line"))
     blanks = heads.select(F.col("line_no") + 9, F.lit("  "))
     return files.commit_files(heads.union(lines).union(blanks))
+
+
+@query(f"""WITH old AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN '' ELSE '!' END AS text FROM documents), new AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0), {chunks_sql(50, 40, "new")}, {chunks_sql(50, 40, "old", "o")},
+    b AS (SELECT doc_id, count(*) AS n, list_sort(list(sha256(content))) AS h FROM c GROUP BY 1), bo AS (SELECT doc_id, list_sort(list(sha256(content))) AS h FROM co GROUP BY 1), j AS (SELECT b.doc_id, b.n, coalesce(b.h = bo.h, false) AS same FROM b LEFT JOIN bo USING (doc_id))
+    SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM documents WHERE doc_id % 7 = 0) AS no_language, (SELECT count(*) FROM new WHERE text IS NULL) AS no_text, CAST(0 AS BIGINT) AS too_large, (SELECT count(*) FROM new WHERE text = '') AS empty,
+    count(*) FILTER (same) AS unchanged, count(*) FILTER (NOT same) AS chunked, CAST(coalesce(sum(n) FILTER (NOT same), 0) AS BIGINT) AS chunks FROM j""")
+def chunk_scan(spark, sf_dir):
+    """Documents as files, some without a language or text; two of three had other text when their chunks were stored."""
+    docs = table(spark, sf_dir, "documents")
+    stored = chunks.line_chunks(docs.select(F.col("doc_id").alias("file_id"), F.concat("text", F.when(F.col("doc_id") % 3 == 0, "").otherwise("!")).alias("content")))
+    now = docs.select(F.col("doc_id").alias("file_id"), F.when(F.col("doc_id") % 7 != 0, F.col("lang")).alias("language"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("text")).alias("content"))
+    return chunks.scan(now, stored)[1]

@@ -7,7 +7,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluate
+from tessera.operators import chunks, evaluate, pages
 from tessera.sources import files
 
 
@@ -130,3 +130,39 @@ def test_greedy_matching_of_one_large_fixture(spark):
             free.add(e)
             want[a] = e
     assert got == want
+
+
+def test_pages_read_only_their_parts(spark, tmp_path):
+    rng = random.Random(0)
+    rows = [(rng.choice(["a", "b", "ü", None]), rng.randrange(30), i) for i in range(2000)]  # keys that repeat
+    made = pages.write_pages(spark.createDataFrame(rows, "k string, n long, v long"), ["k", "n"], str(tmp_path / "p"), 150)
+    assert len(made) == 2000 and len(made.parts) >= 10
+    seen = []
+    for number in range(0, 9):
+        page = made.page(number, 260)
+        assert len({f.split("part=")[1].split("/")[0] for f in page.inputFiles()}) <= 4
+        seen += [tuple(r) for r in page.collect()]
+    assert sorted(seen, key=str) == sorted(rows, key=str) and len(seen) == 2000
+    order = [pages.rank(r[:2]) for r in seen]
+    assert order == sorted(order)
+    assert made.page(8, 260).count() == 0 and made.page(7, 260).count() == 180
+    again = pages.Pages(spark, str(tmp_path / "p"), ["k", "n"])
+    assert [tuple(r) for r in again.page(3, 260).collect()] == seen[780:1040]
+    key, walked = (None, -1), []
+    while part := [tuple(r) for r in again.after(key, 400).collect()]:
+        assert all(pages.rank(r[:2]) > pages.rank(key) for r in part)
+        walked += part
+        key = part[-1][:2]
+        walked += [r for r in seen if r[:2] == key and r not in part]  # the rest of a key that a page was cut in
+    assert sorted(walked, key=str) == sorted(rows, key=str)
+    none = pages.write_pages(spark.createDataFrame([], "k string, n long"), ["k"], str(tmp_path / "none"))
+    assert len(none) == 0 and none.page(0, 10).count() == 0
+
+
+def test_chunking_scan_counts_what_it_skips(spark):
+    rows = [(1, "py", "a\nb"), (2, "py", "c"), (3, None, "x"), (4, "", "x"), (5, "py", None), (6, "py", ""), (7, "py", "z" * 1_000_001)]
+    files_ = spark.createDataFrame(rows, "file_id long, language string, content string")
+    stored = chunks.line_chunks(spark.createDataFrame([(1, "a\nb"), (2, "old"), (9, "gone")], "file_id long, content string"))
+    new, counts = chunks.scan(files_, stored)
+    assert [(r.file_id, r.content) for r in new.collect()] == [(2, "c")]
+    assert counts.first().asDict() == {"files": 7, "no_language": 2, "no_text": 1, "too_large": 1, "empty": 1, "unchanged": 1, "chunked": 1, "chunks": 1}
