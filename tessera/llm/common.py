@@ -57,10 +57,15 @@ caches: list[Callable[[], None]] = []
 def release() -> None:
     """Hand free memory back to the system: workers and the driver live on, and would keep the peak of every stage through all later ones.
 
-    Memories of other stages are emptied first; a stage that uses one ends its tasks without release().
+    Memories of other stages are emptied first; a stage that uses one ends its tasks with trim().
     """
     for empty in caches:
         empty()
+    trim()
+
+
+def trim() -> None:
+    """release() for the stage that a memory belongs to: free memory goes back, the memory stays."""
     try:
         with open("/proc/self/statm") as f:
             if int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") < HELD:
@@ -68,9 +73,9 @@ def release() -> None:
     except OSError:  # not Linux
         return
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim:
-        trim(0)
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if give_back:
+        give_back(0)
 
 
 def tidy_rows(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

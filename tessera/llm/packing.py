@@ -20,9 +20,9 @@ LENGTH, GRID, END = 2048, 4, 1
 #: Stop when the plan is proven to be within this share of the least possible number of sequences.
 GAP = 1e-3
 #: Bytes of words and ids that a worker remembers; the memory is emptied before the next texts when full, which changes no result.
-REMEMBERED = 150_000_000
+REMEMBERED = 120_000_000
 #: Characters of the texts that are encoded together; a longer text is encoded alone.
-TOGETHER = 8_000_000
+TOGETHER = 4_000_000
 #: Pieces for each bucket of a length class's ranking.
 BUCKET_ROWS = 20_000
 #: Python's white space holds four separators more than the tokenizer's; texts with them are encoded whole.
@@ -137,6 +137,7 @@ def cut(docs: DataFrame, path: str, length: int, tokens: bool) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+        common.trim()
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
     return docs.mapInArrow(run, PIECE)
