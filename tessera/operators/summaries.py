@@ -55,5 +55,12 @@ def file_levels(symbols: DataFrame, summaries: DataFrame) -> DataFrame:
 
 
 def cost(rows: DataFrame, per_million_in: float, per_million_out: float) -> DataFrame:
-    """Adds the cost of each call: characters / 4 are tokens."""
-    return rows.withColumn("cost", (F.length("prompt") / 4 * per_million_in + F.length("response") / 4 * per_million_out) / 1e6)
+    """Adds the cost of each call: characters / 4 are tokens; a null prompt or response has none."""
+    tokens = lambda c: F.coalesce(F.length(c), F.lit(0)) / 4
+    return rows.withColumn("cost", (tokens("prompt") * per_million_in + tokens("response") * per_million_out) / 1e6)
+
+
+def extrapolate(priced: DataFrame, units: tuple[int, ...]) -> DataFrame:
+    """(units, calls, cost, per_unit): what so many units would cost at the mean of the priced calls (cost); no calls: no rows."""
+    mean = priced.agg(F.count("*").alias("calls"), F.avg("cost").alias("per_unit")).where("calls > 0")
+    return mean.select(F.explode(F.array(*(F.lit(u).cast("long") for u in units))).alias("units"), "calls", "per_unit").select("units", "calls", (F.col("units") * F.col("per_unit")).alias("cost"), "per_unit")

@@ -626,22 +626,23 @@ def retrieve_ranked(spark, sf_dir):
     return retrieval.retrieve(**t, min_correlation=0.1).withColumn("score", F.round("score", 6))
 
 
-@query("""SELECT p_partkey, 'f' || p_partkey % 7 AS path, p_partkey % 4 + 1 AS hunks FROM part UNION ALL SELECT p_partkey, 'q', CAST(1 AS BIGINT) FROM part""")
+@query("""SELECT doc_id, 'src/' || source AS path, len(string_split(text, chr(10))) + 1 AS hunks FROM documents UNION ALL SELECT doc_id, 'q', CAST(1 AS BIGINT) FROM documents""")
 def hunk_counts(spark, sf_dir):
-    """The hunk of a deleted file counts for the file before it."""
-    key = F.col("p_partkey")
-    diff = F.concat(F.lit("@@ before any file @@\n--- a/x\n+++ b/f"), (key % 7).cast("string"), F.lit("\n"), F.expr("repeat('@@ -1 +1 @@\n+x\n', int(p_partkey % 4))"), F.lit("--- a/gone\n+++ /dev/null\n@@ -1 +0,0 @@\n-y\n+++ q\n@@\n"))
-    return budget.hunk_counts(table(spark, sf_dir, "part").select("p_partkey", diff.alias("diff")), "p_partkey")
+    """Each document as a diff in which every line is a hunk. The hunk of a deleted file counts for the file before it."""
+    added = F.array_join(F.transform(F.split("text", "\n"), lambda line: F.concat(F.lit("@@ -1 +1 @@\n+"), line)), "\n")
+    diff = F.concat(F.lit("@@ before any file @@\n--- a/x\n+++ b/src/"), "source", F.lit("\n"), added, F.lit("\n--- a/gone\n+++ /dev/null\n@@ -1 +0,0 @@\n-y\n+++ q\n@@\n"))
+    return budget.hunk_counts(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", diff.alias("diff")), "doc_id")
 
 
 BODIES = ("", "rate limit docs", "Upstream Request Timeout", "operation timed out", "capacity", "Server overloaded!", "provider capacity")
 
 
-@query(f"""WITH f AS (SELECT event_id, ([429, 503, 500, 408, 501])[1 + CAST(event_id % 5 AS INT)] AS status, lower(({list_sql(BODIES)})[1 + CAST(event_id % 7 AS INT)]) AS body FROM events)
-    SELECT event_id, CASE WHEN status = 429 THEN 'rate_limited' WHEN status IN (408, 502, 503, 504) OR {contains_sql('body', fixed.PRESSURE_PHRASES)} THEN 'provider_pressure' ELSE 'server_error' END AS kind FROM f""")
+@query(f"""WITH f AS (SELECT conv_id, turn, ([429, 503, 500, 408, 501])[1 + CAST((conv_id + turn) % 5 AS INT)] AS status, lower(text || ({list_sql(BODIES)})[1 + CAST(conv_id % 7 AS INT)]) AS body FROM conversations)
+    SELECT conv_id, turn, CASE WHEN status = 429 THEN 'rate_limited' WHEN status IN (408, 502, 503, 504) OR {contains_sql('body', fixed.PRESSURE_PHRASES)} THEN 'provider_pressure' ELSE 'server_error' END AS kind FROM f""")
 def failure_kinds(spark, sf_dir):
-    nth = lambda v, n: F.element_at(F.array(*map(F.lit, v)), (F.col("event_id") % n + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", text.failure_kind(nth((429, 503, 500, 408, 501), 5), nth(BODIES, 7)).alias("kind"))
+    """Turns as the bodies of failed answers; six of seven end with a phrase that may tell pressure."""
+    nth = lambda v, n: F.element_at(F.array(*map(F.lit, v)), (n % len(v) + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.failure_kind(nth((429, 503, 500, 408, 501), F.col("conv_id") + F.col("turn")), F.concat("text", nth(BODIES, F.col("conv_id")))).alias("kind"))
 
 
 @query("""WITH b AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ord, 6 + user_id % 5 AS size, CASE WHEN user_id % 4 = 0 THEN event_id % 2 ELSE event_id * 7 % (4 + user_id % 7) END AS errors FROM events),
@@ -751,3 +752,11 @@ def chunk_scan(spark, sf_dir):
     stored = chunks.line_chunks(docs.select(F.col("doc_id").alias("file_id"), F.concat("text", F.when(F.col("doc_id") % 3 == 0, "").otherwise("!")).alias("content")))
     now = docs.select(F.col("doc_id").alias("file_id"), F.when(F.col("doc_id") % 7 != 0, F.col("lang")).alias("language"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("text")).alias("content"))
     return chunks.scan(now, stored)[1]
+
+
+@query("""WITH c AS (SELECT (length(text) / 4 * 3.0 + length(role) / 4 * 15.0) / 1e6 AS cost FROM conversations), m AS (SELECT count(*) AS calls, avg(cost) AS per_unit FROM c)
+    SELECT units, calls, round(units * per_unit, 6) AS cost FROM m, (SELECT unnest([1000, 5000, 10000])::BIGINT AS units)""")
+def cost_extrapolation(spark, sf_dir):
+    """Turns as prompts and their roles as answers, priced and carried on to more calls."""
+    calls = table(spark, sf_dir, "conversations").select(F.col("text").alias("prompt"), F.col("role").alias("response"))
+    return summaries.extrapolate(summaries.cost(calls, 3.0, 15.0), (1000, 5000, 10_000)).select("units", "calls", F.round("cost", 6).alias("cost"))

@@ -73,3 +73,29 @@ def test_balanced_objects_ignore_braces_in_strings():
 def test_sanitize():
     assert jsonx.sanitize("Let me think. The lock is never released.") == "The lock is never released."
     assert jsonx.sanitize("Actually fine") == "Actually fine"
+
+
+def test_small_texts(spark):
+    long = "é" * 501
+    got = one(spark, F.struct(text.percent(F.lit(0.1256)).alias("p"), text.truncate_chars(F.col("t")).alias("t"), text.load_failure_kind(F.lit("HTTP status 429 Too Many Requests")).alias("k"), text.load_failure_kind(F.lit(None).cast("string")).alias("n")), t=long)
+    assert (got.p, got.t, got.k, got.n) == ("12.6%", "é" * 500 + "...", "rate_limited", "other")
+    for stamp in ("2024-03-05T06:07:08Z", "2024-03-05T06:07:08+00:00", "2024-03-05 06:07:08"):
+        assert one(spark, text.experiment_name(F.col("s"), F.col("t")), s="abcdef0123456", t=stamp) == "abcdef0-20240305-060708"
+
+
+def test_clean_stays_inside(tmp_path):
+    from tessera.sources import files
+
+    (tmp_path / "repo" / ".tessera" / "x").mkdir(parents=True)
+    (tmp_path / "out").mkdir()
+    assert files.clean(str(tmp_path / "repo"), (".tessera", "../out", ".", "none")) == [str((tmp_path / "repo" / ".tessera").resolve())]
+    assert (tmp_path / "out").exists() and (tmp_path / "repo").exists() and not (tmp_path / "repo" / ".tessera").exists()
+
+
+def test_costs(spark):
+    from tessera.operators import summaries
+
+    rows = summaries.cost(spark.createDataFrame([("a" * 400, "b" * 40), (None, "c" * 40)], "prompt string, response string"), 3.0, 15.0)
+    got = {r.units: (r.calls, round(r.cost, 9)) for r in summaries.extrapolate(rows, (2, 1000)).collect()}
+    assert got == {2: (2, round((100 * 3 + 2 * 10 * 15) / 1e6, 9)), 1000: (2, round(500 * (100 * 3 + 2 * 10 * 15) / 1e6, 9))}
+    assert summaries.extrapolate(rows.limit(0), (1,)).collect() == []
