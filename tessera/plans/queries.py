@@ -760,3 +760,21 @@ def cost_extrapolation(spark, sf_dir):
     """Turns as prompts and their roles as answers, priced and carried on to more calls."""
     calls = table(spark, sf_dir, "conversations").select(F.col("text").alias("prompt"), F.col("role").alias("response"))
     return summaries.extrapolate(summaries.cost(calls, 3.0, 15.0), (1000, 5000, 10_000)).select("units", "calls", F.round("cost", 6).alias("cost"))
+
+
+def claims_sql(column: str) -> str:
+    return f"(NOT {contains_sql(column, fixed.NO_CLAIM_PHRASES)} AND {contains_sql(column, fixed.CLAIM_PHRASES)})"
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, lower(text) AS t, ' ' || ({list_sql(fixed.CLAIM_PHRASES)})[1 + CAST((conv_id + turn) % {len(fixed.CLAIM_PHRASES)} AS INT)] AS c FROM conversations),
+    s AS (SELECT conv_id, turn, trim(regexp_replace(t || CASE WHEN conv_id % 4 = 0 THEN c ELSE '' END, '\\s+', ' ', 'g')) AS a, trim(regexp_replace(t || CASE WHEN turn % 3 = 1 THEN c ELSE '' END, '\\s+', ' ', 'g')) AS b FROM p)
+    SELECT conv_id, turn, CASE WHEN turn % 7 = 6 THEN NULL WHEN {claims_sql("a")} THEN 'summary_claims_findings' WHEN conv_id % 5 IN (1, 2) THEN 'repair_did_not_produce_structured_review'
+      WHEN turn % 2 = 1 AND {claims_sql("b")} THEN 'malformed_response_contains_finding_language' END AS reason FROM s""")
+def review_reason(spark, sf_dir):
+    """Turns as summaries and answers of reviews, some with a phrase that claims findings, through all rules of an empty review."""
+    key, turn = F.col("conv_id"), F.col("turn")
+    phrase = F.concat(F.lit(" "), F.element_at(F.array(*map(F.lit, fixed.CLAIM_PHRASES)), ((key + turn) % len(fixed.CLAIM_PHRASES) + 1).cast("int")))
+    said = lambda when: F.concat("text", F.when(when, phrase).otherwise(""))
+    repaired = F.when(key % 5 == 1, "malformed").when(key % 5 == 2, "salvaged").when(key % 5 == 3, "strict").when(key % 5 == 4, "flexible")
+    reason = findings.empty_review_reason(turn % 7 == 6, said(key % 4 == 0), F.when(turn % 2 == 1, "malformed").otherwise("strict"), said(turn % 3 == 1), F.lit(None).cast("string"), repaired, F.lit(None).cast("string"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", reason.alias("reason"))
