@@ -139,6 +139,14 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"\.([^./]+)$", 1)
 
 
+def inside_root(path: Column) -> Column:
+    """Whether a relative path, its dots resolved, stays below the root and names something in it; null for a null path."""
+    step = lambda p: F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"))
+    walked = F.aggregate(F.split(path, "/"), start, lambda a, p: F.struct((a["depth"] + step(p)).alias("depth"), F.least(a["least"], a["depth"] + step(p)).alias("least")))
+    return ~path.startswith("/") & (walked["least"] >= 0) & (walked["depth"] > 0)
+
+
 def language_of(path: Column) -> Column:
     """Language by extension, null for others."""
     out = F.lit(None).cast("string")

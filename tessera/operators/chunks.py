@@ -15,9 +15,26 @@ def line_chunks(files: DataFrame, size: int = fixed.CHUNK_LINES, overlap: int =
     return files.select(*rest, F.inline(text.chunk_windows(F.col(content), size, overlap))).withColumn("content_hash", text.content_hash(F.col("content")))
 
 
+#: Why a file is not chunked, in the order in which it is asked.
+SKIPPED = ("no_language", "outside_root", "no_text", "too_large", "empty")
+
+
+def skipped(files: DataFrame) -> F.Column:
+    """One of SKIPPED, or null for a file that is chunked: a language, a path inside the root (if files have `path`), a text of at
+    most MAX_FILE_BYTES and at least one line."""
+    inside = F.coalesce(text.inside_root(F.col("path")), F.lit(False)) if "path" in files.columns else F.lit(True)
+    return (
+        F.when(F.coalesce(F.length("language"), F.lit(0)) == 0, SKIPPED[0])
+        .when(~inside, SKIPPED[1])
+        .when(F.col("content").isNull(), SKIPPED[2])
+        .when(F.octet_length("content") > fixed.MAX_FILE_BYTES, SKIPPED[3])
+        .when(F.length("content") == 0, SKIPPED[4])
+    )
+
+
 def eligible(files: DataFrame) -> DataFrame:
-    """Files that are chunked: a language, a text, at most MAX_FILE_BYTES, one line at least."""
-    return files.where((F.coalesce(F.length("language"), F.lit(0)) > 0) & F.col("content").isNotNull() & (F.octet_length("content") <= fixed.MAX_FILE_BYTES) & (F.length("content") > 0))
+    """Files that are chunked."""
+    return files.where(skipped(files).isNull())
 
 
 def unchanged_files(stored: DataFrame, fresh: DataFrame, key: str = "file_id") -> DataFrame:
@@ -35,18 +52,13 @@ def refresh_chunks(stored: DataFrame, fresh: DataFrame, key: str = "file_id") ->
     return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-#: Why a file of a scan is not chunked, in the order in which it is asked.
-SKIPPED = ("no_language", "no_text", "too_large", "empty")
-
-
 def scan(files: DataFrame, stored: DataFrame, size: int = fixed.CHUNK_LINES, overlap: int = fixed.CHUNK_OVERLAP) -> tuple[DataFrame, DataFrame]:
-    """A chunking scan of files (file_id, language, content) against the stored chunks: the new chunks of changed files, and one row of counters.
+    """A chunking scan of files (file_id, language, content, and path if there is one) against the stored chunks: the new chunks of changed files, and one row of counters.
 
     Chunks come in the order of file_id and start_line. Counters: files, each of SKIPPED, unchanged (their chunks are stored
     as they would come out), chunked (files), chunks. A stored file that is no longer chunked is not counted as unchanged.
     """
-    why = F.when(F.coalesce(F.length("language"), F.lit(0)) == 0, SKIPPED[0]).when(F.col("content").isNull(), SKIPPED[1]).when(F.octet_length("content") > fixed.MAX_FILE_BYTES, SKIPPED[2]).when(F.length("content") == 0, SKIPPED[3])
-    counts = files.select(why.alias("why")).agg(F.count("*").alias("files"), *(F.count_if(F.col("why") == w).alias(w) for w in SKIPPED))
+    counts = files.select(skipped(files).alias("why")).agg(F.count("*").alias("files"), *(F.count_if(F.col("why") == w).alias(w) for w in SKIPPED))
     fresh = line_chunks(eligible(files).select("file_id", "content"), size, overlap)
     same = unchanged_files(stored, fresh)
     new = fresh.join(same, "file_id", "left_anti")

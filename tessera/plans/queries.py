@@ -742,15 +742,15 @@ def commit_log(spark, sf_dir):
     return files.commit_files(heads.union(lines).union(blanks))
 
 
-@query(f"""WITH old AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN '' ELSE '!' END AS text FROM documents), new AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0), {chunks_sql(50, 40, "new")}, {chunks_sql(50, 40, "old", "o")},
+@query(f"""WITH old AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN '' ELSE '!' END AS text FROM documents), new AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 13 <> 5), {chunks_sql(50, 40, "new")}, {chunks_sql(50, 40, "old", "o")},
     b AS (SELECT doc_id, count(*) AS n, list_sort(list(sha256(content))) AS h FROM c GROUP BY 1), bo AS (SELECT doc_id, list_sort(list(sha256(content))) AS h FROM co GROUP BY 1), j AS (SELECT b.doc_id, b.n, coalesce(b.h = bo.h, false) AS same FROM b LEFT JOIN bo USING (doc_id))
-    SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM documents WHERE doc_id % 7 = 0) AS no_language, (SELECT count(*) FROM new WHERE text IS NULL) AS no_text, CAST(0 AS BIGINT) AS too_large, (SELECT count(*) FROM new WHERE text = '') AS empty,
+    SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM documents WHERE doc_id % 7 = 0) AS no_language, (SELECT count(*) FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 13 = 5) AS outside_root, (SELECT count(*) FROM new WHERE text IS NULL) AS no_text, CAST(0 AS BIGINT) AS too_large, (SELECT count(*) FROM new WHERE text = '') AS empty,
     count(*) FILTER (same) AS unchanged, count(*) FILTER (NOT same) AS chunked, CAST(coalesce(sum(n) FILTER (NOT same), 0) AS BIGINT) AS chunks FROM j""")
 def chunk_scan(spark, sf_dir):
     """Documents as files, some without a language or text; two of three had other text when their chunks were stored."""
     docs = table(spark, sf_dir, "documents")
     stored = chunks.line_chunks(docs.select(F.col("doc_id").alias("file_id"), F.concat("text", F.when(F.col("doc_id") % 3 == 0, "").otherwise("!")).alias("content")))
-    now = docs.select(F.col("doc_id").alias("file_id"), F.when(F.col("doc_id") % 7 != 0, F.col("lang")).alias("language"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("text")).alias("content"))
+    now = docs.select(F.col("doc_id").alias("file_id"), F.when(F.col("doc_id") % 7 != 0, F.col("lang")).alias("language"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("text")).alias("content"), F.concat(F.when(F.col("doc_id") % 13 == 5, "a/../../").otherwise("a/./b/../"), F.col("doc_id").cast("string")).alias("path"))
     return chunks.scan(now, stored)[1]
 
 

@@ -165,4 +165,4 @@ def test_chunking_scan_counts_what_it_skips(spark):
     stored = chunks.line_chunks(spark.createDataFrame([(1, "a\nb"), (2, "old"), (9, "gone")], "file_id long, content string"))
     new, counts = chunks.scan(files_, stored)
     assert [(r.file_id, r.content) for r in new.collect()] == [(2, "c")]
-    assert counts.first().asDict() == {"files": 7, "no_language": 2, "no_text": 1, "too_large": 1, "empty": 1, "unchanged": 1, "chunked": 1, "chunks": 1}
+    assert counts.first().asDict() == {"files": 7, "no_language": 2, "outside_root": 0, "no_text": 1, "too_large": 1, "empty": 1, "unchanged": 1, "chunked": 1, "chunks": 1}

@@ -99,3 +99,9 @@ def test_costs(spark):
     got = {r.units: (r.calls, round(r.cost, 9)) for r in summaries.extrapolate(rows, (2, 1000)).collect()}
     assert got == {2: (2, round((100 * 3 + 2 * 10 * 15) / 1e6, 9)), 1000: (2, round(500 * (100 * 3 + 2 * 10 * 15) / 1e6, 9))}
     assert summaries.extrapolate(rows.limit(0), (1,)).collect() == []
+
+
+def test_paths_inside_the_root(spark):
+    cases = {"a": True, "a/b.py": True, "./a/../b": True, "a//b": True, "..": False, "../a": False, "a/../../b": False, "/a": False, "": False, ".": False, "a/..": False, "..a/b": True}
+    got = {r.p: r.ok for r in spark.createDataFrame([(p,) for p in cases], "p string").select("p", text.inside_root(F.col("p")).alias("ok")).collect()}
+    assert got == cases
