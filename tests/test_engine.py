@@ -27,7 +27,7 @@ def test_cochange_counts_bounded_commits(spark):
 def test_commit_log_with_blank_lines(spark):
     sha = ["%040x" % i for i in range(2)]
     lines = [sha[0], "", "a", "b", "", sha[1], "", "c"]
-    got = files.commit_files(spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")).collect()
+    got = files.commit_files(spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")).orderBy("pos").collect()
     assert [(r.commit, r.file) for r in got] == [(sha[0], "a"), (sha[0], "b"), (sha[1], "c")]
 
 
