@@ -20,9 +20,9 @@ LENGTH, GRID, END = 2048, 4, 1
 #: Stop when the plan is proven to be within this share of the least possible number of sequences.
 GAP = 1e-3
 #: Bytes of words and ids that a worker remembers; the memory is emptied before the next texts when full, which changes no result.
-REMEMBERED = 120_000_000
+REMEMBERED = 150_000_000
 #: Characters of the texts that are encoded together; a longer text is encoded alone.
-TOGETHER = 4_000_000
+TOGETHER = 8_000_000
 #: Pieces for each bucket of a length class's ranking.
 BUCKET_ROWS = 20_000
 #: Python's white space holds four separators more than the tokenizer's; texts with them are encoded whole.
@@ -46,7 +46,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memory: dict[str, bytes] = {}
-        self.remembered = 0
+        self.remembered, self.most = 0, REMEMBERED
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -95,7 +95,7 @@ class WordEncoder:
         split = pc.utf8_split_whitespace(pa.array(["" if o else t for o, t in zip(odd, texts, strict=True)], pa.large_string()))
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if self.remembered > REMEMBERED:
+        if self.remembered > self.most:
             self.memory.clear()
             self.remembered = 0
         self.learn([w for w in words if w not in self.memory])
@@ -122,13 +122,14 @@ def encoder(path: str) -> WordEncoder:
     return _loaded[path]
 
 
-def cut(docs: DataFrame, path: str, length: int, tokens: bool) -> DataFrame:
+def cut(docs: DataFrame, path: str, length: int, tokens: bool, together: int = TOGETHER, remembered: int = REMEMBERED) -> DataFrame:
     """PIECE rows: every document's ids and END in full sequences, and what is left as one piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
+        words.most = remembered
         for batch in common.slices(batches):
             rows: list[tuple] = []
-            runs = common.chunks(batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()], TOGETHER)
+            runs = common.chunks(batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()], together)
             for doc_id, ids in (pair for some, texts in runs for pair in zip(some, words.encode_batch(texts), strict=True)):
                 ids = np.append(ids, np.uint32(END)).astype("<u4")
                 for at in range(0, len(ids), length):
@@ -253,7 +254,7 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: flo
     return plan
 
 
-def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, tokens: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, tokens: bool = True, together: int = TOGETHER, remembered: int = REMEMBERED) -> DataFrame:
     """Every document's ids in sequences of at most `length` tokens with little padding.
 
     docs: doc_id, text; other columns are ignored; a repeated row is packed again. Documents are cut into full sequences and one rest; rests
@@ -261,9 +262,9 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, tokens: boo
     of each class, ranked, take the plan's places. Returns a row for each piece: doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id (from 0), offset, and, if `tokens`, ids. A null or empty text is the one id END. Rows
     without a doc_id are left out; an empty table gives no sequences. The plan's size depends on the number of classes
-    only, not on the number of documents.
+    only, not on the number of documents. together, remembered: memory against time of the encoder, no result.
     """
-    pieces = cut(docs, path, length, tokens)
+    pieces = cut(docs, path, length, tokens, together, remembered)
     if not tokens:
         pieces = pieces.drop("ids")
     kind = F.ceil(F.col("length") / GRID).cast("int")  # a full sequence is the largest class
