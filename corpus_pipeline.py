@@ -85,7 +85,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids in sequences of 2048. Rows without a doc_id go; a repeated row is packed again; a null or empty
     text is the end mark alone; an empty table gives no pieces."""
-    return packing.pack_documents(docs, queries.tokenizer_file("word_bpe_49k.json"), tokens=False)
+    return packing.pack_documents(docs, queries.tokenizer_file("word_bpe_49k.json"), tokens=False, together=4_000_000, remembered=120_000_000)
 
 
 STAGES = [
