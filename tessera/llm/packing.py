@@ -138,7 +138,8 @@ def cut(docs: DataFrame, path: str, length: int, tokens: bool, together: int = T
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-        common.trim()
+        if remembered < REMEMBERED:  # short of memory: it goes back after each task, which costs time
+            common.trim()
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
     return docs.mapInArrow(run, PIECE)

@@ -180,7 +180,6 @@ class TokenWriter(DataSourceArrowWriter):
             for docs, texts in common.chunks(batch.column("doc_id").to_numpy(), [t or "" for t in batch.column("text").to_pylist()], packing.TOGETHER):
                 for doc, ids in zip(docs.tolist(), words.encode_batch(texts), strict=True):
                     yield doc, np.concatenate([ids, end])
-        common.trim()
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, folder = opened(self.path)
