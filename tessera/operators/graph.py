@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 from tessera import fixed
 
+#: Rows of a task: tasks grow in number, not in size.
+TASK_ROWS = 150_000
+#: A commit's files are cut to the first ones in so many parts, which then meet.
+PARTS = 64
+
+
+def tasks(rows: DataFrame) -> int:
+    """How many tasks share the rows; small tables take fewer rows each."""
+    n = rows.count()
+    return max(-(-n // TASK_ROWS), min(-(-n // 20_000), rows.sparkSession.sparkContext.defaultParallelism), 1)
+
 
 def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(file_id, target_id, path): each import whose text equals a file's path; repeated imports stay."""
@@ -30,14 +41,21 @@ def cochange(commits: DataFrame, min_commits: int = fixed.MIN_COCHANGE_COMMITS,
     file) count, so the pairs of one commit are bounded. correlation = pairs / sqrt(count a * count b). Null files and
     repeated files of a commit count once at most.
     """
-    rows = commits.where("file IS NOT NULL").groupBy("commit", "file").agg(F.min("pos").alias("pos"))
-    rank = F.row_number().over(Window.partitionBy("commit").orderBy("pos", "file"))
-    kept = rows.withColumn("rank", rank).where(F.col("rank") <= most)
+    rows = commits.where("file IS NOT NULL")
+    n = tasks(rows)
+    part, bucket = F.pmod(F.xxhash64("file"), F.lit(PARTS)), F.pmod(F.xxhash64("commit"), F.lit(16 * n))
+    # a commit of very many files is cut to `most` in parts first
+    once = rows.select("commit", "file", "pos", part.alias("part")).repartition(n, "commit", "part").groupBy("commit", "part", "file").agg(F.min("pos").alias("pos"))
+    first = once.withColumn("rank", F.row_number().over(Window.partitionBy("commit", "part").orderBy("pos", "file"))).where(F.col("rank") <= most)
+    rank = F.row_number().over(Window.partitionBy("commit", "bucket").orderBy("pos", "file"))
+    kept = first.select("commit", "file", "pos", bucket.alias("bucket")).repartition(n, "bucket").withColumn("rank", rank).where(F.col("rank") <= most)
     counts = kept.groupBy("file").agg(F.count("*").alias("n"))
     # one row for each commit, its bounded files sorted: pairs come from it without joining the table with itself
-    sets = kept.groupBy("commit").agg(F.array_sort(F.collect_list("file")).alias("files")).where(F.size("files") > 1)
-    pairs = sets.select(F.posexplode("files").alias("i", "file_a"), "files").select("file_a", F.explode(F.slice("files", F.col("i") + 2, F.greatest(F.size("files") - F.col("i") - 1, F.lit(0)))).alias("file_b"))
-    pairs = pairs.groupBy("file_a", "file_b").agg(F.count("*").alias("commit_count")).where(F.col("commit_count") >= min_commits)
+    sets = kept.groupBy("commit", "bucket").agg(F.array_sort(F.collect_list("file")).alias("files")).where(F.size("files") > 1)
+    pairs = sets.select("bucket", F.posexplode("files").alias("i", "file_a"), "files").select("bucket", "file_a", F.explode(F.slice("files", F.col("i") + 2, F.greatest(F.size("files") - F.col("i") - 1, F.lit(0)))).alias("file_b"))
+    # added up where they arise, so a frequent pair travels once for each bucket
+    pairs = pairs.groupBy("file_a", "file_b", "bucket").agg(F.count("*").alias("n")).repartition(n, "file_a", "file_b")
+    pairs = pairs.groupBy("file_a", "file_b").agg(F.sum("n").alias("commit_count")).where(F.col("commit_count") >= min_commits)
     joined = pairs.join(counts.select(F.col("file").alias("file_a"), F.col("n").alias("n_a")), "file_a").join(counts.select(F.col("file").alias("file_b"), F.col("n").alias("n_b")), "file_b")
     scored = joined.withColumn("correlation", F.col("commit_count") / F.sqrt(F.col("n_a") * F.col("n_b")))
     return scored.where(F.col("correlation") >= min_correlation).select("file_a", "file_b", "commit_count", "correlation")

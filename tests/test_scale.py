@@ -2,12 +2,15 @@
 
 import math
 import random
+import re
 import subprocess
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import chunks, evaluate, pages
+from tessera.operators import chunks, evaluate, graph, pages
 from tessera.sources import files
 
 
@@ -166,3 +169,48 @@ def test_chunking_scan_counts_what_it_skips(spark):
     new, counts = chunks.scan(files_, stored)
     assert [(r.file_id, r.content) for r in new.collect()] == [(2, "c")]
     assert counts.first().asDict() == {"files": 7, "no_language": 2, "outside_root": 0, "no_text": 1, "too_large": 1, "empty": 1, "unchanged": 1, "chunked": 1, "chunks": 1}
+
+
+def plain_cochange(rows, min_commits, min_correlation, most):
+    firsts = defaultdict(dict)
+    for c, p, f in rows:
+        if f is not None:
+            firsts[c][f] = min(firsts[c].get(f, p), p)
+    kept = {c: [f for _, f in sorted((p, f) for f, p in fs.items())[:most]] for c, fs in firsts.items()}
+    n = Counter(f for fs in kept.values() for f in fs)
+    pairs = Counter(p for fs in kept.values() for p in combinations(sorted(fs), 2))
+    return {(a, b): (k, k / math.sqrt(n[a] * n[b])) for (a, b), k in pairs.items() if k >= min_commits and k / math.sqrt(n[a] * n[b]) >= min_correlation}
+
+
+def dealt(df):
+    """Into how many parts the plan deals rows, by the first key."""
+    return {(k, int(n)) for k, n in re.findall(r"hashpartitioning\((\w+)#[^)]*?, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())}
+
+
+@pytest.fixture
+def one_shuffle_partition(spark):
+    option = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(option)
+    spark.conf.set(option, "1")
+    yield
+    spark.conf.set(option, before)
+
+
+def test_cochange_tasks_grow_in_number(spark, one_shuffle_partition, monkeypatch):
+    """Commits, huge ones too, and pairs are shared by tasks that follow the rows, whatever the session's partitions."""
+    rng = random.Random(0)
+    rows = [(c, rng.randrange(9), f"f{rng.randrange(30)}") for c in range(400) for _ in range(rng.choice([1, 2, 5, 12]))]
+    rows += [(-1, rng.randrange(50), f"f{i % 3000}") for i in range(4000)] + [(c, 0, None) for c in range(9)]
+    table = spark.createDataFrame(rows, "commit long, pos int, file string")
+    found = []
+    for size in (500, 100_000):
+        monkeypatch.setattr(graph, "TASK_ROWS", size)
+        for most in (3, 50):
+            got = graph.cochange(table, 2, 0.05, most)
+            n = graph.tasks(table.where("file IS NOT NULL"))
+            assert n >= sum(r[2] is not None for r in rows) / size and (n > 10 or size > 500)
+            assert n == 1 or dealt(got) == {("commit", n), ("bucket", n), ("file_a", n)}
+            want = plain_cochange(rows, 2, 0.05, most)
+            assert {(r.file_a, r.file_b): (r.commit_count, pytest.approx(r.correlation)) for r in got.collect()} == want
+            found.append(len(want))
+    assert min(found) > 20
