@@ -26,7 +26,7 @@ def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 def reverse_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(target_id, file_id): the different files that import each file."""
-    return import_edges(imports, files).select("target_id", "file_id").distinct()
+    return import_edges(imports, files).select("target_id", "file_id").repartition(tasks(imports), "target_id", "file_id").distinct()
 
 
 def files_with_names(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
@@ -69,4 +69,5 @@ def cochange_neighbours(pairs: DataFrame, min_correlation: float = fixed.MIN_COC
 
 def structural_union(imports: DataFrame, pairs: DataFrame, min_correlation: float = 0.3) -> DataFrame:
     """Different targets of a file over imports (file, other) and strong co-change."""
-    return imports.select("file", "other").union(cochange_neighbours(pairs, min_correlation).select("file", "other")).distinct()
+    found = imports.select("file", "other").union(cochange_neighbours(pairs, min_correlation).select("file", "other"))
+    return found.repartition(tasks(imports), "file", "other").distinct()

@@ -214,3 +214,21 @@ def test_cochange_tasks_grow_in_number(spark, one_shuffle_partition, monkeypatch
             assert {(r.file_a, r.file_b): (r.commit_count, pytest.approx(r.correlation)) for r in got.collect()} == want
             found.append(len(want))
     assert min(found) > 20
+
+
+def test_distinct_edges_tasks_grow_in_number(spark, one_shuffle_partition, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_ROWS", 100)
+    rng = random.Random(1)
+    imports = [(rng.randrange(40), f"p{rng.randrange(60)}") for _ in range(2000)]
+    files_ = [(100 + i, f"p{i}") for i in range(50)]
+    edges = {(a, 100 + int(p[1:])) for a, p in imports if int(p[1:]) < 50}
+    imports = spark.createDataFrame(imports, "file_id long, source_path string")
+    files_ = spark.createDataFrame(files_, "id long, path string")
+    back = graph.reverse_imports(imports, files_)
+    assert dealt(back) == {("target_id", 20)}
+    assert sorted((f, t) for t, f in back.collect()) == sorted(edges)
+    pairs = [(1, 105, 0.5, 3), (7, 8, 0.4, 3), (8, 9, 0.1, 3)]
+    forward = graph.import_edges(imports, files_).selectExpr("file_id AS file", "target_id AS other")
+    both = graph.structural_union(forward, spark.createDataFrame(pairs, "file_a long, file_b long, correlation double, commit_count long"))
+    assert dealt(both) == {("file", graph.tasks(forward))} and graph.tasks(forward) > 10
+    assert sorted(map(tuple, both.collect())) == sorted(edges | {(1, 105), (105, 1), (7, 8), (8, 7)})
