@@ -157,7 +157,8 @@ KEYWORDS = f"""w AS (SELECT DISTINCT t FROM (SELECT unnest(regexp_split_to_array
 
 
 def doc_tokens(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    split = lambda name, key: table(spark, sf_dir, name).select(key, F.explode(F.array_distinct(F.split("text", "[^A-Za-z0-9_]+"))).alias("name"))
+    # \W is [^A-Za-z0-9_] in Java too, and many times as fast as the class spelt out
+    split = lambda name, key: table(spark, sf_dir, name).select(key, F.explode(F.array_distinct(F.split("text", r"\W+"))).alias("name"))
     return split("documents", F.col("doc_id").alias("file_id")), split("benchmark", F.col("item_id").alias("file_id")).where("length(name) > 2").select("name").distinct()
 
 
