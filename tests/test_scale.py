@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import chunks, evaluate, graph, pages
+from tessera.plans import queries
 from tessera.sources import files
 
 
@@ -232,3 +233,9 @@ def test_distinct_edges_tasks_grow_in_number(spark, one_shuffle_partition, monke
     both = graph.structural_union(forward, spark.createDataFrame(pairs, "file_a long, file_b long, correlation double, commit_count long"))
     assert dealt(both) == {("file", graph.tasks(forward))} and graph.tasks(forward) > 10
     assert sorted(map(tuple, both.collect())) == sorted(edges | {(1, 105), (105, 1), (7, 8), (8, 7)})
+
+
+@pytest.mark.parametrize("name", ["edges_bidirectional"])
+def test_queries_over_pairs_deal_them_out(spark, one_shuffle_partition, monkeypatch, name):
+    monkeypatch.setattr(graph, "TASK_ROWS", 500)
+    assert {("commit", 12), ("bucket", 12), ("file_a", 12)} <= dealt(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
