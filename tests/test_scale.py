@@ -235,7 +235,7 @@ def test_distinct_edges_tasks_grow_in_number(spark, one_shuffle_partition, monke
     assert sorted(map(tuple, both.collect())) == sorted(edges | {(1, 105), (105, 1), (7, 8), (8, 7)})
 
 
-@pytest.mark.parametrize("name", ["edges_bidirectional", "fused_score"])
+@pytest.mark.parametrize("name", ["edges_bidirectional", "fused_score", "method_counts"])
 def test_queries_over_pairs_deal_them_out(spark, one_shuffle_partition, monkeypatch, name):
     monkeypatch.setattr(graph, "TASK_ROWS", 500)
     assert {("commit", 12), ("bucket", 12), ("file_a", 12)} <= dealt(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
