@@ -11,6 +11,8 @@ from tessera import fixed
 TASK_ROWS = 150_000
 #: A commit's files are cut to the first ones in so many parts, which then meet.
 PARTS = 64
+#: Commits are dealt by so many buckets for each task; with few, one task gets much more than its share.
+BUCKETS = 64
 
 
 def tasks(rows: DataFrame) -> int:
@@ -43,7 +45,7 @@ def cochange(commits: DataFrame, min_commits: int = fixed.MIN_COCHANGE_COMMITS,
     """
     rows = commits.where("file IS NOT NULL")
     n = tasks(rows)
-    part, bucket = F.pmod(F.xxhash64("file"), F.lit(PARTS)), F.pmod(F.xxhash64("commit"), F.lit(16 * n))
+    part, bucket = F.pmod(F.xxhash64("file"), F.lit(PARTS)), F.pmod(F.xxhash64("commit"), F.lit(BUCKETS * n))
     # a commit of very many files is cut to `most` in parts first
     once = rows.select("commit", "file", "pos", part.alias("part")).repartition(n, "commit", "part").groupBy("commit", "part", "file").agg(F.min("pos").alias("pos"))
     first = once.withColumn("rank", F.row_number().over(Window.partitionBy("commit", "part").orderBy("pos", "file"))).where(F.col("rank") <= most)

@@ -239,3 +239,13 @@ def test_distinct_edges_tasks_grow_in_number(spark, one_shuffle_partition, monke
 def test_queries_over_pairs_deal_them_out(spark, one_shuffle_partition, monkeypatch, name):
     monkeypatch.setattr(graph, "TASK_ROWS", 500)
     assert {("commit", 12), ("bucket", 12), ("file_a", 12)} <= dealt(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_cochange_tasks_get_like_shares(spark, monkeypatch):
+    """The fullest of a hundred tasks gets less than 1.7 times the mean of the commits."""
+    monkeypatch.setattr(graph, "TASK_ROWS", 600)
+    table = spark.range(60_000).select(F.col("id").alias("commit"), F.lit(0).alias("pos"), F.col("id").alias("file"))
+    assert graph.tasks(table) == 100
+    shares = table.select(F.pmod(F.xxhash64("commit"), F.lit(graph.BUCKETS * 100)).alias("bucket")).repartition(100, "bucket").groupBy(F.spark_partition_id()).count()
+    assert shares.agg(F.max("count")).first()[0] < 1.7 * 600
+    assert f"{graph.BUCKETS * 100})" in graph.cochange(table)._jdf.queryExecution().optimizedPlan().toString()
