@@ -15,9 +15,9 @@ PARTS = 64
 BUCKETS = 64
 
 
-def tasks(rows: DataFrame) -> int:
-    """How many tasks share the rows; small tables take fewer rows each."""
-    n = rows.count()
+def tasks(rows: DataFrame, n: int | None = None) -> int:
+    """How many tasks share the rows, or `n` rows where they are dear to count; small tables take fewer rows each."""
+    n = rows.count() if n is None else n
     return max(-(-n // TASK_ROWS), min(-(-n // 20_000), rows.sparkSession.sparkContext.defaultParallelism), 1)
 
 
@@ -31,9 +31,13 @@ def reverse_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return import_edges(imports, files).select("target_id", "file_id").repartition(tasks(imports), "target_id", "file_id").distinct()
 
 
-def files_with_names(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
-    """(file_id, name): different pairs whose name is among `wanted` (one column, name)."""
-    return rows.select("file_id", F.col(name).alias("name")).join(wanted.select("name"), "name", "left_semi").select("file_id", "name").distinct()
+def files_with_names(rows: DataFrame, name: str, wanted: DataFrame, most: int | None = None) -> DataFrame:
+    """(file_id, name): different pairs whose name is among `wanted` (one column, name).
+
+    The pairs are dealt to tasks by the count of rows, or by `most` where that is dear; it shares work and cuts nothing.
+    """
+    found = rows.select("file_id", F.col(name).alias("name")).join(wanted.select("name"), "name", "left_semi")
+    return found.select("file_id", "name").repartition(tasks(rows, most), "file_id", "name").distinct()
 
 
 def cochange(commits: DataFrame, min_commits: int = fixed.MIN_COCHANGE_COMMITS, min_correlation: float = fixed.MIN_COCHANGE_CORRELATION, most: int = fixed.MAX_FILES_PER_COMMIT) -> DataFrame:

@@ -42,10 +42,10 @@ def code_semantic(changed: DataFrame, chunks: DataFrame, k: int = fixed.KNN_K) -
     return near.select("file_id", F.lit("code_semantic").alias("method"), F.lit(None).cast("string").alias("reason"), "value")
 
 
-def keyword(changed: DataFrame, symbols: DataFrame, refs: DataFrame, names: DataFrame) -> DataFrame:
+def keyword(changed: DataFrame, symbols: DataFrame, refs: DataFrame, names: DataFrame, most_names: int | None = None) -> DataFrame:
     """One row for each different name that a file defines, and one for each that it refers to."""
-    defined = graph.files_with_names(symbols, "name", names).withColumn("reason", F.lit("defines"))
-    used = graph.files_with_names(refs, "symbol_name", names).withColumn("reason", F.lit("references"))
+    defined = graph.files_with_names(symbols, "name", names, most_names).withColumn("reason", F.lit("defines"))
+    used = graph.files_with_names(refs, "symbol_name", names, most_names).withColumn("reason", F.lit("references"))
     found = defined.unionByName(used).join(changed.select(F.col("id").alias("file_id")), "file_id", "left_anti")
     return found.select("file_id", F.lit("keyword").alias("method"), "reason", F.lit(1.0).alias("value"))
 
@@ -73,12 +73,12 @@ def method_counts(evidence: DataFrame) -> DataFrame:
     return evidence.agg(*(F.count_distinct(F.when(F.col("method") == m, F.col("file_id"))).alias(m) for m in fixed.WEIGHTS))
 
 
-def retrieve(changed: DataFrame, files: DataFrame, imports: DataFrame, pairs: DataFrame, symbols: DataFrame, refs: DataFrame, names: DataFrame, summaries: DataFrame | None = None, chunks: DataFrame | None = None, vectors: DataFrame | None = None, weights: dict[str, float] | None = None, min_correlation: float = fixed.MIN_COCHANGE_READ) -> DataFrame:
+def retrieve(changed: DataFrame, files: DataFrame, imports: DataFrame, pairs: DataFrame, symbols: DataFrame, refs: DataFrame, names: DataFrame, summaries: DataFrame | None = None, chunks: DataFrame | None = None, vectors: DataFrame | None = None, weights: dict[str, float] | None = None, min_correlation: float = fixed.MIN_COCHANGE_READ, most_names: int | None = None) -> DataFrame:
     """(file_id, path, score, entries), best first, ties by path. Without vectors both vector methods give nothing.
 
-    vectors: (id, kind, embedding) of the changed files, kind `summary` or `code`.
+    vectors: (id, kind, embedding) of the changed files, kind `summary` or `code`. most_names: see files_with_names().
     """
-    evidence = structural(changed, files, imports, pairs, min_correlation).unionByName(keyword(changed, symbols, refs, names))
+    evidence = structural(changed, files, imports, pairs, min_correlation).unionByName(keyword(changed, symbols, refs, names, most_names))
     if vectors is not None and summaries is not None:
         evidence = evidence.unionByName(semantic(vectors.where("kind = 'summary'"), summaries))
     if vectors is not None and chunks is not None:
