@@ -241,7 +241,7 @@ def test_queries_over_pairs_deal_them_out(spark, one_shuffle_partition, monkeypa
     assert {("commit", 12), ("bucket", 12), ("file_a", 12)} <= dealt(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
 
 
-@pytest.mark.parametrize("name", ["fused_score", "keyword_hits", "retrieve_ranked"])
+@pytest.mark.parametrize("name", ["fused_score", "method_counts", "keyword_hits", "retrieve_ranked"])
 def test_words_of_files_are_dealt_out(spark, one_shuffle_partition, monkeypatch, name):
     monkeypatch.setattr(graph, "TASK_ROWS", 500)
     size = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("sum(octet_length(text))").first()[0]
