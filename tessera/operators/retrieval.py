@@ -70,7 +70,9 @@ def fuse(evidence: DataFrame, weights: dict[str, float] | None = None) -> DataFr
 
 def method_counts(evidence: DataFrame) -> DataFrame:
     """Different files of each method, one row."""
-    return evidence.agg(*(F.count_distinct(F.when(F.col("method") == m, F.col("file_id"))).alias(m) for m in fixed.WEIGHTS))
+    # a file's methods are told by flags: rows are not copied for each method, and a task holds a file once
+    found = evidence.where("file_id IS NOT NULL").groupBy("file_id").agg(*(F.max(F.col("method") == m).alias(m) for m in fixed.WEIGHTS))
+    return found.agg(*(F.count_if(m).alias(m) for m in fixed.WEIGHTS))
 
 
 def retrieve(changed: DataFrame, files: DataFrame, imports: DataFrame, pairs: DataFrame, symbols: DataFrame, refs: DataFrame, names: DataFrame, summaries: DataFrame | None = None, chunks: DataFrame | None = None, vectors: DataFrame | None = None, weights: dict[str, float] | None = None, min_correlation: float = fixed.MIN_COCHANGE_READ, most_names: int | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import chunks, evaluate, graph, pages
+from tessera import fixed
+from tessera.operators import chunks, evaluate, graph, pages, retrieval
 from tessera.plans import queries
 from tessera.sources import files
 
@@ -248,6 +249,18 @@ def test_words_of_files_are_dealt_out(spark, one_shuffle_partition, monkeypatch,
     assert size > 100_000 and ("file_id", -(-(size // 20) // 500)) in dealt(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
 
 
+def test_method_counts_copies_no_rows(spark):
+    """One row of flags for each file: rows are not expanded for each method; nulls, repeats and unknown methods count for nothing."""
+    rng = random.Random(2)
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, "other", "structural", "keyword"])) for _ in range(300)] + [(99, "semantic")] * 3
+    table = spark.createDataFrame(rows, "file_id long, method string")
+    got = retrieval.method_counts(table)
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.first().asDict() == {m: len({f for f, k in rows if k == m and f is not None}) for m in fixed.WEIGHTS}
+    assert tuple(retrieval.method_counts(table.limit(0)).first()) == (0, 0, 0, 0)
+    assert [(f.dataType.simpleString(), f.nullable) for f in got.schema] == [("bigint", False)] * 4
+
+
 def test_cochange_tasks_get_like_shares(spark, monkeypatch):
     """The fullest of a hundred tasks gets less than 1.7 times the mean of the commits."""
     monkeypatch.setattr(graph, "TASK_ROWS", 600)
